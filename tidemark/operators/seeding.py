@@ -60,8 +60,8 @@ def zero_fill(df: DataFrame, at: Layout) -> DataFrame:
 class Seed:
     """A first visit to complete.
 
-    ``scope`` selects the rows, ``alive_scope`` and ``dead_scope`` narrow the groups that get rows,
-    ``day`` is the seed day, and ``later_only`` takes the totals from visits after the seed day.
+    ``scope`` selects the rows and ``fill_scope`` narrows those that get rows (both over keys and the
+    carried columns), ``day`` is the seed day, and ``later_only`` takes the totals from visits after it.
     """
 
     scope: Column
