@@ -3,7 +3,7 @@
 LINES = """lines AS (
   SELECT year(l_shipdate)::INT AS batch, l_suppkey AS site, year(l_shipdate)::INT AS campaign,
          date_trunc('month', l_shipdate)::DATE AS date, nullif(l_linenumber, 4) AS id_ind, l_quantity AS quantity,
-         l_extendedprice AS price, l_discount AS discount, l_tax AS tax, l_returnflag AS flag
+         l_extendedprice / pi() AS price, l_discount AS discount, l_tax AS tax, l_returnflag AS flag
   FROM lineitem)"""
 
 VISITS = LINES + """, visits AS (

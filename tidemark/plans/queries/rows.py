@@ -41,12 +41,12 @@ def typed_parse(spark, folder):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, round(l_discount * l_tax * 10, 3) AS rate, round(l_extendedprice / 7, 2) AS price
+SELECT l_orderkey, l_linenumber, round(l_discount * l_tax * 10, 3) AS rate, round(l_extendedprice / pi(), 2) AS price
 FROM lineitem""")
 def publish_rounding(spark, folder):
     df = tables.load(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", (F.col("l_discount") * F.col("l_tax") * 10).alias("rate"),
-        (F.col("l_extendedprice") / 7).alias("price"))
+        (F.col("l_extendedprice") / F.pi()).alias("price"))
     return sinks.fixed_digits(df, {"rate": 3, "price": 2})
 
 
@@ -182,14 +182,14 @@ def append_fill(spark, folder):
 
 
 @query(f"""
-WITH {base.VISITS}, few AS (SELECT * FROM visits WHERE mass > 60000)
+WITH {base.VISITS}, few AS (SELECT * FROM visits WHERE mass > 19000)
 SELECT batch, site, date, g AS id_ind, mass, i::INT AS copy
 FROM (SELECT batch, site, date, mass, id_ind, unnest([2, 3]) AS g, unnest([1, 2]) AS i FROM few)
 WHERE id_ind IS NULL
 UNION ALL
 SELECT batch, site, date, id_ind, mass, 0 FROM few WHERE id_ind IS NOT NULL""")
 def replicate_rows(spark, folder):
-    few = tables.shipment_visits(spark, folder).filter("mass > 60000").select("batch", "site", "date", "id_ind", "mass")
+    few = tables.shipment_visits(spark, folder).filter("mass > 19000").select("batch", "site", "date", "id_ind", "mass")
     unnamed = rows.repeat_as(few.filter("id_ind IS NULL"), "id_ind", [2, 3])
     return rows.append(unnamed.withColumn("copy", F.col("id_ind") - 1),
                        few.filter("id_ind IS NOT NULL").withColumn("copy", F.lit(0)))
@@ -300,12 +300,12 @@ def full_outer_multi(spark, folder):
 
 
 @query(f"""
-WITH {base.VISITS}, rich AS (SELECT batch, site FROM visits GROUP BY ALL HAVING sum(mass) > 4000000)
+WITH {base.VISITS}, rich AS (SELECT batch, site FROM visits GROUP BY ALL HAVING sum(mass) > 1270000)
 SELECT batch, site, id_ind, date FROM visits v
 WHERE EXISTS (SELECT 1 FROM rich r WHERE r.batch = v.batch AND r.site = v.site)""")
 def semi_keys(spark, folder):
     visits = tables.shipment_visits(spark, folder)
-    rich = visits.groupBy("batch", "site").agg(F.sum("mass").alias("m")).filter("m > 4000000")
+    rich = visits.groupBy("batch", "site").agg(F.sum("mass").alias("m")).filter("m > 1270000")
     return joins.join_keys(visits.select("batch", "site", "id_ind", "date"), rich, ["batch", "site"], "left_semi")
 
 
