@@ -41,9 +41,9 @@ def _seed_rows(source: str, day: str, scope: str = "true", later: bool = False,
 _COLUMNS = "batch, site, campaign, date, id_ind, code_param, value"
 
 
-@query(f"WITH {base.OBS}, {ZERO_ROWS} SELECT * FROM obs UNION ALL SELECT {_COLUMNS} FROM zero_rows")
+@query(f"WITH {base.OBS}, {ZERO_ROWS} SELECT * REPLACE (round(value, 4) AS value) FROM obs UNION ALL SELECT {_COLUMNS} FROM zero_rows")
 def seed_zero_fill(spark, folder):
-    return seeding.zero_fill(tables.shipments(spark, folder), AT)
+    return seeding.zero_fill(tables.shipments(spark, folder), AT).withColumn("value", F.round("value", 4))
 
 
 @query(f"""
@@ -125,10 +125,10 @@ s5 AS (
 {_seed_rows('s5', "DATE '1999-01-01'", 'campaign = 1999', name='f1')},
 {_seed_rows('s5', "DATE '2000-02-01'", '(campaign = 2000 AND site <> 6)', later=True, dead=False, name='f2')},
 s6 AS (SELECT {_COLUMNS} FROM s5 UNION ALL SELECT {_COLUMNS} FROM f1 UNION ALL SELECT {_COLUMNS} FROM f2)
-SELECT batch, site, campaign, date, coalesce(id_ind, -1) AS id_ind, code_param, value FROM s6
+SELECT batch, site, campaign, date, coalesce(id_ind, -1) AS id_ind, code_param, round(value, 4) AS value FROM s6
 WHERE NOT (campaign < 1996 AND code_param = 'mass')""")
 def ledger_apply(spark, folder):
-    return ledger.apply_ledger(tables.shipments(spark, folder), _rules(), AT)
+    return ledger.apply_ledger(tables.shipments(spark, folder), _rules(), AT).withColumn("value", F.round("value", 4))
 
 
 @query(f"""
@@ -144,11 +144,11 @@ def ledger_hits(spark, folder):
 
 @query(f"""
 WITH {base.OBS}
-SELECT batch, site, date, id_ind, code_param, value,
+SELECT batch, site, date, id_ind, code_param, round(value, 4) AS value,
        CASE WHEN code_param = 'dead' AND id_ind <> 1 THEN '0' ELSE '1' END || ',2' AS rules
 FROM obs WHERE ((code_param = 'dead' AND id_ind <> 1) OR id_ind IS NULL) AND campaign < 1998 AND value < 20""")
 def ledger_conflicts(spark, folder):
     rules = [Rule("delete", param="dead", bag=(ledger.NAMED_NOT_IN, (1,))), Rule("delete", bag=(ledger.UNNAMED, ())),
              Rule("delete", campaign_before=1998, below=20.0)]
     found = ledger.rule_conflicts(tables.shipments(spark, folder), rules, AT)
-    return found.withColumn("rules", F.array_join(F.col("rules").cast("array<string>"), ",")).drop("campaign")
+    return found.withColumn("value", F.round("value", 4)).withColumn("rules", F.array_join(F.col("rules").cast("array<string>"), ",")).drop("campaign")

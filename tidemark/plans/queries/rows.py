@@ -170,7 +170,7 @@ def bbox(spark, folder):
 
 @query(f"""
 WITH {base.OBS}
-SELECT batch, site, campaign, date, id_ind, code_param, value, NULL::VARCHAR AS note FROM obs
+SELECT batch, site, campaign, date, id_ind, code_param, round(value, 4) AS value, NULL::VARCHAR AS note FROM obs
 UNION ALL
 SELECT batch, site, campaign, date, NULL, 'deaths', sum(value), 'all bags' FROM obs WHERE code_param = 'dead'
 GROUP BY batch, site, campaign, date""")
@@ -178,26 +178,28 @@ def append_fill(spark, folder):
     obs = tables.shipments(spark, folder)
     whole = obs.filter(F.col("code_param") == "dead").groupBy("batch", "site", "campaign", "date").agg(
         F.sum("value").alias("value")).withColumns({"code_param": F.lit("deaths"), "note": F.lit("all bags")})
-    return rows.append(obs.withColumn("note", F.lit(None).cast("string")), whole, fill=True)
+    out = rows.append(obs.withColumn("note", F.lit(None).cast("string")), whole, fill=True)
+    return out.withColumn("value", F.round("value", 4))
 
 
 @query(f"""
 WITH {base.VISITS}, few AS (SELECT * FROM visits WHERE mass > 19000)
-SELECT batch, site, date, g AS id_ind, mass, i::INT AS copy
+SELECT batch, site, date, g AS id_ind, round(mass, 4) AS mass, i::INT AS copy
 FROM (SELECT batch, site, date, mass, id_ind, unnest([2, 3]) AS g, unnest([1, 2]) AS i FROM few)
 WHERE id_ind IS NULL
 UNION ALL
-SELECT batch, site, date, id_ind, mass, 0 FROM few WHERE id_ind IS NOT NULL""")
+SELECT batch, site, date, id_ind, round(mass, 4), 0 FROM few WHERE id_ind IS NOT NULL""")
 def replicate_rows(spark, folder):
     few = tables.shipment_visits(spark, folder).filter("mass > 19000").select("batch", "site", "date", "id_ind", "mass")
     unnamed = rows.repeat_as(few.filter("id_ind IS NULL"), "id_ind", [2, 3])
-    return rows.append(unnamed.withColumn("copy", F.col("id_ind") - 1),
-                       few.filter("id_ind IS NOT NULL").withColumn("copy", F.lit(0)))
+    out = rows.append(unnamed.withColumn("copy", F.col("id_ind") - 1),
+                      few.filter("id_ind IS NOT NULL").withColumn("copy", F.lit(0)))
+    return out.withColumn("mass", F.round("mass", 4))
 
 
 @query(f"""
 WITH {base.OBS}
-SELECT batch, site, campaign, date, id_ind, code_param, value FROM obs
+SELECT batch, site, campaign, date, id_ind, code_param, round(value, 4) AS value FROM obs
 UNION ALL
 SELECT batch, site, campaign, DATE '1996-01-01', id_ind, code_param, 50.0 FROM obs
 WHERE batch = 1996 AND code_param = 'alive' AND date = DATE '1996-03-01'
@@ -211,7 +213,7 @@ def copy_edit_insert(spark, folder):
     return rows.copy_edit(tables.shipments(spark, folder), [
         (march, {"date": F.lit("1996-01-01"), "value": F.lit(50.0)}),
         (full, {"code_param": F.lit("dead"), "value": F.lit(0.0)}),
-    ])
+    ]).withColumn("value", F.round("value", 4))
 
 
 @query(f"""

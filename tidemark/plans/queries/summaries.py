@@ -16,13 +16,13 @@ BAG = ["batch", "site", "id_ind"]
 @query(f"""
 WITH {base.OBS}
 SELECT batch, site, code_param, count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 6) AS mean,
-       min(date) AS first_date, max(date) AS last_date, min(value) AS least, max(value) AS most
+       min(date) AS first_date, max(date) AS last_date, round(min(value), 4) AS least, round(max(value), 4) AS most
 FROM obs GROUP BY ALL""")
 def group_stats(spark, folder):
     return tables.shipments(spark, folder).groupBy("batch", "site", "code_param").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 6).alias("mean"),
-        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.min("value").alias("least"),
-        F.max("value").alias("most"))
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.round(F.min("value"), 4).alias("least"),
+        F.round(F.max("value"), 4).alias("most"))
 
 
 @query("""
@@ -102,23 +102,23 @@ def endpoint_median(spark, folder):
 @query(f"""
 WITH {base.VISITS},
 e AS (SELECT batch, site, min(date) AS f, max(date) AS l FROM visits GROUP BY ALL)
-SELECT max(CASE WHEN date = l THEN mass END) AS last_bound, max(CASE WHEN date = f THEN mass END) AS first_bound
+SELECT round(max(CASE WHEN date = l THEN mass END), 4) AS last_bound, round(max(CASE WHEN date = f THEN mass END), 4) AS first_bound
 FROM visits JOIN e USING (batch, site)""")
 def endpoint_bounds(spark, folder):
     visits = tables.shipment_visits(spark, folder)
     last = aggregates.endpoint_max(visits, ["batch", "site"], "date", "mass", name="last_bound")
     first = aggregates.endpoint_max(visits, ["batch", "site"], "date", "mass", last=False, name="first_bound")
-    return last.withColumn("first_bound", first.scalar())
+    return last.select(F.round("last_bound", 4).alias("last_bound"), F.round(first.scalar(), 4).alias("first_bound"))
 
 
 @query(f"""
 WITH {base.OBS}
 SELECT batch, site, id_ind, date, max(CASE WHEN code_param = 'dead' THEN value END) AS dead,
-       max(CASE WHEN code_param = 'alive' THEN value END) AS alive, max(CASE WHEN code_param = 'mass' THEN value END) AS mass
+       max(CASE WHEN code_param = 'alive' THEN value END) AS alive, round(max(CASE WHEN code_param = 'mass' THEN value END), 4) AS mass
 FROM obs GROUP BY ALL""")
 def pivot_values(spark, folder):
     return reshape.pivot_values(tables.shipments(spark, folder), [*BAG, "date"], "code_param", "value",
-                                ["dead", "alive", "mass"])
+                                ["dead", "alive", "mass"]).withColumn("mass", F.round("mass", 4))
 
 
 @query(f"""
@@ -139,10 +139,10 @@ def pivot_guard(spark, folder):
 @query(f"""
 WITH {base.LINES}
 SELECT batch, site, id_ind, date, 'quantity' AS variable, quantity AS measure FROM lines
-UNION ALL SELECT batch, site, id_ind, date, 'price', price FROM lines""")
+UNION ALL SELECT batch, site, id_ind, date, 'price', round(price, 4) FROM lines""")
 def unpivot_measures(spark, folder):
     return reshape.unpivot_measures(tables.shipment_lines(spark, folder), [*BAG, "date"], ["quantity", "price"],
-                                    "variable", "measure")
+                                    "variable", "measure").withColumn("measure", F.round("measure", 4))
 
 
 @query(f"""
@@ -163,11 +163,11 @@ def group_min_attach(spark, folder):
 
 @query(f"""
 WITH {base.LINES}
-SELECT batch, site, id_ind, date, quantity, price FROM lines
+SELECT batch, site, id_ind, date, quantity, round(price, 4) AS price FROM lines
 QUALIFY rank() OVER (PARTITION BY batch, site, id_ind ORDER BY date) = 1""")
 def first_visit_rows(spark, folder):
     lines = tables.shipment_lines(spark, folder).select(*BAG, "date", "quantity", "price")
-    return selection.rows_at_bound(lines, BAG, "date")
+    return selection.rows_at_bound(lines, BAG, "date").withColumn("price", F.round("price", 4))
 
 
 @query(f"""

@@ -161,7 +161,7 @@ m AS (SELECT * FROM mean_rates QUALIFY count(*) OVER (PARTITION BY batch, site)
 w AS (SELECT * FROM spliced QUALIFY count(*) OVER (PARTITION BY batch, site) >= 4
       AND month(max(date) OVER (PARTITION BY batch, site)) >= 10)
 SELECT s_suppkey AS site, name, zone, batch AS campaign, date, date_diff('day', make_date(batch, 1, 1), date)::INT AS DOY,
-       round(mean_cm, 3) AS mean_cm, round(mean_mass, 2) AS mean_mass
+       round(mean_cm, 6) AS mean_cm, round(mean_mass, 2) AS mean_mass
 FROM (SELECT * FROM m FULL JOIN w USING (batch, site, date)) f JOIN supplier ON s_suppkey = f.site JOIN sites n ON n.site = s_nationkey""")
 def final_assembly(spark, folder):
     spliced = ind.splice(_individual_mass(spark, folder), _bag_mass(spark, folder), VISIT, "individual_mass", "bag_mass",
@@ -172,7 +172,7 @@ def final_assembly(spark, folder):
         F.col("s_suppkey").alias("site"), "name", "zone")
     table = ind.assemble(gate_days(_mean_rates(spark, folder), group, 4, 10), gate_days(spliced, group, 4, 10), suppliers,
                          VISIT, "site", "date", F.col("batch"), {"campaign": F.col("batch")})
-    return table.select("site", "name", "zone", "campaign", "date", "DOY", F.round("mean_cm", 3).alias("mean_cm"),
+    return table.select("site", "name", "zone", "campaign", "date", "DOY", F.round("mean_cm", 6).alias("mean_cm"),
                         F.round("mean_mass", 2).alias("mean_mass"))
 
 
