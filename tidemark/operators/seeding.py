@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.nulls import is_true
@@ -45,8 +45,11 @@ def zero_fill_rows(df: DataFrame, at: Layout) -> DataFrame:
     is_dead = F.col(at.param) == at.dead
     bags = df.groupBy(*at.bag_keys).agg(
         F.min(at.date).alias("__any"), F.min(F.when(is_dead, F.col(at.date))).alias(at.date))
-    starts = bags.groupBy(*at.group).agg(F.min("__any").alias("__start"))
-    late = join_keys(bags, starts, list(at.group)).filter(F.col(at.date) != F.col("__start")).drop("__any")
+    # both readers of `bags` need both of its columns, so the planner shares one shuffle between them
+    starts = bags.groupBy(*at.group).agg(F.min("__any").alias("__start"), F.max(at.date).alias("__dead")).filter(
+        F.col("__dead").isNotNull()).drop("__dead")
+    late = join_keys(bags, starts, list(at.group)).filter(
+        (F.col(at.date) != F.col("__start")) & (F.col("__any") >= F.col("__start"))).drop("__any")
     copied = join_keys(df.filter(is_dead), late, [*at.bag_keys, at.date])
     return copied.withColumn(at.date, F.col("__start")).withColumn(
         at.value, F.lit(0).cast(df.schema[at.value].dataType)).select(*df.columns)
@@ -99,22 +102,23 @@ def seed_fill_rows(df: DataFrame, seeds: list[Seed], at: Layout) -> DataFrame:
         )
     )
     d = F.col(at.date)
-    alive_day = F.when(F.col("__alive_n") > 0, d)
-    alive = (
-        days.groupBy(*keys, "__day", "__fill").agg(
-            F.min_by("__sum", F.when(~F.col("__later") | (d > F.col("__day")), d)).alias(at.value),
-            F.min(alive_day).alias("__first"),
-            F.min_by("__alive_n", alive_day).alias("__n"),
-        )
-        .filter(F.col("__fill") & (F.col("__first") != F.col("__day")) & F.col(at.value).isNotNull())
-        .withColumn(at.param, F.lit(at.alive)).drop("__first", "__fill")
-    )
-    dead_days = days.filter(F.col("__dead") & F.col("__fill") & (F.col("__dead_n") > 0))
-    over = [k for k in keys if k != at.group[0]] + ["__seed"]
-    firsts = dead_days.groupBy(*over).agg(F.min(d).alias(at.date))
-    dead = join_keys(dead_days, firsts, [*over, at.date], "left_semi").select(
-        *keys, "__day", F.lit(0.0).alias(at.value), F.col("__dead_n").alias("__n"), F.lit(at.dead).alias(at.param))
-    rows = repeat_rows(alive.unionByName(dead), "__n").withColumnRenamed("__day", at.date)
+    alive_day, dead_day = (F.when(F.col(n) > 0, d) for n in ("__alive_n", "__dead_n"))
+    bags = days.groupBy(*keys, "__seed", "__day", "__dead", "__fill").agg(
+        F.min_by("__sum", F.when(~F.col("__later") | (d > F.col("__day")), d)).alias("__total"),
+        F.min(alive_day).alias("__alive_first"), F.min_by("__alive_n", alive_day).alias("__alive_n"),
+        F.min(dead_day).alias("__dead_first"), F.min_by("__dead_n", dead_day).alias("__dead_n"),
+    ).filter("__fill")
+    # one row per batch that used the same bag of a site: a handful
+    over = Window.partitionBy(*[k for k in keys if k != at.group[0]], "__seed")
+    first_dead = F.min(F.when(F.col("__dead"), F.col("__dead_first"))).over(over)
+    bags = bags.withColumn("__first", first_dead)
+    add_alive = (F.col("__alive_first") != F.col("__day")) & F.col("__total").isNotNull()
+    alive = F.struct(F.lit(at.alive).alias(at.param), F.col("__total").cast("double").alias(at.value),
+                     F.col("__alive_n").alias("__n"))
+    dead = F.struct(F.lit(at.dead).alias(at.param), F.lit(0.0).alias(at.value), F.col("__dead_n").alias("__n"))
+    new = F.array(F.when(add_alive, alive), F.when(F.col("__dead_first") == F.col("__first"), dead))
+    added = bags.select(*keys, F.col("__day").alias(at.date), F.inline(F.filter(new, lambda r: r.isNotNull())))
+    rows = repeat_rows(added, "__n")
     return rows.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in at.columns])
 
 
