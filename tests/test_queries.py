@@ -13,9 +13,11 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."
 import __spark_entry__ as entry  # noqa: E402
 from check_queries import compare  # noqa: E402
 
+from tidemark.operators.selection import best_rows  # noqa: E402
+
 QUERIES = entry.queries()
-FITTED = {"aic", "fit", "grid", "growth", "indicator", "invalid", "model", "param", "predict", "residuals", "season", "combined",
-          "unsettled"}
+FITTED = {"fit_logistic3", "fit_gompertz3", "fit_logistic4", "fit_gompertz4", "fit_quality", "predict_grid", "residuals",
+          "season_snapshot", "growth_ratio", "indicator_pairs", "combined_predictions"}
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +39,7 @@ def test_same_rows_as_sql(spark, con, small, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)
     assert not re.search("Window .*, \\[\\]", plan)
-    assert bool(re.search("MapInPandas", plan)) == (name.split("_")[0] in FITTED)
+    assert bool(re.search("MapInPandas", plan)) == (name in FITTED)
     assert not re.search("BatchEvalPython|ArrowEvalPython|FlatMapGroups", plan)
 
 
@@ -68,7 +70,9 @@ def test_row_steps_shuffle_nothing(spark, small):
 
 
 def test_best_fit_is_limited_before_the_shuffle(spark, small):
-    assert "WindowGroupLimit" in plan_of(spark, small, "model_share")
+    fits = spark.createDataFrame([("s", "L", 1.0)], "site string, model string, aic double")
+    plan = best_rows(fits.repartition(3), ["site"], "aic")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit [site#") < plan.rindex("WindowGroupLimit [site#")
 
 
 def test_sort_order_is_not_relied_on(spark, small):

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.nulls import mean, ratio
 from tidemark.operators.joins import join_keys
-from tidemark.operators.selection import rows_at_bound
 
 
 def mean_of_means(df: DataFrame, inner: list[str], outer: list[str], value: Column, name: str,
@@ -27,13 +26,13 @@ def percent_share(df: DataFrame, keys: list[str], count: str = "n", percent: str
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median",
-                 count: str | None = None, accuracy: int = 10000) -> DataFrame:
+                 count: str | None = None, accuracy: int = 10000, buckets: int = 4096) -> DataFrame:
     """Exact median per group without holding a group's values anywhere.
 
-    Pass 1 keeps a mergeable quantile sketch per group. Its rank error is at most ``1/accuracy``, so
-    two of its quantiles bracket the middle. Pass 2 counts the rows below the bracket and the rows
-    per distinct value inside it (a few parts in ``accuracy`` of the group) and reads off the middle
-    ranks from the running counts.
+    A mergeable quantile sketch per group brackets the middle: its rank error is at most ``1/accuracy``.
+    The rows below the bracket are counted, those inside it (a few parts in ``accuracy`` of the group)
+    per distinct value. The bracket is then cut into equal ``buckets``; running counts over at most that
+    many rows tell which of them hold the middle ranks, and only those are ranked value by value.
     """
     known = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     margin = 4.0 / accuracy
@@ -41,30 +40,44 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
         F.count(F.lit(1)).alias("__n"),
         F.percentile_approx("__v", [0.5 - margin, 0.5 + margin], accuracy).alias("__q"),
     )
+    low_end, high_end = F.col("__q")[0], F.col("__q")[1]
+    place = F.floor((F.col("__v") - low_end) / F.nullif(high_end - low_end, F.lit(0.0)) * buckets)
     slots = (
         join_keys(known, brackets, keys)
-        .filter(F.col("__v") <= F.col("__q")[1])
-        .withColumn("__slot", F.when(F.col("__v") >= F.col("__q")[0], F.col("__v")))
-        .groupBy(*keys, "__n", "__slot").agg(F.count(F.lit(1)).alias("__m"))
-    )
-    upto = F.sum("__m").over(
-        Window.partitionBy(*keys).orderBy(F.col("__slot").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .filter(F.col("__v") <= high_end)
+        .withColumn("__slot", F.when(F.col("__v") >= low_end, F.col("__v")))
+        .withColumn("__bucket", F.when(F.col("__slot").isNull(), -1).otherwise(F.coalesce(place, F.lit(0))))
+        .groupBy(*keys, "__n", "__bucket", "__slot").agg(F.count(F.lit(1)).alias("__m"))
     )
     low, high = F.floor((F.col("__n") + 1) / 2), F.ceil((F.col("__n") + 1) / 2)
-    ranked = slots.withColumn("__hi", upto).withColumn("__lo", F.col("__hi") - F.col("__m") + 1)
-    holds_low = (F.col("__lo") <= low) & (low <= F.col("__hi"))
-    holds_high = (F.col("__lo") <= high) & (high <= F.col("__hi"))
-    out = [((F.max(F.when(holds_low, F.col("__slot"))) + F.max(F.when(holds_high, F.col("__slot")))) / 2).alias(name)]
+
+    def running(over: list[str], by: str) -> Column:
+        frame = Window.partitionBy(*over).orderBy(F.col(by).asc_nulls_first())
+        return F.sum("__m").over(frame.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    per_bucket = slots.groupBy(*keys, "__n", "__bucket").agg(F.sum("__m").alias("__m"))
+    placed = per_bucket.withColumn("__to", running(keys, "__bucket")).withColumn("__before", F.col("__to") - F.col("__m"))
+    middle = placed.filter((F.col("__before") < high) & (low <= F.col("__to"))).select(*keys, "__bucket", "__before")
+    ranked = join_keys(slots, middle, [*keys, "__bucket"]).withColumn(
+        "__hi", F.col("__before") + running([*keys, "__bucket"], "__slot")).withColumn(
+        "__lo", F.col("__hi") - F.col("__m") + 1)
+    at_low = F.when(low.between(F.col("__lo"), F.col("__hi")), F.col("__slot"))
+    at_high = F.when(high.between(F.col("__lo"), F.col("__hi")), F.col("__slot"))
+    out = [((F.max(at_low) + F.max(at_high)) / 2).alias(name)]
     if count:
         out.append(F.max("__n").alias(count))
     return ranked.groupBy(*keys).agg(*out)
 
 
-def endpoint_median(df: DataFrame, keys: list[str], order: str, last: bool = False, name: str = "median") -> DataFrame:
-    """Median over all groups of their first (or last) ``order`` value; tied rows count each."""
-    ends = rows_at_bound(df.filter(F.col(order).isNotNull()), keys, order, last)
-    return exact_median(ends.withColumn("__all", F.lit(1)), ["__all"], order, name).select(name)
+def endpoint_median(df: DataFrame, keys: list[str], day: str, last: bool = False, name: str = "median") -> DataFrame:
+    """Median over all groups of their first (or last) day; tied rows count each.
+
+    The final aggregate holds one entry per distinct day, which the calendar bounds.
+    """
+    ends = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("__k")).groupBy(*keys).agg(
+        (F.max if last else F.min)(day).alias("__end"), (F.max_by if last else F.min_by)("__k", day).alias("__k"))
+    weights = ends.filter(F.col("__end").isNotNull()).groupBy("__end").agg(F.sum("__k").alias("__w"))
+    return weights.agg(F.percentile("__end", 0.5, F.col("__w")).alias(name))
 
 
 def endpoint_max(df: DataFrame, keys: list[str], order: str, value: str, last: bool = True,

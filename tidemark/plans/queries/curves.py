@@ -12,6 +12,7 @@ from tidemark.operators.rows import append
 from tidemark.plans.queries import base
 from tidemark.plans.queries.fit_sql import KEYS, curve_value, fits_sql
 from tidemark.plans.queries.registry import query
+from tidemark.session import cut_lineage
 from tidemark.sources import tables
 
 GROUP = ["class_age", "site", "campaign"]
@@ -26,12 +27,15 @@ _ROUNDED = """class_age, site, campaign, model, round(a, 6) AS a, round(b, 6) AS
        round(rss, 6) AS rss, round(aic, 4) AS aic"""
 
 
-def _share_fits(spark, folder, chosen=(LOGISTIC, GOMPERTZ)):
-    return fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "share", SHARE_BOX, models=chosen, rounds=ROUNDS)
+def _share_fits(spark, folder, chosen=(LOGISTIC, GOMPERTZ), cut=False):
+    """``cut`` where a query reads the fits more than once, so that the search runs once."""
+    fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "share", SHARE_BOX, models=chosen, rounds=ROUNDS)
+    return cut_lineage(fits) if cut else fits
 
 
-def _mass_fits(spark, folder, chosen=(LOGISTIC, GOMPERTZ)):
-    return fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "mass", MASS_BOX, models=chosen, rounds=ROUNDS)
+def _mass_fits(spark, folder, chosen=(LOGISTIC, GOMPERTZ), cut=False):
+    fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "mass", MASS_BOX, models=chosen, rounds=ROUNDS)
+    return cut_lineage(fits) if cut else fits
 
 
 def _rounded(fits):
@@ -76,14 +80,14 @@ WITH {SHARE_FITS}, best AS (
 t AS (SELECT model, count(*) AS n FROM best GROUP BY ALL)
 SELECT model, n, round_even(100.0::DOUBLE * n / (SELECT sum(n) FROM t), 0) AS percent FROM t""")
 def model_share(spark, folder):
-    return models.model_share(_share_fits(spark, folder), GROUP)
+    return models.model_share(_share_fits(spark, folder, cut=True), GROUP)
 
 
 @query(f"""
 WITH {SHARE_FITS} SELECT class_age, model, round(median(aic), 4) AS median_aic, count(aic) AS n FROM fits
 WHERE aic IS NOT NULL GROUP BY ALL""")
 def aic_median(spark, folder):
-    out = models.median_scores(_share_fits(spark, folder), ["class_age", "model"])
+    out = models.median_scores(_share_fits(spark, folder, cut=True), ["class_age", "model"])
     return out.withColumn("median_aic", F.round("median_aic", 4))
 
 
@@ -93,7 +97,7 @@ WITH {MASS_FITS}, long AS (
   UNPIVOT (estimate FOR term IN (a, b, c, d)))
 SELECT site, term, round(median(estimate), 6) AS median, count(*) AS n FROM long GROUP BY ALL""")
 def param_median(spark, folder):
-    fits = _mass_fits(spark, folder, (LOGISTIC,)).filter("aic IS NOT NULL")
+    fits = _mass_fits(spark, folder, (LOGISTIC,), cut=True).filter("aic IS NOT NULL")
     long = models.parameters_long(fits, GROUP)
     return models.parameter_medians(long, ["site"]).withColumn("median", F.round("median", 6))
 
@@ -122,7 +126,7 @@ def residuals(spark, folder):
 WITH {SHARE_FITS}, bad AS (SELECT * FROM fits WHERE aic IS NULL OR NOT converged)
 SELECT DISTINCT {KEYS}, DOY, round(share, 6) AS share FROM curves SEMI JOIN bad USING ({KEYS})""")
 def invalid_fit_points(spark, folder):
-    fits = _share_fits(spark, folder)
+    fits = _share_fits(spark, folder, cut=True)
     bad = append(models.invalid_score(fits), models.unsettled(fits))
     points = predict.observed_of(bad, tables.order_curves(spark, folder), GROUP)
     return points.select(*GROUP, "DOY", F.round("share", 6).alias("share"))
@@ -133,7 +137,7 @@ WITH {SHARE_FITS}, bad AS (SELECT {KEYS}, model FROM fits WHERE NOT converged)
 SELECT {KEYS}, model, x::INT AS DOY, round({curve_value('x')}, 6) AS fitted
 FROM fits JOIN bad USING ({KEYS}, model), range(65, 338) r(x)""")
 def unsettled_predictions(spark, folder):
-    fits = _share_fits(spark, folder)
+    fits = _share_fits(spark, folder, cut=True)
     failed = models.unsettled(fits).select(*GROUP, "model")
     out = join_keys(predict.predict_days(fits), failed, [*GROUP, "model"])
     return out.select(*GROUP, "model", "DOY", F.round("fitted", 6).alias("fitted"))
@@ -194,7 +198,7 @@ SELECT class_age, model, bin, count(*) AS n, round(lo + (hi - lo) * (bin - 1) /
   SELECT class_age, model, lo, hi, least(floor((aic - lo) / (hi - lo) * 60) + 1, 60)::INT AS bin
   FROM fits JOIN e USING (class_age, model) WHERE aic IS NOT NULL) GROUP BY ALL""")
 def aic_histogram(spark, folder):
-    out = models.histogram(_share_fits(spark, folder), ["class_age", "model"], "aic", 60)
+    out = models.histogram(_share_fits(spark, folder, cut=True), ["class_age", "model"], "aic", 60)
     return out.withColumn("bin_start", F.round("bin_start", 4))
 
 
@@ -214,7 +218,7 @@ k AS (
   FROM binned, range(128) t(p) GROUP BY ALL)
 SELECT site, term, point, round(x, 6) AS x, round(v / max(v) OVER (PARTITION BY site, term), 6) AS scaled FROM k""")
 def param_density(spark, folder):
-    fits = _share_fits(spark, folder, (GOMPERTZ,)).filter("aic IS NOT NULL")
+    fits = _share_fits(spark, folder, (GOMPERTZ,), cut=True).filter("aic IS NOT NULL")
     long = models.parameters_long(fits, GROUP)
     out = models.scaled_density(long, ["site", "term"], "estimate")
     return out.withColumns({"x": F.round("x", 6), "scaled": F.round("scaled", 6)})
