@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans import cleaning, modelling
+from tidemark.session import cut_lineage
 from tidemark.sources import sinks
 from tidemark.sources.observations import RAW_POSITIONS, RAW_WIDTH, in_box, in_scope, read_raw, read_sites, typed, with_keys
 
@@ -138,9 +139,12 @@ def test_models_and_predictions(spark, inputs):
     clean = spark.createDataFrame(rows, "num int, site string, name string, zone_en string, lat double, long double, campaign int, "
                                   "class_age string, batch string, date string, DOY int, mean_CM double, mean_mass double")
     assert modelling.measured(clean, "N0", "mortality").count() == 2 * 13
-    fits = modelling.fit_all(clean, rounds=4)
+    fits = cut_lineage(modelling.fit_all(clean, rounds=4))
     assert fits.count() == 2 * 2 * 2 * 2
-    table = modelling.predicted_table(fits, inputs[2])
+    picked = {(r.class_age, r.measure): (r.model, r.n, r.percent) for r in modelling.selection_table(fits).collect()}
+    assert picked == {(c, m): (w, 2, 100.0) for c in ("N0", "J1") for m, w in modelling.WINNERS.items()}
+    table = modelling.predicted_table(fits, inputs[2], modelling.WINNERS)
+    assert table.exceptAll(modelling.predicted_table(fits, inputs[2])).count() == 0
     assert table.columns == modelling.PREDICTED_COLUMNS and table.count() == 2 * 2 * 273
     r = table.filter("class_age = 'J1' AND campaign = 2010 AND DOY = 337").first()
     assert r.mass_pred == pytest.approx(20 + 40 / (1 + math.exp(-0.04 * 147)), abs=0.1)

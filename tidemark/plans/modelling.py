@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.curves import GOMPERTZ, LOGISTIC
+from tidemark.functions.nulls import ratio
 from tidemark.operators.fit import Box, fit_curves
+from tidemark.operators.joins import join_keys
 from tidemark.operators.predict import predict_days, publish
+from tidemark.operators.selection import best_rows
 
 # Parameter boxes per age class and measure.
 BOXES = {
@@ -16,7 +19,7 @@ BOXES = {
     ("J1", "mass"): Box(a=(0, 86), b=(0, 0.2), c=(0, 365), d=(0, 69)),
     ("J1", "mortality"): Box(a=(0, 1), b=(0, 0.2), c=(0, 365)),
 }
-WINNERS = {"mass": LOGISTIC, "mortality": GOMPERTZ}
+WINNERS = {"mass": LOGISTIC, "mortality": GOMPERTZ}  # the published choice
 MEASURES = {"mass": "mean_mass", "mortality": "mean_CM"}
 GROUP = ["site", "campaign"]
 PREDICTED_COLUMNS = ["num", "site", "name", "zone_en", "lat", "long", "campaign", "class_age", "DOY", "CM_pred",
@@ -42,13 +45,34 @@ def fit_all(clean: DataFrame, rounds: int = 5) -> DataFrame:
     return out
 
 
-def predicted_table(fits: DataFrame, sites: DataFrame, winners: dict[str, str] = WINNERS) -> DataFrame:
-    """Daily predictions of the chosen model of each measure."""
+def selection_table(fits: DataFrame) -> DataFrame:
+    """How often each model has the lowest AIC, in percent within its class and measure."""
+    pair = ["class_age", "measure"]
+    tally = best_rows(fits, [*pair, *GROUP], "aic").groupBy(*pair, "model").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*pair))  # one row per model
+    return tally.withColumn("percent", F.bround(ratio(F.lit(100.0) * F.col("n"), total), 0))
+
+
+def winning_models(selection: DataFrame) -> DataFrame:
+    """The most frequent best model per class and measure; a tie goes to the first name."""
+    order = F.struct(F.col("n").alias("n"), (F.col("model") == GOMPERTZ).alias("first"))
+    return selection.groupBy("class_age", "measure").agg(F.max_by("model", order).alias("model"))
+
+
+def predicted_table(fits: DataFrame, sites: DataFrame, winners: dict[str, str] | None = None) -> DataFrame:
+    """Daily predictions of one model per measure: the given one, or the winner per class and measure.
+
+    Without ``winners`` the fits are read twice; write or checkpoint them first.
+    """
     keys = ["site", "campaign", "class_age", "DOY"]
+    if winners is None:
+        best = join_keys(fits, winning_models(selection_table(fits)), ["class_age", "measure", "model"], "left_semi")
+    else:
+        best = fits.filter(F.element_at(F.create_map(*[F.lit(v) for kv in winners.items() for v in kv]),
+                                        F.col("measure")) == F.col("model"))
 
     def chosen(measure: str, name: str) -> DataFrame:
-        best = fits.filter((F.col("measure") == measure) & (F.col("model") == winners[measure]))
-        return predict_days(best, name=name).select(*keys, name)
+        return predict_days(best.filter(F.col("measure") == measure), name=name).select(*keys, name)
 
     table = publish(chosen("mortality", "CM_pred"), chosen("mass", "mass_pred"), sites.drop("zone_fr"), keys, "site")
     return table.select(*PREDICTED_COLUMNS)
