@@ -93,6 +93,13 @@ def test_rounds_never_raise_the_rss_and_beat_random_starts(spark):
             assert r.rss <= sum((y - shape(a, b, c, d)(x)) ** 2 for x, y in points) + 1e-9
 
 
+def test_more_valleys_never_fit_worse(spark):
+    random.seed(9)
+    series = {f"s{i}": [(x, (5 if x > 110 else 0) + (20 if x > 290 else 0) + random.uniform(-2, 2)) for x in DAYS] for i in range(6)}
+    one, three = fit(spark, series, THREE, top=1), fit(spark, series, THREE, top=3)
+    assert all(three[k].rss <= one[k].rss + 1e-9 for k in one)
+
+
 def test_repeated_days_count_as_single_rows(spark):
     random.seed(6)
     points = [(x, logistic(40, .03, 200)(x) + random.gauss(0, 2)) for x in DAYS for _ in range(50)]

@@ -25,7 +25,7 @@ def raw_row(**cells):
 
 def visit(year, site, day, bag, alive=None, dead=None, total=None, cls="N0", origin="CN", place="AR", **more):
     code = f"RE{year % 100:02}_{'GJ' if cls == 'N0' else 'GA'}_{origin}{(year - 1) % 100:02}_{place}"
-    shared = dict(program="RESCO", site=site, class_age=cls, ploidy="diploïdes", date=day, id_ind=bag, pop_init_batch=code,
+    shared = dict(program="P", site=site, class_age=cls, ploidy="diploïdes", date=day, id_ind=bag, pop_init_batch=code,
                   mnemonic_sampling="R", fraction="Sans objet", method="comptage") | more
     return [raw_row(code_param=p, value=v, **shared)
             for p, v in (("INDVVIVNB", alive), ("INDVMORNB", dead), ("TOTVIVPOI", total)) if v is not None]
@@ -122,6 +122,14 @@ def test_csv_sink_round_trip(spark, tmp_path):
     assert sorted(map(str, map(tuple, back.collect()))) == sorted(["(None, 1, 'a \"b\", c')", "(2.5, 2, None)"])
 
 
+def test_parquet_folders_are_skipped(spark, tmp_path):
+    df = spark.createDataFrame([(2010, 1.0), (2011, 2.0)], "campaign int, v double")
+    sinks.write_table(df, str(tmp_path / "t"), ["campaign"])
+    one = spark.read.parquet(str(tmp_path / "t")).filter("campaign = 2011")
+    assert [r.v for r in one.collect()] == [2.0]
+    assert "PartitionFilters: [isnotnull(campaign" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_points_in_the_box(spark, inputs):
     assert in_box(inputs[2], "long", "lat").count() == 2
     assert in_box(inputs[2], "long", "lat", (-2, 7.5)).count() == 1

@@ -63,37 +63,57 @@ def _asymptotes(box: Box, n, sf, sff, sy, sfy, syy):
     return rss[pick], a[pick], d[pick]
 
 
-def _search_group(box: Box, model: str, x, n, sy, syy, rounds: int, steps: int, tie_digits: int):
+def _valleys(rss: np.ndarray, steps: int, top: int) -> np.ndarray:
+    """The lowest cells of the whole-box grid that no neighbour undercuts, at most ``top``, best first."""
+    height = np.pad(rss.reshape(steps, steps), 1, constant_values=np.inf)
+    around = [height[1 + i:steps + 1 + i, 1 + j:steps + 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    low = np.flatnonzero((rss <= np.min(around, axis=0).ravel()) & np.isfinite(rss))
+    return low[np.argsort(rss[low], kind="stable")][:top]
+
+
+def _search_group(box: Box, model: str, x, n, sy, syy, rounds: int, steps: int, tie_digits: int, top: int):
     """``a, b, c, d``, the RSS of the last round and of the one before it, for one group's days."""
     last = steps - 1
-    half_b, half_c = (hi - lo for lo, hi in (box.b, box.c))
-    b0, b1, c0, c1 = *box.b, *box.c
-    best, before = None, None
     total_n, total_y, total_yy = n.sum(), sy.sum(), syy.sum()
-    for number in range(rounds):
-        b = np.repeat(b0 + (b1 - b0) * np.arange(steps) / last, steps)
-        c = np.tile(c0 + (c1 - c0) * np.arange(steps) / last, steps)
-        if best is not None:  # the best cell so far stays a candidate
-            b, c, before = np.append(b, best[1]), np.append(c, best[2]), best[4]
+
+    def grid(b0, b1, c0, c1):
+        return (np.repeat(b0 + (b1 - b0) * np.arange(steps) / last, steps),
+                np.tile(c0 + (c1 - c0) * np.arange(steps) / last, steps))
+
+    def solve(b, c):
         growth = np.exp(-b[:, None] * (x[None, :] - c[:, None]))
         f = 1 / (1 + growth) if model == LOGISTIC else np.exp(-growth)
         rss, a, d = _asymptotes(box, total_n, f @ n, (f * f) @ n, total_y, f @ sy, total_yy)
-        known = np.flatnonzero(~np.isnan(rss))
-        if not known.size:
-            return None
-        # least RSS, ties to the smallest slope, then midpoint
-        first = known[np.lexsort((c[known], b[known], np.round(rss[known], tie_digits)))[0]]
-        best = a[first], b[first], c[first], d[first], rss[first]
-        # next: one and a half cells to each side, cut at the box
-        half_b, half_c = (h / last * 1.5 if number == 0 else h * 3 / last for h in (half_b, half_c))
-        b0, b1 = max(best[1] - half_b, box.b[0]), min(best[1] + half_b, box.b[1])
-        c0, c1 = max(best[2] - half_c, box.c[0]), min(best[2] + half_c, box.c[1])
-    return *best, before
+        # least RSS, ties to the smallest slope, then midpoint; undetermined cells come last
+        rss = np.where(np.isnan(rss), np.inf, rss)
+        return rss, a, d, np.lexsort((c, b, np.round(rss, tie_digits)))[0]
+
+    def refine(start):
+        best, before = start, None
+        half_b, half_c = ((hi - lo) / last * 1.5 for lo, hi in (box.b, box.c))
+        for _ in range(rounds - 1):
+            # one and a half cells to each side, cut at the box; the best cell so far stays a candidate
+            b, c = grid(max(best[1] - half_b, box.b[0]), min(best[1] + half_b, box.b[1]),
+                        max(best[2] - half_c, box.c[0]), min(best[2] + half_c, box.c[1]))
+            b, c, before = np.append(b, best[1]), np.append(c, best[2]), best[4]
+            rss, a, d, i = solve(b, c)
+            best = a[i], b[i], c[i], d[i], rss[i]
+            half_b, half_c = half_b * 3 / last, half_c * 3 / last
+        return *best, before
+
+    b, c = grid(*box.b, *box.c)
+    rss, a, d, first = solve(b, c)
+    if not np.isfinite(rss[first]):
+        return None
+    starts = [first] + [i for i in _valleys(rss, steps, top) if i != first][:top - 1]
+    found = [refine((a[i], b[i], c[i], d[i], rss[i])) for i in starts]
+    return min(found, key=lambda r: (round(r[4], tie_digits), r[1], r[2]))
 
 
 def fit_curves(df: DataFrame, keys: list[str], x: str, y: str, box: Box, models: tuple[str, ...] = curves.MODELS,
                rounds: int = 5, steps: int = 25, tie_digits: int = 9, tolerance: float = 1e-3,
-               perfect: float = 1e-12) -> DataFrame:
+               perfect: float = 1e-12,
+               top: int = 3) -> DataFrame:
     """Fit each model to each group; one row per group and model.
 
     ``x`` counts days and is an integer. The observations are first summed to one row per group and day
@@ -101,6 +121,8 @@ def fit_curves(df: DataFrame, keys: list[str], x: str, y: str, box: Box, models:
     has. The arrays are then spread by a partition count given by number: they are tiny in bytes but
     large in work, and AQE would fold them into one task.
 
+    The first grid's lowest ``top`` valleys are refined, so that a narrow second one is not missed.
+
     ``converged``: the last round improved the RSS by less than ``tolerance`` of itself. ``aic`` is NULL
     for a perfect fit (RSS at most ``perfect`` of the sum of squares).
     """
@@ -123,7 +145,7 @@ def fit_curves(df: DataFrame, keys: list[str], x: str, y: str, box: Box, models:
                 x, n, sy, syy = (np.array([day[k] for day in days]) for k in ("x", "n", "sy", "syy"))
                 with np.errstate(over="ignore", invalid="ignore"):
                     for m in models:
-                        found = _search_group(box, m, x, n, sy, syy, rounds, steps, tie_digits)
+                        found = _search_group(box, m, x, n, sy, syy, rounds, steps, tie_digits, top)
                         if found is not None:
                             rows.append((key, list(days), m, *found))
             yield pd.DataFrame(rows, columns=["g", "pts", "model", "a", "b", "c", "d", "after", "before"])

@@ -29,12 +29,12 @@ _ROUNDED = """class_age, site, campaign, model, round(a, 6) AS a, round(b, 6) AS
 
 def _share_fits(spark, folder, chosen=(LOGISTIC, GOMPERTZ), cut=False):
     """``cut`` where a query reads the fits more than once, so that the search runs once."""
-    fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "share", SHARE_BOX, models=chosen, rounds=ROUNDS)
+    fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "share", SHARE_BOX, models=chosen, rounds=ROUNDS, top=1)
     return cut_lineage(fits) if cut else fits
 
 
 def _mass_fits(spark, folder, chosen=(LOGISTIC, GOMPERTZ), cut=False):
-    fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "mass", MASS_BOX, models=chosen, rounds=ROUNDS)
+    fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "mass", MASS_BOX, models=chosen, rounds=ROUNDS, top=1)
     return cut_lineage(fits) if cut else fits
 
 

@@ -16,6 +16,12 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
     out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("nullValue", "NA").csv(path)
 
 
+def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Parquet for further work, in folders per value of ``by`` (campaign, say) so later filters skip files."""
+    out = df.write.mode("overwrite")
+    (out.partitionBy(*by) if by else out).parquet(path)
+
+
 def read_back(df_like: DataFrame, path: str) -> DataFrame:
     """Read a table written by ``write_csv`` under the schema of ``df_like``."""
     return df_like.sparkSession.read.schema(df_like.schema).option("header", True).option("nullValue", "NA").csv(path)
