@@ -129,6 +129,23 @@ def test_hashed_deletes_equal_filters(spark):
     assert plain(got) == plain(expected) and got.count() < df.count()
 
 
+def test_rules_from_a_table(spark):
+    import datetime as dt
+    none = [None] * 3
+    rows = [
+        (2, "delete", [B], ["S"], None, None, None, None, MOR, None, "not in", ["1"], None, dt.date(2011, 3, 5), *none, None, None),
+        (1, "copy", None, ["S"], None, "N0", 2011, None, VIV, None, None, None, [dt.date(2011, 3, 1)], None, *none, None,
+         [{"value": "7", "code_param": MOR, "date": "2011-03-09"}]),
+    ]
+    rules = ledger.rules_from_table(spark.createDataFrame(rows, ledger.RULE_TABLE))
+    assert [r.action for r in rules] == ["copy", "delete"] and rules[1].keyed
+    df = table(spark, [obs(B, "S", "2011-03-01", b, VIV, 3) for b in ("1", "2", None)])
+    got = plain(apply_ledger(df, rules)) - plain(df)
+    assert got == Counter([(B, "S", "2011-03-09", "1", MOR, 7.0), (B, "S", "2011-03-09", None, MOR, 7.0)])
+    with pytest.raises(ValueError):
+        ledger.rules_from_table(spark.createDataFrame(rows, ledger.RULE_TABLE), most=1)
+
+
 def test_hits_and_conflicts(spark):
     df = table(spark, [obs(B, "S", "2011-03-01", "1", VIV, 1), obs(B, "S", "2011-03-01", None, MOR, 2)])
     rules = [Rule("delete", site=("S",)), Rule("delete", param=MOR), Rule("delete", bag=(ledger.IN, ("9",)))]

@@ -116,6 +116,31 @@ class SeedFill:
 Step = Rule | ZeroFill | SeedFill
 
 
+RULE_TABLE = """seq int, action string, batch array<string>, site array<string>, not_site array<string>,
+    class_age string, campaign int, campaign_before int, param string, not_param string, bag_op string,
+    bags array<string>, `on` array<date>, after date, `values` array<double>, not_values array<double>,
+    below double, first_day boolean, sets array<map<string,string>>"""
+
+
+def rules_from_table(table: DataFrame, most: int = 10_000) -> list[Rule]:
+    """Rules kept as a table of the ``RULE_TABLE`` layout, in the order of ``seq``.
+
+    A ledger becomes part of the plan, so its size is checked; bulk deletes belong into ``anti_rules``.
+    """
+    rows = table.orderBy("seq").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules; use anti_rules for bulk deletes")
+    rules = []
+    for row in rows:
+        given = {k: v for k, v in row.asDict().items() if v is not None}
+        given.pop("seq")
+        bag = (given.pop("bag_op", ANY_BAG), tuple(given.pop("bags", ())))
+        days = {k: str(v) if k == "after" else tuple(map(str, v)) for k, v in given.items() if k in ("on", "after")}
+        lists = {k: tuple(v) for k, v in given.items() if isinstance(v, list) and k not in days}
+        rules.append(Rule(**{**given, **lists, **days, "bag": bag}))
+    return rules
+
+
 def rule_table(df: DataFrame, rules: Sequence[Rule], at: Layout) -> DataFrame:
     """Keyed delete rules as a table, one row per batch and site."""
     text = StringType()
