@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import op4_bins, op6_pu, op8_cascade, op10_packing
+from tidemark.llm import op3_suffix, op4_bins, op6_pu, op8_cascade, op10_packing
 from tidemark.llm.text import held_out
 
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What repeats of 100 bytes leave of every document."""
+    report = op3_suffix.repeat_report(table(spark, folder, "documents"))
+    return report.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_bins_matrices(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into id matrices."""
     return op4_bins.pack_matrices(table(spark, folder, "documents"))
@@ -42,6 +48,7 @@ def op10_packing_sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_repeats": op3_suffix_repeats,
     "op4_bins_matrices": op4_bins_matrices,
     "op6_pu_quality": op6_pu_quality,
     "op8_cascade_rules": op8_cascade_rules,
