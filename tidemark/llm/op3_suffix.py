@@ -8,7 +8,8 @@ the same document further left. Matches never cross documents, and strings are j
    Anchors that occur once cannot hide a repeat and stay where they are; only their hashes travel.
 2. *Hot anchors* (common lines: more than ``HOT`` segments) are dealt out by blocks of windows and the bytes that all windows
    of a block share, which splits what follows or precedes the common line.
-3. *Arrays.* Equal segments collapse to their first occurrence. Each shard of distinct segments gets a suffix array by
+3. *Arrays.* Equal segments collapse to their first occurrence; an anchor left with one segment is settled by that. Each
+   shard of distinct segments gets a suffix array by
    induced sorting and its permuted common prefixes; neighbouring suffixes that share ``length`` bytes form a class, and the
    first member of each class is the one that stays.
 4. Documents cut out every byte of their shared windows that are not first.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.suffixes import permuted_common_prefixes, suffix_array
-from tidemark.llm.text import bounded_batches, bytes_of, id_key, mix, slices, text_bytes
+from tidemark.llm.text import bounded_batches, bytes_of, id_key, mix, slices
 
 LENGTH = 100
 GRAM = 32
@@ -80,7 +81,7 @@ def _pack(start: np.ndarray, ahead: np.ndarray, count: np.ndarray) -> np.ndarray
 def _find_runs(length: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = bytes_of(batch, "__text"), batch.column(0).to_numpy()
+            texts, keys = bytes_of(batch, "text"), batch.column(0).to_numpy()
             for lo, hi in slices(texts):
                 for shift in range(0, max(1, max(len(t) for t in texts[lo:hi])), CHUNK):
                     parts = [t[shift:shift + CHUNK + length - 1] for t in texts[lo:hi]]
@@ -106,15 +107,12 @@ def _block_rows(text: bytes, start: int, ahead: int, count: int, anchor: int, le
 def _emit_segments(length: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = bytes_of(batch, "__text")
-            ids, keys, marks = (batch.column(batch.schema.get_field_index(c)) for c in ("__id", "__key", "__marks"))
+            texts = bytes_of(batch, "text")
+            ids, keys, anchors, marks = (batch.column(batch.schema.get_field_index(c)) for c in ("__id", "__key", "__anchors", "__marks"))
             found: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-            for text, doc, key, mark in zip(texts, ids.to_pylist(), keys.to_pylist(), marks):
-                if not mark.is_valid:
-                    continue
-                values = mark.values
-                for anchor, at, hot in zip(*(values.field(k).to_pylist() for k in range(3))):
-                    start, ahead, count = at >> 16, (at >> 8) & 255, at & 255
+            for text, doc, key, own, places in zip(texts, *(c.to_pylist() for c in (ids, keys, anchors, marks))):
+                for anchor, at in zip(own or (), places or ()):
+                    start, ahead, count, hot = at >> 17, (at >> 9) & 255, (at >> 1) & 255, at & 1
                     rows = (_block_rows(text, start, ahead, count, anchor, length) if hot
                             else ((anchor, start, text[start:start + count + length - 1]),))
                     for shard, lo, segment in rows:
@@ -140,6 +138,8 @@ def _segment_batch(found: dict) -> pa.RecordBatch:
 
 def first_windows(segments: list[bytes], places: list[tuple], length: int = LENGTH) -> list[np.ndarray]:
     """For each segment, which of its windows of ``length`` bytes occur in no segment with a smaller place."""
+    if not segments:
+        return []
     rank = np.empty(len(places), np.int64)
     rank[sorted(range(len(places)), key=places.__getitem__)] = np.arange(len(places))
     text = np.frombuffer(b"\0".join(segments), np.uint8).astype(np.int64)
@@ -173,8 +173,8 @@ def _runs_of(flags: np.ndarray) -> np.ndarray:
 
 
 def _sort_shards(length: int):
-    def resolve(groups: list[tuple[bytes, tuple]]) -> pa.RecordBatch:
-        rows = []
+    def resolve(groups: list[tuple[bytes, tuple]], lone: list[tuple[bytes, tuple]]) -> pa.RecordBatch:
+        rows = [(key, start, len(segment) - length + 1) for segment, (_, key, start) in lone]
         segments, places = [g[0] for g in groups], [g[1] for g in groups]
         for (_, key, start), first in zip(places, first_windows(segments, places, length)):
             rows.extend((key, start + int(a), int(b - a)) for a, b in _runs_of(first))
@@ -183,41 +183,43 @@ def _sort_shards(length: int):
                                           ["key", "start", "count"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, group, shard = [], 0, {}, None
+        held, lone, size, group, shard = [], [], 0, {}, None
         for batch in batches:
             for number, segment, doc, key, start in zip(*(c.to_pylist() for c in batch.columns)):
                 if number != shard:
-                    held.extend(group.items())
-                    size += sum(map(len, group))
+                    (held if len(group) > 1 else lone).extend(group.items())
+                    size += sum(map(len, group)) if len(group) > 1 else 0
                     group, shard = {}, number
-                    if size > SHARD_BYTES:
-                        yield resolve(held)
-                        held, size = [], 0
+                    if size > SHARD_BYTES or len(lone) > 50_000:
+                        yield resolve(held, lone)
+                        held, lone, size = [], [], 0
                 place, known = (doc, key, start), group.get(segment)
                 if known is None or place < known:
                     group[segment] = place
-        held.extend(group.items())
-        if held:
-            yield resolve(held)
+        (held if len(group) > 1 else lone).extend(group.items())
+        if held or lone:
+            yield resolve(held, lone)
     return sort
 
 
 def _shared_windows(docs: DataFrame, length: int) -> DataFrame:
     """``docs`` with, for each document, its shared runs of windows and the runs that are first of their kind."""
     bounded_batches(docs.sparkSession)
-    base = docs.withColumn("__text", text_bytes()).withColumn("__id", id_key()).withColumn(
+    base = docs.withColumn("__id", id_key()).withColumn(
         "__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    runs = base.select("__key", "__text").mapInArrow(_find_runs(length), "anchor long, key long, at long").where(
+    runs = base.select("__key", F.col("text").cast("string").alias("text")).mapInArrow(_find_runs(length), "anchor long, key long, at long").where(
         "anchor is not null and key is not null and at is not null").repartition("anchor")
     # the count names all columns, so that both readers of ``runs`` share one exchange
     often = runs.groupBy("anchor").agg(F.count(F.col("key").bitwiseXOR(F.col("at"))).alias("count")).where("count > 1")
     marks = (runs.join(often, "anchor").groupBy(F.col("key").alias("__key"))
-             .agg(F.collect_list(F.struct("anchor", "at", (F.col("count") > HOT).alias("hot"))).alias("__marks")))
+             .agg(F.collect_list("anchor").alias("__anchors"), F.collect_list(
+                 F.shiftleft("at", 1) + (F.col("count") > HOT).cast("long")).alias("__marks")))
     marked = base.join(marks, "__key", "left")
     firsts = (marked.mapInArrow(_emit_segments(length), "shard long, segment binary, id long, key long, start long")
               .repartition("shard").sortWithinPartitions("shard")
               .mapInArrow(_sort_shards(length), "key long, start long, count long")
-              .groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "count")).alias("__firsts")))
+              .groupBy(F.col("key").alias("__key")).agg(F.collect_list(
+                  F.shiftleft("start", 8) + F.col("count")).alias("__firsts")))
     return marked.join(firsts, "__key", "left")
 
 
@@ -226,15 +228,15 @@ def removed_spans(n: int, marks, firsts, length: int = LENGTH) -> np.ndarray:
     if marks is None or n < length:
         return np.zeros((0, 2), np.int64)
     step = np.zeros(n - length + 2, np.int32)
-    at = marks.field(1).to_numpy()
-    np.add.at(step, at >> 16, 1)
-    np.add.at(step, (at >> 16) + (at & 255), -1)
+    start = marks >> 17
+    np.add.at(step, start, 1)
+    np.add.at(step, start + ((marks >> 1) & 255), -1)
     later = np.cumsum(step[:-1]) > 0
     if firsts is not None:
         step[:] = 0
-        start, count = firsts.field(0).to_numpy(), firsts.field(1).to_numpy()
+        start = firsts >> 8
         np.add.at(step, start, 1)
-        np.add.at(step, start + count, -1)
+        np.add.at(step, start + (firsts & 255), -1)
         later &= np.cumsum(step[:-1]) == 0
     spans = _runs_of(later)
     if not len(spans):
@@ -251,9 +253,9 @@ def keep_rest(text: bytes, spans: np.ndarray) -> bytes:
 
 def _cut(batch: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, np.ndarray]]:
     marks, firsts = (batch.column(batch.schema.get_field_index(c)) for c in ("__marks", "__firsts"))
-    for text, mark, first in zip(bytes_of(batch, "__text"), marks, firsts):
-        yield text, removed_spans(len(text), mark.values if mark.is_valid else None,
-                                  first.values if first.is_valid else None, length)
+    for text, mark, first in zip(bytes_of(batch, "text"), marks, firsts):
+        yield text, removed_spans(len(text), mark.values.to_numpy() if mark.is_valid else None,
+                                  first.values.to_numpy() if first.is_valid else None, length)
 
 
 def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
