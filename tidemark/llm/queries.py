@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import op2_paths, op3_suffix, op4_bins, op6_pu, op8_cascade, op10_packing
+from tidemark.llm import op1_spots, op2_paths, op3_suffix, op4_bins, op6_pu, op8_cascade, op10_packing
 from tidemark.llm.text import held_out
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_spots_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return op1_spots.edit_report(table(spark, folder, "documents"))
+
+
 def op2_paths_links(spark: SparkSession, folder: str) -> DataFrame:
     """Class and links of every document."""
     return op2_paths.class_report(table(spark, folder, "documents"))
@@ -53,6 +58,7 @@ def op10_packing_sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spots_edits": op1_spots_edits,
     "op2_paths_links": op2_paths_links,
     "op3_suffix_repeats": op3_suffix_repeats,
     "op4_bins_matrices": op4_bins_matrices,
