@@ -29,6 +29,9 @@ from tidemark.session import wide_parallelism
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+ROUNDS, STEPS, VALLEYS, TIE_DIGITS = 5, 25, 3, 12
+
+
 @dataclass(frozen=True)
 class Box:
     """Parameter bounds. ``d`` is the base; the three-parameter curves have none."""
@@ -111,9 +114,8 @@ def _search_group(box: Box, model: str, x, n, sy, syy, rounds: int, steps: int,
 
 
 def fit_curves(df: DataFrame, keys: list[str], x: str, y: str, box: Box, models: tuple[str, ...] = curves.MODELS,
-               rounds: int = 5, steps: int = 25, tie_digits: int = 9, tolerance: float = 1e-3,
-               perfect: float = 1e-12,
-               top: int = 3) -> DataFrame:
+               rounds: int = ROUNDS, steps: int = STEPS, tie_digits: int = TIE_DIGITS, tolerance: float = 1e-3,
+               perfect: float = 1e-12, top: int = VALLEYS) -> DataFrame:
     """Fit each model to each group; one row per group and model.
 
     ``x`` counts days and is an integer. The observations are first summed to one row per group and day

@@ -122,14 +122,13 @@ RULE_TABLE = """seq int, action string, batch array<string>, site array<string>,
     below double, first_day boolean, sets array<map<string,string>>"""
 
 
-def rules_from_table(table: DataFrame, most: int = 10_000) -> list[Rule]:
+def rules_from_table(table: DataFrame) -> list[Rule]:
     """Rules kept as a table of the ``RULE_TABLE`` layout, in the order of ``seq``.
 
-    A ledger becomes part of the plan, so its size is checked; bulk deletes belong into ``anti_rules``.
+    Every rule becomes part of the plan, so all of them are read, whatever their number; bulk deletes that should stay a table
+    belong into ``anti_rules``.
     """
-    rows = table.orderBy("seq").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rules; use anti_rules for bulk deletes")
+    rows = table.orderBy("seq").collect()
     rules = []
     for row in rows:
         given = {k: v for k, v in row.asDict().items() if v is not None}
@@ -211,8 +210,7 @@ def apply_ledger(df: DataFrame, steps: Sequence[Step], at: Layout = Layout(), cu
     def flush(frame: DataFrame) -> DataFrame:
         if not pending:
             return frame
-        out = delete_keyed(frame, pending, at) if len(pending) > 3 else reduce(
-            lambda f, r: delete_where(f, r.matches(at)), pending, frame)
+        out = delete_keyed(frame, pending, at)
         pending.clear()
         return out
 

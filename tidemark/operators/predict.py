@@ -20,6 +20,11 @@ def predict_days(fits: DataFrame, first: int = 65, last: int = 337, x: str = "DO
     return fits.withColumn(x, F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn(name, _value(x))
 
 
+def predict_on(fits: DataFrame, days: list[int], x: str = "DOY", name: str = "fitted") -> DataFrame:
+    """Every fit evaluated on the given days only."""
+    return fits.withColumn(x, F.explode(F.array(*[F.lit(d) for d in days]))).withColumn(name, _value(x))
+
+
 def residuals(fits: DataFrame, observed: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Observed values with the fitted ones and the difference.
 

@@ -19,7 +19,6 @@ GROUP = ["class_age", "site", "campaign"]
 # The parameter boxes of cumulative mortality and of the mass above a starting mass.
 SHARE_BOX = Box(a=(0, 1), b=(0, 0.2), c=(0, 365))
 MASS_BOX = Box(a=(0, 86), b=(0, 0.2), c=(0, 365), d=(0, 69))
-ROUNDS = 2
 
 SHARE_FITS = base.CURVES + ", " + fits_sql("curves", "DOY", "share", SHARE_BOX)
 MASS_FITS = base.CURVES + ", " + fits_sql("curves", "DOY", "mass", MASS_BOX)
@@ -29,12 +28,12 @@ _ROUNDED = """class_age, site, campaign, model, round(a, 6) AS a, round(b, 6) AS
 
 def _share_fits(spark, folder, chosen=(LOGISTIC, GOMPERTZ), cut=False):
     """``cut`` where a query reads the fits more than once, so that the search runs once."""
-    fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "share", SHARE_BOX, models=chosen, rounds=ROUNDS, top=1)
+    fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "share", SHARE_BOX, models=chosen)
     return cut_lineage(fits) if cut else fits
 
 
 def _mass_fits(spark, folder, chosen=(LOGISTIC, GOMPERTZ), cut=False):
-    fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "mass", MASS_BOX, models=chosen, rounds=ROUNDS, top=1)
+    fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "mass", MASS_BOX, models=chosen)
     return cut_lineage(fits) if cut else fits
 
 
@@ -147,7 +146,7 @@ def unsettled_predictions(spark, folder):
 WITH {SHARE_FITS}
 SELECT {KEYS}, round({curve_value('337')}, 6) AS fitted, 'Death' AS variable FROM fits WHERE model = 'Gompertz'""")
 def season_snapshot(spark, folder):
-    out = predict.snapshot(predict.predict_days(_share_fits(spark, folder, (GOMPERTZ,))), 337)
+    out = predict.predict_on(_share_fits(spark, folder, (GOMPERTZ,)), [337])
     return out.select(*GROUP, F.round("fitted", 6).alias("fitted"), F.lit("Death").alias("variable"))
 
 
@@ -157,7 +156,7 @@ SELECT {KEYS}, round({curve_value('65')}, 6) AS first_value, round({curve_value(
        round({curve_value('337')} / nullif({curve_value('65')}, 0), 6) AS ratio
 FROM fits WHERE model = 'Logistic'""")
 def growth_ratio(spark, folder):
-    out = predict.growth_ratio(predict.predict_days(_mass_fits(spark, folder, (LOGISTIC,))), GROUP)
+    out = predict.growth_ratio(predict.predict_on(_mass_fits(spark, folder, (LOGISTIC,)), [65, 337]), GROUP)
     return out.withColumns({c: F.round(c, 6) for c in ("first_value", "last_value", "ratio")})
 
 
@@ -169,9 +168,9 @@ SELECT site, class_age, campaign, fitted, variable, name, zone FROM (
   SELECT {KEYS}, round({curve_value('337')} / nullif({curve_value('65')}, 0), 6), 'Growth' FROM mfits WHERE model = 'Logistic')
 LEFT JOIN sites USING (site)""")
 def indicator_pairs(spark, folder):
-    deaths = predict.snapshot(predict.predict_days(_share_fits(spark, folder, (GOMPERTZ,))), 337).select(
+    deaths = predict.predict_on(_share_fits(spark, folder, (GOMPERTZ,)), [337]).select(
         *GROUP, "fitted", F.lit("Death").alias("variable"))
-    growth = predict.growth_ratio(predict.predict_days(_mass_fits(spark, folder, (LOGISTIC,))), GROUP).select(
+    growth = predict.growth_ratio(predict.predict_on(_mass_fits(spark, folder, (LOGISTIC,)), [65, 337]), GROUP).select(
         *GROUP, F.col("ratio").alias("fitted"), F.lit("Growth").alias("variable"))
     both = append(deaths, growth).withColumn("fitted", F.round("fitted", 6))
     return join_keys(both, tables.nations(spark, folder), ["site"], "left")
@@ -180,15 +179,13 @@ def indicator_pairs(spark, folder):
 @query(f"""
 WITH {SHARE_FITS}, {fits_sql('curves', 'DOY', 'mass', MASS_BOX, name='mfits')}, {base.NATIONS},
 r AS (SELECT {KEYS}, x::INT AS DOY, {curve_value('x')} AS v FROM fits, range(65, 338) t(x) WHERE model = 'Gompertz'),
-m AS (SELECT {KEYS}, x::INT AS DOY, {curve_value('x')} AS v FROM mfits, range(65, 338) t(x)
-      WHERE model = 'Logistic' AND class_age = 'J1')
+m AS (SELECT {KEYS}, x::INT AS DOY, {curve_value('x')} AS v FROM mfits, range(65, 338) t(x) WHERE model = 'Logistic')
 SELECT site, campaign, class_age, DOY, round(r.v, 3) AS CM_pred, round(m.v, 2) AS mass_pred, name, zone
 FROM r FULL JOIN m USING (site, campaign, class_age, DOY) JOIN sites USING (site)""")
 def combined_predictions(spark, folder):
     keys = ["site", "campaign", "class_age", "DOY"]
     rates = predict.predict_days(_share_fits(spark, folder, (GOMPERTZ,)), name="CM_pred").select(*keys, "CM_pred")
-    grown = _mass_fits(spark, folder, (LOGISTIC,)).filter("class_age = 'J1'")
-    masses = predict.predict_days(grown, name="mass_pred").select(*keys, "mass_pred")
+    masses = predict.predict_days(_mass_fits(spark, folder, (LOGISTIC,)), name="mass_pred").select(*keys, "mass_pred")
     return predict.publish(rates, masses, tables.nations(spark, folder), keys, "site")
 
 

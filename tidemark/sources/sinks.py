@@ -10,15 +10,24 @@ def fixed_digits(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Quoted CSV with a header, ``NA`` for NULL. Every task writes its own file."""
+def sorted_rows(df: DataFrame, keys: list[str], within: bool = False) -> DataFrame:
+    """Rows in the order of ``keys``: over all files by ranges of the keys, or ``within`` each file only (no shuffle)."""
+    return df.sortWithinPartitions(*keys) if within else df.orderBy(*keys)
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, order: list[str] | None = None) -> None:
+    """Quoted CSV with a header, ``NA`` for NULL. Every task writes its own file, with ``order`` a range of the keys."""
     out = df.select(*columns) if columns else df
+    out = sorted_rows(out, order) if order else out
     out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("nullValue", "NA").csv(path)
 
 
-def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Parquet for further work, in folders per value of ``by`` (campaign, say) so later filters skip files."""
-    out = df.write.mode("overwrite")
+def write_table(df: DataFrame, path: str, by: list[str] | None = None, order: list[str] | None = None) -> None:
+    """Parquet for further work, in folders per value of ``by`` (campaign, say) so later filters skip files.
+
+    ``order`` sorts the rows within each file, so that row groups can be skipped, too.
+    """
+    out = (sorted_rows(df, [*(by or []), *order], within=True) if order else df).write.mode("overwrite")
     (out.partitionBy(*by) if by else out).parquet(path)
 
 
