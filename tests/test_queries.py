@@ -14,8 +14,8 @@ import __spark_entry__ as entry  # noqa: E402
 from check_queries import compare  # noqa: E402
 
 from tidemark.operators.selection import best_rows  # noqa: E402
+from tidemark.plans.queries import QUERIES, SQL  # noqa: E402
 
-QUERIES = entry.queries()
 FITTED = {"fit_logistic3", "fit_gompertz3", "fit_logistic4", "fit_gompertz4", "fit_quality", "predict_grid", "residuals",
           "season_snapshot", "growth_ratio", "indicator_pairs", "combined_predictions"}
 
@@ -29,13 +29,14 @@ def con(small):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(QUERIES)
+    assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows_as_sql(spark, con, small, name):
     df = QUERIES[name](spark, small)
-    assert compare(df.toPandas(), con.execute(entry.oracle_sql()[name]).df()) == "ok"
+    assert compare(df.toPandas(), con.execute(SQL[name]).df()) == "ok"
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)
     assert not re.search("Window .*, \\[\\]", plan)
@@ -77,3 +78,13 @@ def test_best_fit_is_limited_before_the_shuffle(spark, small):
 
 def test_sort_order_is_not_relied_on(spark, small):
     assert "GlobalLimit" not in plan_of(spark, small, "late_jump_flag")
+
+
+def test_snapshots_evaluate_only_their_days(spark, small):
+    for name in ("season_snapshot", "growth_ratio"):
+        assert "sequence(65, 337" not in plan_of(spark, small, name)
+
+
+def test_almost_all_fits_settle(spark, small):
+    rows = QUERIES["fit_quality"](spark, small.replace("0.001", "0.01")).collect()
+    assert sum(r.unsettled for r in rows) < 0.01 * sum(r.n for r in rows)

@@ -29,7 +29,7 @@ from tidemark.session import wide_parallelism
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-ROUNDS, STEPS, VALLEYS, TIE_DIGITS = 5, 25, 3, 12
+ROUNDS, STEPS, VALLEYS, TIE_DIGITS = 5, 25, 3, 9
 
 
 @dataclass(frozen=True)

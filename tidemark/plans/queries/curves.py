@@ -19,8 +19,10 @@ GROUP = ["class_age", "site", "campaign"]
 # The parameter boxes of cumulative mortality and of the mass above a starting mass.
 SHARE_BOX = Box(a=(0, 1), b=(0, 0.2), c=(0, 365))
 MASS_BOX = Box(a=(0, 86), b=(0, 0.2), c=(0, 365), d=(0, 69))
+# shares are small, so their residual sums are told apart further down
+SHARE_TIES = 12
 
-SHARE_FITS = base.CURVES + ", " + fits_sql("curves", "DOY", "share", SHARE_BOX)
+SHARE_FITS = base.CURVES + ", " + fits_sql("curves", "DOY", "share", SHARE_BOX, tie_digits=SHARE_TIES)
 MASS_FITS = base.CURVES + ", " + fits_sql("curves", "DOY", "mass", MASS_BOX)
 _ROUNDED = """class_age, site, campaign, model, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(d, 6) AS d, n, k,
        round(rss, 6) AS rss, round(aic, 4) AS aic"""
@@ -28,7 +30,7 @@ _ROUNDED = """class_age, site, campaign, model, round(a, 6) AS a, round(b, 6) AS
 
 def _share_fits(spark, folder, chosen=(LOGISTIC, GOMPERTZ), cut=False):
     """``cut`` where a query reads the fits more than once, so that the search runs once."""
-    fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "share", SHARE_BOX, models=chosen)
+    fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "share", SHARE_BOX, models=chosen, tie_digits=SHARE_TIES)
     return cut_lineage(fits) if cut else fits
 
 
