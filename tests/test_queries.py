@@ -20,10 +20,13 @@ FITTED = {"fit_logistic3", "fit_gompertz3", "fit_logistic4", "fit_gompertz4", "f
           "season_snapshot", "growth_ratio", "indicator_pairs", "combined_predictions"}
 
 
-@pytest.fixture(scope="module")
-def con(small):
+# on the smallest tables most groups have fewer points than a curve has parameters, so their parameters are not determined
+CURVES = {name for name in QUERIES if QUERIES[name].__module__.endswith(".curves") and name != "curve_samples"}
+
+
+def connect(folder):
     con = duckdb.connect()
-    for path in glob.glob(f"{small}/*.parquet"):
+    for path in glob.glob(f"{folder}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     return con
 
@@ -34,9 +37,10 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_same_rows_as_sql(spark, con, small, name):
-    df = QUERIES[name](spark, small)
-    assert compare(df.toPandas(), con.execute(SQL[name]).df()) == "ok"
+def test_same_rows_as_sql(spark, small, name):
+    folder = small.replace("0.001", "0.01") if name in CURVES else small
+    df = QUERIES[name](spark, folder)
+    assert compare(df.toPandas(), connect(folder).execute(SQL[name]).df()) == "ok"
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)
     assert not re.search("Window .*, \\[\\]", plan)
