@@ -67,14 +67,14 @@ def active_keys(captures: DataFrame, changes: DataFrame) -> DataFrame:
 
     ``captures`` has url_host, url_path and day (days since 1970-01-01).
     """
-    spans = captures.agg(F.min("day").alias("low"), F.max("day").alias("high"))
+    low, high = captures.agg(F.min("day")).scalar(), captures.agg(F.max("day")).scalar()
     distinct = captures.where("url_host <> '' and day is not null").distinct()
     period = lambda day: F.floor(day / F.lit(PERIOD)).cast("long")
     asked = distinct.withColumn("key", F.explode(keys_of(F.col("url_host"), F.col("url_path")))).withColumn(
         "period", period(F.col("day")))
-    cut = intervals(changes).crossJoin(F.broadcast(spans)).where("valid_from <= high and valid_to > low").select(
-        "key", "valid_from", "valid_to", F.explode(F.sequence(
-            period(F.greatest("valid_from", "low")), period(F.least(F.col("valid_to") - 1, F.col("high"))))).alias("period"))
+    dated = intervals(changes).withColumns({"low": low, "high": high})  # the days captured; a listing may last forever
+    cut = dated.where("valid_from <= high and valid_to > low").select("key", "valid_from", "valid_to", F.explode(F.sequence(
+        period(F.greatest("valid_from", "low")), period(F.least(F.col("valid_to") - 1, F.col("high"))))).alias("period"))
     met = asked.join(cut, ["key", "period"]).where("day >= valid_from and day < valid_to")
     return met.groupBy("url_host", "url_path", "day").agg(F.count("*").alias("n_active"), F.min("key").alias("first_key"))
 
