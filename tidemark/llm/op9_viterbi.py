@@ -17,6 +17,8 @@ result. Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.text import bounded_batches, bytes_of
 
 MARK = "▁"
-MEMO_SPANS = 400_000
+MEMO_SPANS = 400_000  # in each of two generations
 BYTE_PENALTY = 10.0
 LEAST_SCORE = -1e8
 _SPAN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -62,7 +64,9 @@ class Pieces:
         self.byte_score = floor - BYTE_PENALTY
         self.longest = max(map(len, self.score), default=1)
         self.spans_stand_alone = not any(MARK in p.lstrip(MARK) for p in self.score)
-        self.prefixes = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        # every beginning of a piece, with the score and id of those that are pieces themselves
+        self.steps = {p[:k]: self.score.get(p[:k]) for p in self.score for k in range(1, len(p) + 1)}
+        self.feed_stands_alone = not any("\n" in p for p in self.score)
 
 
 def stream_ids(chars: Iterable[str], pieces: Pieces) -> Iterator[int]:
@@ -126,21 +130,30 @@ def _trace(back: list, place: int) -> list[int]:
 def _search(span: str, pieces: Pieces) -> list[int]:
     """Ids of a span between two sure boundaries: the same search as ``stream_ids`` on a span shorter than its window."""
     n = len(span)
-    best, back, found_at = [0.0] + [-1e300] * n, [None] * (n + 1), pieces.score.get
-    prefixes, longest = pieces.prefixes, pieces.longest
+    best, back = [0.0] + [-1e300] * n, [None] * (n + 1)
+    step = pieces.steps.get
     for start in range(n):
-        base = best[start]
-        raw = span[start].encode("utf-8", "surrogatepass")
-        value = base + pieces.byte_score * len(raw)
-        if value > best[start + 1]:
-            best[start + 1], back[start + 1] = value, (start, None)
-        for end in range(start + 1, min(n, start + longest) + 1):
-            piece = span[start:end]
-            if piece not in prefixes:
+        base, stop = best[start], start + 1
+        found = step(span[start], False)
+        if found:
+            value = base + found[0]
+            if value > best[stop]:
+                best[stop], back[stop] = value, (start, found[1])
+        else:
+            # bytes score less than any piece, so they only serve characters without one
+            value = base + pieces.byte_score * len(span[start].encode("utf-8", "surrogatepass"))
+            if value > best[stop]:
+                best[stop], back[stop] = value, (start, None)
+            if found is False:
+                continue
+        for end in range(start + 2, n + 1):
+            found = step(span[start:end], False)
+            if found:
+                value = base + found[0]
+                if value > best[end]:
+                    best[end], back[end] = value, (start, found[1])
+            elif found is False:
                 break
-            found = found_at(piece)
-            if found is not None and (value := base + found[0]) > best[end]:
-                best[end], back[end] = value, (start, found[1])
     parts, place = [], n
     while place:
         start, ident = back[place]
@@ -155,19 +168,31 @@ class Codec:
 
     def __init__(self, path: str | None = None):
         self.pieces = Pieces(path)
-        self._memo: dict[str, np.ndarray] = {}
-
-    def _span(self, span: str) -> np.ndarray:
-        found = self._memo.get(span)
+        self._kind = "H" if len(self.pieces.text) <= 1 << 16 else "I"
+        self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._piece_bytes = [t.replace(MARK, " ").encode("utf-8", "surrogatepass") for t in self.pieces.text]
+        for ident, value in self.pieces.byte_of.items():
+            self._piece_bytes[ident] = bytes([value])
+        self._feed = self._packed([self.pieces.byte_ids[10]])
+
+    def _packed(self, ids: list[int]) -> bytes:
+        out = array(self._kind, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _span(self, span: str) -> bytes:
+        if "\n" in span and self.pieces.feed_stands_alone:
+            return self._feed.join([self._memo.get(p) or self._span(p) for p in span.split("\n")])
+        found = self._older.get(span)
         if found is None:
-            if len(self._memo) >= MEMO_SPANS:
-                self._memo.clear()
-            ids = (_search(span, self.pieces) if len(span) <= 2 * self.pieces.longest
-                   else list(stream_ids(span, self.pieces)))
-            found = np.array(ids, "<u2" if len(self.pieces.text) <= 1 << 16 else "<u4")
-            if len(span) <= 64:
-                self._memo[span] = found.tobytes()
-            return found.tobytes()
+            found = self._packed(_search(span, self.pieces) if len(span) <= 2 * self.pieces.longest
+                                 else list(stream_ids(span, self.pieces)))
+        if len(span) <= 64:
+            if len(self._memo) >= MEMO_SPANS:  # spans not met again in the last round are forgotten
+                self._memo, self._older = {}, self._memo
+            self._memo[span] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -176,9 +201,8 @@ class Codec:
             return b""
         if MARK in text or not self.pieces.spans_stand_alone:
             chars = (MARK if c == " " else "\0" + c if c == MARK else c for c in " " + text)
-            return np.array(list(stream_ids(chars, self.pieces)),
-                            "<u2" if len(self.pieces.text) <= 1 << 16 else "<u4").tobytes()
-        get, span = self._memo.get, self._span
+            return self._packed(list(stream_ids(chars, self.pieces)))
+        get, span = self._memo.get, self._span  # a memory laid aside during this text still gives right ids
         if "  " not in text and text[0] != " " and text[-1] != " ":
             return b"".join([get(w) or span(w) for w in (MARK + x for x in text.split(" "))])
         return b"".join([get(w) or span(w) for w in _SPAN.findall((" " + text).replace(" ", MARK))])
@@ -186,11 +210,9 @@ class Codec:
     def decode(self, ids: bytes) -> str:
         if not ids:
             return ""
-        out, pieces = [], self.pieces
-        for ident in np.frombuffer(ids, "<u2" if len(pieces.text) <= 1 << 16 else "<u4").tolist():
-            value = pieces.byte_of.get(ident)
-            out.append(bytes([value]) if value is not None else pieces.text[ident].replace(MARK, " ").encode())
-        return b"".join(out).decode("utf-8", "surrogatepass")[1:]
+        table = self._piece_bytes
+        return b"".join([table[i] for i in np.frombuffer(ids, "<u2" if self._kind == "H" else "<u4").tolist()]).decode(
+            "utf-8", "surrogatepass")[1:]
 
 
 _CODECS: dict[str, Codec] = {}
