@@ -147,6 +147,38 @@ def test_rules_from_a_table(spark):
     assert len(ledger.rules_from_table(full)) == 20_000
 
 
+def test_overlapping_rules_of_a_stage_fail(spark):
+    df = table(spark, [obs(B, "S", "2011-03-01", b, VIV, 3) for b in ("1", "2", None)])
+    one = Rule("delete", batch=(B,), site=("S",), bag=(ledger.IN, ("1",)), stage=1)
+    other = Rule("delete", bag=(ledger.IN, ("2",)), stage=1)
+    assert one.keyed and [r.id_ind for r in apply_ledger(df, [one, other]).collect()] == [None]
+    overlap = Rule("delete", bag=(ledger.IN, ("1", "2")), stage=1)
+    with pytest.raises(Exception, match="stage 1: rules overlap on .* 1 2011-03-01"):
+        apply_ledger(df, [one, overlap]).collect()
+    later = Rule("delete", bag=(ledger.IN, ("1", "2")), stage=2)
+    assert apply_ledger(df, [one, later]).count() == 1
+
+
+def test_fills_from_a_table(spark):
+    layout = spark.createDataFrame([], ledger.STEP_TABLE)
+    given = spark.sql("""
+        SELECT 1 AS seq, 'zero fill' AS action, null AS stage, null AS scope, null AS day, null AS with_dead
+        UNION ALL SELECT 2, 'seed fill', 5, 'campaign = 2011', "DATE '2011-01-05'", null
+        UNION ALL SELECT 3, 'seed fill', 5, 'campaign = 2012', "DATE '2012-01-05'", false
+        UNION ALL SELECT 4, 'seed fill', 6, 'campaign = 2013', "DATE '2013-01-05'", null""")
+    steps = ledger.rules_from_table(layout.unionByName(given, allowMissingColumns=True))
+    assert [type(s) for s in steps] == [ZeroFill, SeedFill, SeedFill] and len(steps[1].seeds) == 2
+    day = lambda text: F.lit(text).cast("date")
+    same = [ZeroFill(), SeedFill((Seed(F.col("campaign") == 2011, day("2011-01-05")),
+                                  Seed(F.col("campaign") == 2012, day("2012-01-05"), with_dead=False))),
+            SeedFill((Seed(F.col("campaign") == 2013, day("2013-01-05")),))]
+    rows = [obs(f"{y}_N0_WILD_2n_AR", "S", f"{y}-0{m}-01", b, p, m) for y in (2011, 2012, 2013) for b in ("1", "2")
+            for m, p in ((3, VIV), (4, VIV), (4, MOR))]
+    df = table(spark, rows)
+    got = plain(apply_ledger(df, steps))
+    assert got == plain(apply_ledger(df, same)) and sum(got.values()) > len(rows)
+
+
 def test_hits_and_conflicts(spark):
     df = table(spark, [obs(B, "S", "2011-03-01", "1", VIV, 1), obs(B, "S", "2011-03-01", None, MOR, 2)])
     rules = [Rule("delete", site=("S",)), Rule("delete", param=MOR), Rule("delete", bag=(ledger.IN, ("9",)))]

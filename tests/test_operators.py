@@ -77,6 +77,18 @@ def test_bounds_ties_and_ranks(spark):
     assert vs(selection.first_day_only_where(df, ["g"], "date", F.col("g") == "a")) == [1, 2, 5]
 
 
+def test_measures_are_gated_each_by_its_own_rows(spark):
+    df = spark.createDataFrame(
+        [("a", f"2000-0{m}-01", float(m), float(m) if m > 2 else None) for m in (1, 2, 3)] + [("b", "2000-01-01", None, 1.0)],
+        "g string, date string, x double, y double").withColumn("date", F.col("date").cast("date"))
+    present = {c: F.col(c).isNotNull() for c in ("x", "y")}
+    out = selection.gate_measures(df, ["g"], present, 2, 3)
+    assert sorted((r.g, r.date.month, r.x, r.y) for r in out.collect()) == [
+        ("a", 1, 1.0, None), ("a", 2, 2.0, None), ("a", 3, 3.0, None)]
+    single = selection.gate_measures(df, ["g"], {"y": present["y"]}, 1)
+    assert sorted((r.g, r.y) for r in single.collect()) == [("a", 3.0), ("b", 1.0)]
+
+
 def test_gates(spark):
     rows_ = [("n3", f"2010-{m:02}-01", m) for m in (3, 6, 11)] + [("sept", f"2010-{m:02}-01", m) for m in (3, 4, 6, 9)] \
         + [("ok", f"2010-{m:02}-01", m) for m in (3, 4, 6, 10)]

@@ -13,7 +13,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."
 import __spark_entry__ as entry  # noqa: E402
 from check_queries import compare  # noqa: E402
 
+from tidemark.operators.ledger import Rule, apply_ledger  # noqa: E402
 from tidemark.operators.selection import best_rows  # noqa: E402
+from tidemark.plans.corrections import count_corrections  # noqa: E402
 from tidemark.plans.queries import QUERIES, SQL  # noqa: E402
 
 FITTED = {"fit_logistic3", "fit_gompertz3", "fit_logistic4", "fit_gompertz4", "fit_quality", "predict_grid", "residuals",
@@ -64,6 +66,27 @@ def test_filters_and_columns_reach_the_scan(spark, small):
     assert scans and all("l_tax" not in s and "l_orderkey" not in s for s in scans)
 
 
+def test_indicators_read_the_lines_once_each(spark, small):
+    for name, most in (("individual_mass", 1), ("final_assembly", 2)):
+        assert plan_of(spark, small, name).count("l_suppkey") and len(re.findall(r"FileScan[^\n]*lineitem", plan_of(spark, small, name))) <= most
+
+
+def test_keyed_rules_and_lookups_shuffle_nothing(spark, small):
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").selectExpr(
+        "cast(l_suppkey AS string) AS batch", "l_linestatus AS site", "l_linestatus AS class_age", "1 AS campaign",
+        "cast(l_shipdate AS date) AS date", "l_returnflag AS id_ind", "l_linestatus AS code_param", "l_quantity AS value")
+    rules = [s for s in count_corrections() if isinstance(s, Rule) and s.keyed]
+    steps = apply_ledger(lines, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in steps and "hashpartitioning" not in steps
+    assert "hashpartitioning" not in plan_of(spark, small, "recode_lookup")
+
+
+def test_the_gate_bites(spark, small):
+    gated, every = (QUERIES[n](spark, small) for n in ("gated_cumulative_rate", "mean_cumulative_rate"))
+    same = gated.join(every, ["batch", "site", "date", "mean_cm"]).count()
+    assert 0 < same < 0.95 * every.count()
+
+
 def test_one_shuffle_pivot(spark, small):
     assert plan_of(spark, small, "pivot_counts").count("Exchange hashpartitioning") == 1
 

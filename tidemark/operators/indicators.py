@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.derive import day_offset
-from tidemark.functions.nulls import mean, ratio
+from tidemark.functions.nulls import is_true, mean, ratio
 from tidemark.operators.joins import join_keys
 from tidemark.operators.reshape import pivot_values
 from tidemark.operators.selection import first_day_only_where
@@ -61,10 +61,30 @@ def splice(individual: DataFrame, bags: DataFrame, visit: list[str], first: str,
     return both.select(*visit, F.coalesce(F.col(first), F.col(second)).alias(name))
 
 
+def rate_and_mass(visits: DataFrame, bag: list[str], visit: list[str], date: str, dead: str, alive: str, total: str,
+                  weighed: Column, rate: str = "mean_CM", mass: str = "bag_mass", count: str = "n_weighed") -> DataFrame:
+    """Mean cumulative rate and mean bag mass per visit, from one read of a table with one row per bag and day.
+
+    ``alive`` is NULL where it was not counted; a missing count is 0 for the rate and leaves the bag out of the mass, as do
+    rows that are not ``weighed``. ``count`` says how many bags the mass rests on (those without a survivor included).
+    """
+    known = weighed & F.col(total).isNotNull() & F.col(alive).isNotNull()
+    ready = visits.withColumns({
+        "__mass": F.when(known, ratio(F.col(total), F.col(alive))), "__known": is_true(known),
+        dead: F.coalesce(dead, F.lit(0.0)), alive: F.coalesce(alive, F.lit(0.0))})
+    rates = cumulative_rate(ready, bag, date, dead, alive, "__mi", "__mc")
+    return rates.groupBy(*visit).agg(
+        F.avg("__mc").alias(rate), F.avg("__mass").alias(mass), F.count_if("__known").alias(count))
+
+
 def assemble(rates: DataFrame, masses: DataFrame, sites: DataFrame, visit: list[str], site: str, date: str,
              year: Column, extra: dict[str, Column]) -> DataFrame:
     """Both indicators per visit with the derived keys, the day offset and the site's description."""
-    both = join_keys(rates, masses, visit, "full")
+    return describe(join_keys(rates, masses, visit, "full"), sites, site, date, year, extra)
+
+
+def describe(both: DataFrame, sites: DataFrame, site: str, date: str, year: Column, extra: dict[str, Column]) -> DataFrame:
+    """A table of visits with the derived keys, the day offset and the site's description."""
     for name, column in extra.items():
         both = both.withColumn(name, column)
     both = both.withColumn("DOY", day_offset(F.col(date), year))

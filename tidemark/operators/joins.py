@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _RIGHT = "__right_"
@@ -18,6 +19,13 @@ def _on(keys: list[str]) -> Column:
     return reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(_RIGHT + k)) for k in keys])
 
 
+def small_table(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
+    """A table of rows given in code. Unlike one of Python tuples its size is known to the planner, so a join with it needs no
+    shuffle as long as it stays below ``autoBroadcastJoinThreshold``, and shuffles beyond that.
+    """
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema))
+
+
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join on shared names; every key appears once in the result."""
     if how in ("left_semi", "left_anti"):

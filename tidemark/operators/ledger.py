@@ -1,7 +1,7 @@
 """An ordered ledger of corrections: delete, copy, replace, update and fill steps.
 
-Row steps need no shuffle: runs of keyed deletes become one hash anti join, the others filters and
-in-place row generation. Only fills aggregate; the table is read once more for each, so a lineage cut
+Row steps need no shuffle: runs of keyed deletes become one hash anti join with a relation of known size, the others
+filters and in-place row generation. Only fills aggregate; the table is read once more for each, so a lineage cut
 after a fill keeps later fills from repeating the earlier ones.
 """
 
@@ -10,12 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import takewhile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType
 
 from tidemark.functions.nulls import delete_where, is_true
+from tidemark.operators.joins import small_table
 from tidemark.operators.rows import copy_edit, replace_rows
 from tidemark.operators.seeding import Layout, Seed, seed_fill, zero_fill
 from tidemark.session import cut_lineage
@@ -30,7 +33,8 @@ class Rule:
 
     ``bag`` is a pair of an operator and bag names: ``in``, ``not in`` (unnamed bags are not selected),
     ``null`` and the two ``... or null`` forms. ``on``, ``after`` compare the date, ``values``,
-    ``not_values`` and ``below`` the value. ``sets`` holds, per new row, the columns to change.
+    ``not_values`` and ``below`` the value. ``sets`` holds, per new row, the columns to change. Neighbouring rules with
+    the same ``stage`` are meant to be independent: a row that two of them select fails the run.
     """
 
     action: str  # delete, copy, replace or update
@@ -50,11 +54,12 @@ class Rule:
     below: float | None = None
     first_day: bool = False
     sets: tuple[dict, ...] = ()
+    stage: int | None = None
 
     @property
     def keyed(self) -> bool:
         """Names its batches and sites, so rows can find it by hash."""
-        plain = replace(self, batch=(), site=(), param=None, bag=(ANY_BAG, ()), on=(), after=None)
+        plain = replace(self, batch=(), site=(), param=None, bag=(ANY_BAG, ()), on=(), after=None, stage=None)
         return self.action == "delete" and bool(self.batch and self.site) and plain == Rule("delete")
 
     def matches(self, at: Layout) -> Column:
@@ -120,19 +125,44 @@ RULE_TABLE = """seq int, action string, batch array<string>, site array<string>,
     class_age string, campaign int, campaign_before int, param string, not_param string, bag_op string,
     bags array<string>, `on` array<date>, after date, `values` array<double>, not_values array<double>,
     below double, first_day boolean, sets array<map<string,string>>"""
+#: With the further columns that stages and fills need; ``scope``, ``day`` and ``fill_scope`` are SQL expressions.
+STEP_TABLE = RULE_TABLE + """, stage int, scope string, day string, fill_scope string, later_only boolean,
+    with_dead boolean"""
+ZERO_FILL, SEED_FILL = "zero fill", "seed fill"
 
 
-def rules_from_table(table: DataFrame) -> list[Rule]:
-    """Rules kept as a table of the ``RULE_TABLE`` layout, in the order of ``seq``.
+def _seed(row: dict) -> Seed:
+    scopes = {k: F.expr(row[k]) for k in ("day", "fill_scope") if k in row}
+    flags = {k: row[k] for k in ("later_only", "with_dead") if k in row}
+    return Seed(F.expr(row.get("scope", "true")), **scopes, **flags)
+
+
+def rules_from_table(table: DataFrame) -> list[Step]:
+    """Steps kept as a table of the ``RULE_TABLE`` or ``STEP_TABLE`` layout, in the order of ``seq``.
+
+    Neighbouring ``seed fill`` rows of one ``stage`` are the seeds of one step; those without a stage are steps of their own.
 
     Every rule becomes part of the plan, so all of them are read, whatever their number; bulk deletes that should stay a table
     belong into ``anti_rules``.
     """
     rows = table.orderBy("seq").collect()
-    rules = []
+    rules: list[Step] = []
+    open_fill = None
     for row in rows:
         given = {k: v for k, v in row.asDict().items() if v is not None}
         given.pop("seq")
+        if given["action"] == SEED_FILL:
+            stage = given.get("stage")
+            if stage is not None and stage == open_fill:
+                rules[-1] = SeedFill((*rules[-1].seeds, _seed(given)))
+            else:
+                rules.append(SeedFill((_seed(given),)))
+            open_fill = stage
+            continue
+        open_fill = None
+        if given["action"] == ZERO_FILL:
+            rules.append(ZeroFill())
+            continue
         bag = (given.pop("bag_op", ANY_BAG), tuple(given.pop("bags", ())))
         days = {k: str(v) if k == "after" else tuple(map(str, v)) for k, v in given.items() if k in ("on", "after")}
         lists = {k: tuple(v) for k, v in given.items() if isinstance(v, list) and k not in days}
@@ -142,16 +172,16 @@ def rules_from_table(table: DataFrame) -> list[Rule]:
 
 def rule_table(df: DataFrame, rules: Sequence[Rule], at: Layout) -> DataFrame:
     """Keyed delete rules as a table, one row per batch and site."""
-    text = StringType()
-    schema = StructType([StructField(c, text) for c in ("batch", "site", "param", "op")]
-                        + [StructField("bags", ArrayType(text)), StructField("days", ArrayType(text)),
-                           StructField("after", text)])
+    text = pa.string()
+    schema = pa.schema([*((c, text) for c in ("batch", "site", "param", "op", "after")),
+                        ("bags", pa.list_(text)), ("days", pa.list_(text))])
     rows = [
-        (str(b), str(s), r.param, r.bag[0], [str(v) for v in r.bag[1]], list(r.on) or None, r.after)
+        {"batch": str(b), "site": str(s), "param": r.param, "op": r.bag[0], "bags": [str(v) for v in r.bag[1]],
+         "days": list(r.on) or None, "after": r.after}
         for r in rules for b in r.batch for s in r.site
     ]
     kinds = [df.schema[c].dataType for c in at.group]
-    return df.sparkSession.createDataFrame(rows, schema).select(
+    return small_table(df.sparkSession, rows, schema).select(
         F.col("batch").cast(kinds[0]).alias("r_batch"), F.col("site").cast(kinds[1]).alias("r_site"),
         F.col("param").alias("r_param"), F.col("op").alias("r_op"),
         F.col("bags").cast(ArrayType(df.schema[at.bag].dataType)).alias("r_bags"),
@@ -203,8 +233,19 @@ def _apply_rule(df: DataFrame, rule: Rule, at: Layout) -> DataFrame:
     raise ValueError(f"unknown action {rule.action!r}")
 
 
+def require_independent(df: DataFrame, rules: Sequence[Rule], at: Layout) -> DataFrame:
+    """``df``, failing when it is read if a row is selected by two or more of the rules."""
+    hits = sum((is_true(r.matches(at)).cast("int") for r in rules), F.lit(0))
+    message = F.concat(F.lit(f"stage {rules[0].stage}: rules overlap on "), F.concat_ws(" ", *[
+        F.col(c).cast("string") for c in (*at.group, at.bag, at.date, at.param)]))
+    return df.filter(F.when(hits > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+
+
 def apply_ledger(df: DataFrame, steps: Sequence[Step], at: Layout = Layout(), cut: bool = False) -> DataFrame:
-    """Apply the steps in order. ``cut`` writes a checkpoint after each fill that has steps behind it."""
+    """Apply the steps in order. ``cut`` writes a checkpoint after each fill that has steps behind it.
+
+    Each run of rules with the same ``stage`` is checked against the rows before it (see ``Rule``).
+    """
     pending: list[Rule] = []
 
     def flush(frame: DataFrame) -> DataFrame:
@@ -214,7 +255,13 @@ def apply_ledger(df: DataFrame, steps: Sequence[Step], at: Layout = Layout(), cu
         pending.clear()
         return out
 
+    stage = None
     for i, step in enumerate(steps):
+        before, stage = stage, step.stage if isinstance(step, Rule) else None
+        if stage is not None and stage != before:
+            run = list(takewhile(lambda s: isinstance(s, Rule) and s.stage == stage, steps[i:]))
+            if len(run) > 1:
+                df = require_independent(flush(df), run, at)
         if isinstance(step, Rule) and step.keyed:
             pending.append(step)
             continue

@@ -59,11 +59,34 @@ def gate_days(df: DataFrame, keys: list[str], min_rows: int = 0, end_month: int
 
 
 def first_day_only_where(df: DataFrame, keys: list[str], date: str, where: Column) -> DataFrame:
-    """Drop rows after the group's first day where ``where`` holds; other rows stay."""
-    bounded = attach_bounds(df, keys, date, low="__first")
+    """Drop rows after the group's first day where ``where`` holds; other rows stay.
+
+    For an input with one row per key and day, as in ``gate_days``: one shuffle, no second read.
+    """
+    bounded = df.withColumn("__first", F.min(date).over(Window.partitionBy(*keys)))
     return bounded.filter(~is_true(where & (F.col(date) > F.col("__first")))).drop("__first")
 
 
+def gate_measures(df: DataFrame, keys: list[str], measures: dict[str, Column], min_rows: int = 0, end_month: int = 0,
+                  date: str = "date") -> DataFrame:
+    """``gate_days`` for several measures of one table, each gated by the rows it is present on.
+
+    ``measures`` names a column and the condition under which the row counts for it. A measure whose group fails is NULL;
+    rows that count for no measure go. One row per key and day; one shuffle for all measures.
+    """
+    w = Window.partitionBy(*keys)
+    flags = {}
+    for name, present in measures.items():
+        keep = present & (F.count_if(present).over(w) >= min_rows)
+        if end_month:
+            keep &= is_true(F.month(F.max(F.when(present, F.col(date))).over(w)) >= end_month)
+        flags["__keep_" + name] = keep
+    kept = df.withColumns(flags)
+    some = F.greatest(*[F.col(f) for f in flags]) if len(flags) > 1 else F.col(next(iter(flags)))
+    return kept.filter(some).withColumns(
+        {m: F.when(F.col("__keep_" + m), F.col(m)) for m in measures}).drop(*flags)
+
+
 def best_rows(df: DataFrame, keys: list[str], score: str) -> DataFrame:
     """Rows with the group's smallest known score, ties kept.
 

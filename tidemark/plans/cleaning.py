@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.derive import span
 from tidemark.operators import indicators as ind
 from tidemark.operators.ledger import apply_ledger
+from tidemark.operators.reshape import crowded_cells
 from tidemark.operators.seeding import Layout
 from tidemark.operators.selection import gate_days
 from tidemark.plans.corrections import SINGLE, count_corrections, empty_visits, mass_corrections
@@ -19,6 +20,7 @@ VISIT = ["batch", "site", "date"]
 MIN_VISITS, END_MONTH = 4, 10
 CLEAN_COLUMNS = ["num", "site", "name", "zone_en", "lat", "long", "campaign", "class_age", "batch", "date", "DOY",
                  "mean_CM", "mean_mass"]
+# The weighing method and the fraction of single individuals, and the published columns above.
 SIMPLE_WEIGHING, WHOLE = "Pesée simple sans préparation", "Sans objet"
 
 
@@ -35,6 +37,11 @@ def corrected_bags(bags: DataFrame, cut: bool = True) -> DataFrame:
     return apply_ledger(bags, count_corrections() + mass_corrections(), AT, cut=cut)
 
 
+def crowded_visits(bags: DataFrame) -> DataFrame:
+    """Cells of bag, day and parameter with several values, of which the run takes the largest."""
+    return crowded_cells(bags, [*AT.bag_keys, AT.date], AT.param)
+
+
 def mortality(bags: DataFrame, strict: bool = False) -> DataFrame:
     """Mean cumulative mortality per visit, of the groups followed long enough."""
     counted = ind.count_visits(apply_ledger(bags, empty_visits(), AT), AT.bag_keys, AT.date, AT.param, AT.value,
@@ -56,12 +63,13 @@ def mass(bags: DataFrame, scoped: DataFrame, strict: bool = False) -> DataFrame:
     return gate_days(joined, list(AT.group), MIN_VISITS, END_MONTH)
 
 
-def clean_table(raw: DataFrame, site_codes: DataFrame, sites: DataFrame, cut: bool = True) -> DataFrame:
-    """The published table of both indicators."""
+def clean_table(raw: DataFrame, site_codes: DataFrame, sites: DataFrame, cut: bool = True,
+                strict: bool = False) -> DataFrame:
+    """The published table of both indicators; ``strict`` means as in ``nulls.mean``."""
     scoped = observations(raw, site_codes)
     bags = corrected_bags(bag_observations(scoped), cut=cut)
     campaign = F.substring("batch", 1, 4).try_cast("int")
     table = ind.assemble(
-        mortality(bags), mass(bags, scoped), sites.drop("zone_fr"), VISIT, "site", "date", campaign,
+        mortality(bags, strict), mass(bags, scoped, strict), sites.drop("zone_fr"), VISIT, "site", "date", campaign,
         {"class_age": span(F.col("batch"), 6, 7), "campaign": campaign})
     return fixed_digits(table, {"mean_CM": 3, "mean_mass": 2}).select(*CLEAN_COLUMNS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions import derive
@@ -76,8 +77,9 @@ def recode_priority(spark, folder):
 WITH lookup(p_type, short) AS (VALUES ('ECONOMY', 'EC'), ('STANDARD', 'ST'), ('PROMO', 'PR'), ('MEDIUM', 'ME'))
 SELECT p_partkey, p_type, short FROM part LEFT JOIN lookup USING (p_type)""")
 def recode_lookup(spark, folder):
-    lookup = spark.createDataFrame(
-        [("ECONOMY", "EC"), ("STANDARD", "ST"), ("PROMO", "PR"), ("MEDIUM", "ME")], "p_type string, short string")
+    codes = {"ECONOMY": "EC", "STANDARD": "ST", "PROMO": "PR", "MEDIUM": "ME"}
+    lookup = joins.small_table(spark, [{"p_type": k, "short": v} for k, v in codes.items()],
+                               pa.schema([("p_type", pa.string()), ("short", pa.string())]))
     part = tables.load(spark, folder, "part").select("p_partkey", "p_type")
     return joins.join_keys(part, lookup, ["p_type"], "left").select("p_partkey", "p_type", "short")
 
@@ -85,7 +87,8 @@ def recode_lookup(spark, folder):
 @query("""
 SELECT p_type, count(*) AS n FROM part WHERE p_type NOT IN ('ECONOMY', 'STANDARD', 'PROMO', 'MEDIUM') GROUP BY p_type""")
 def recode_unmatched(spark, folder):
-    lookup = spark.createDataFrame([("ECONOMY",), ("STANDARD",), ("PROMO",), ("MEDIUM",)], "p_type string")
+    kinds = ("ECONOMY", "STANDARD", "PROMO", "MEDIUM")
+    lookup = joins.small_table(spark, [{"p_type": k} for k in kinds], pa.schema([("p_type", pa.string())]))
     return quality.unmatched_codes(tables.load(spark, folder, "part"), lookup, "p_type")
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.nulls import is_true
 from tidemark.operators import indicators as ind
 from tidemark.operators import quality
-from tidemark.operators.selection import gate_days
+from tidemark.operators.joins import join_keys
+from tidemark.operators.selection import gate_days, gate_measures
 from tidemark.plans.queries import base
 from tidemark.plans.queries.registry import query
 from tidemark.sources import tables
@@ -127,10 +129,13 @@ def mean_cumulative_rate(spark, folder):
 
 
 @query(f"""
-WITH {base.MEAN_RATES} SELECT batch, site, date, round(mean_cm, 6) AS mean_cm FROM mean_rates
-QUALIFY count(*) OVER (PARTITION BY batch, site) >= 4 AND month(max(date) OVER (PARTITION BY batch, site)) >= 10""")
+WITH {base.RATES}, followed AS (
+  SELECT * FROM rates QUALIFY count(*) OVER (PARTITION BY batch, site, id_ind) >= 4
+    AND month(max(date) OVER (PARTITION BY batch, site, id_ind)) >= 10)
+SELECT batch, site, date, round(avg(mc), 6) AS mean_cm FROM followed GROUP BY ALL""")
 def gated_cumulative_rate(spark, folder):
-    return gate_days(_mean_rates(spark, folder), ["batch", "site"], 4, 10).withColumn("mean_cm", F.round("mean_cm", 6))
+    followed = gate_days(_rates(spark, folder), BAG, 4, 10)
+    return ind.mean_per_visit(followed, VISIT, "mc", "mean_cm").withColumn("mean_cm", F.round("mean_cm", 6))
 
 
 @query(f"""
@@ -164,14 +169,16 @@ SELECT s_suppkey AS site, name, zone, batch AS campaign, date, date_diff('day',
        round(mean_cm, 6) AS mean_cm, round(mean_mass, 2) AS mean_mass
 FROM (SELECT * FROM m FULL JOIN w USING (batch, site, date)) f JOIN supplier ON s_suppkey = f.site JOIN sites n ON n.site = s_nationkey""")
 def final_assembly(spark, folder):
-    spliced = ind.splice(_individual_mass(spark, folder), _bag_mass(spark, folder), VISIT, "individual_mass", "bag_mass",
-                         "mean_mass")
-    group = ["batch", "site"]
+    bags = ind.rate_and_mass(tables.shipment_visits(spark, folder), BAG, VISIT, "date", "dead", "alive", "mass",
+                             F.col("batch") > 1998, "mean_cm")
+    both = join_keys(bags, _individual_mass(spark, folder), VISIT, "full").withColumn(
+        "mean_mass", F.coalesce("individual_mass", "bag_mass"))
+    rated, weighed = F.col("n_weighed").isNotNull(), F.col("individual_mass").isNotNull() | is_true(F.col("n_weighed") > 0)
+    gated = gate_measures(both, ["batch", "site"], {"mean_cm": rated, "mean_mass": weighed}, 4, 10)
     suppliers = tables.load(spark, folder, "supplier").join(
         tables.nations(spark, folder).withColumnRenamed("site", "s_nationkey"), "s_nationkey").select(
         F.col("s_suppkey").alias("site"), "name", "zone")
-    table = ind.assemble(gate_days(_mean_rates(spark, folder), group, 4, 10), gate_days(spliced, group, 4, 10), suppliers,
-                         VISIT, "site", "date", F.col("batch"), {"campaign": F.col("batch")})
+    table = ind.describe(gated, suppliers, "site", "date", F.col("batch"), {"campaign": F.col("batch")})
     return table.select("site", "name", "zone", "campaign", "date", "DOY", F.round("mean_cm", 6).alias("mean_cm"),
                         F.round("mean_mass", 2).alias("mean_mass"))
 
