@@ -5,12 +5,15 @@ vocabulary with scores from the training corpus (counts of expected uses, ``ROUN
 over a corpus count of words), and every training word as a whole with its own count. A word's probability is the sum over
 all segmentations, by a forward recursion in log space:
 
-    P(word) = (1 - spell) * c / N  +  spell * sum over segmentations of prod q(piece)
+    P(word) = discounted(c_k) / N_k + rest_k * (discounted(c) / N + rest * sum over segmentations of prod q_k(piece))
 
-with c the word's training count and N all training tokens; a piece has a score q of its own as the first of a word and as
-its last. The end of a text is a token of its own with its own count.
-``spell`` is the share of the probability that the training words leave to spelling: V / (N + V) for V distinct tokens
-(Witten and Bell 1991). A text's score is the sum over its tokens. The base score is the add-0.1 unigram score.
+for each kind k of text (a language, say), with c_k the word's count in training texts of the kind, c its count in all, N_k
+and N all their tokens; discounted(c) is max(c - DISCOUNT, 0), and the rests are what the discounts leave (absolute
+discounting, Ney, Essen and Kneser 1994). A piece has a score q of its own for each kind, as the first of a word and as its
+last. The end of a text is a token of its own with its own counts. A text's probability is the mean over the kinds of the
+product over its tokens, weighted by the kinds' shares of the training texts: a text's own kind is not read, only those of
+training texts. The ``KINDS`` most frequent values are kinds, all others one more; without a kind column there is one kind.
+The base score is the add-0.1 unigram score.
 
 Pieces of more than ``MOST_BYTES`` bytes are left out of the lattice. Counts, N, V and the pieces' scores come from all
 training rows. Words are counted within a row first; the ``FREQUENT`` most frequent words travel as a table of bounded size,
@@ -19,7 +22,7 @@ pieces reach the driver.
 
 Null and empty texts have one token, the end. Repeated rows count as often as they occur, and get equal scores. Without
 training rows N is 0 and both scores are computed from the smoothing alone. An empty table gives an empty result. Only
-``doc_id`` and ``text`` are read.
+``doc_id``, ``text`` and the kind column are read; a null kind is a value like any other.
 """
 
 from __future__ import annotations
@@ -40,6 +43,9 @@ from tidemark.session import cut_lineage
 FREQUENT = 50_000
 ROUNDS = 3
 MOST_BYTES = 16
+KINDS = 8
+DISCOUNT = 0.75
+SHORT = 24  # bytes of a word whose probability stays within the range of a double
 _LATTICES: dict = {}
 
 
@@ -113,190 +119,282 @@ def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def forward(arcs: list, scores: np.ndarray, count: int, length: int) -> np.ndarray:
-    """Log of the summed probability of all ways to each place, a row for each word. Arcs come by start."""
-    alpha = np.full((count, length + 1), -np.inf)
-    alpha[:, 0] = 0.0
+    """Log of the summed probability of all ways to each place: place x word x kind. Arcs come by start.
+
+    ``scores`` has a row of logs for each piece, a column for each kind. Short words are summed as they are, which is the
+    same sum without the logs.
+    """
+    short = length <= SHORT
+    alpha = np.full((length + 1, count, scores.shape[1]), 0.0 if short else -np.inf)
+    alpha[0] = 1.0 if short else 0.0
+    if short:
+        chance = np.exp(scores)
+        for start, end, word, piece in arcs:
+            alpha[end, word] += alpha[start, word] * chance[piece]
+        with np.errstate(divide="ignore"):
+            return np.log(alpha)
     for start, end, word, piece in arcs:
-        alpha[word, end] = np.logaddexp(alpha[word, end], alpha[word, start] + scores[piece])
+        alpha[end, word] = np.logaddexp(alpha[end, word], alpha[start, word] + scores[piece])
     return alpha
 
 
 def add_expected_uses(arcs: list, scores: np.ndarray, weights: np.ndarray, length: int, uses: np.ndarray) -> None:
-    """Add to ``uses`` the expected number of uses of each piece, by forward and backward sums."""
-    alpha = forward(arcs, scores, len(weights), length)
-    beta = np.full_like(alpha, -np.inf)
-    beta[:, length] = 0.0
+    """Add to ``uses`` the expected number of uses of each piece, by forward and backward sums; ``scores`` of one kind."""
+    alpha = forward(arcs, scores[:, None], len(weights), length)[:, :, 0]
+    short = length <= SHORT
+    beta = np.full_like(alpha, 0.0 if short else -np.inf)
+    beta[length] = 1.0 if short else 0.0
+    if short:
+        alpha, scores = np.exp(alpha), np.exp(scores)
     pieces, amounts = [], []
     for start, end, word, piece in reversed(arcs):
-        step = scores[piece] + beta[word, end]
         pieces.append(piece)
-        amounts.append(weights[word] * np.exp(alpha[word, start] + step - alpha[word, length]))
-        beta[word, start] = np.logaddexp(beta[word, start], step)
+        if short:
+            step = scores[piece] * beta[end, word]
+            amounts.append(weights[word] * alpha[start, word] * step / alpha[length, word])
+            beta[start, word] += step
+        else:
+            step = scores[piece] + beta[end, word]
+            amounts.append(weights[word] * np.exp(alpha[start, word] + step - alpha[length, word]))
+            beta[start, word] = np.logaddexp(beta[start, word], step)
     uses += np.bincount(np.concatenate(pieces), np.concatenate(amounts), minlength=len(uses))
 
 
 def spellings(words: list[bytes], scores: np.ndarray, path: str | None = None) -> np.ndarray:
-    """log10 of each word's probability as a sum over all its segmentations, its end included."""
-    found = lattice(path)
-    out = np.empty(len(words))
+    """log10 of each word's probability as a sum over all its segmentations, its end included.
+
+    ``scores`` holds the pieces' scores, or a row of them for each kind; then each word gets a row with a value for each.
+    """
+    found, columns = lattice(path), np.ascontiguousarray(np.atleast_2d(scores).T)
+    out = np.empty((len(words), columns.shape[1]))
     for part, letters in by_length(words):
-        out[part] = forward(found.arcs(letters), scores, len(part), letters.shape[1])[:, -1]
-    return out / math.log(10)
+        out[part] = forward(found.arcs(letters), columns, len(part), letters.shape[1])[-1]
+    return (out if scores.ndim > 1 else out[:, 0]) / math.log(10)
+
 
+def kind_number(docs: DataFrame, kind: str | None) -> tuple[Column, list[int]]:
+    """The number of a row's kind, and the rows of each kind: the ``KINDS`` most frequent values, then all others."""
+    total = docs.count()
+    if kind is None or not total:
+        return F.lit(0), [total]
+    top = docs.groupBy(F.col(kind).alias("value")).count().orderBy(F.desc("count"), "value").limit(KINDS).collect()
+    sizes = [r["count"] for r in top]
+    number = F.lit(len(top))
+    for i, row in enumerate(top):
+        number = F.when(F.col(kind).eqNullSafe(F.lit(row["value"])), i).otherwise(number)
+    return number, sizes + ([total - sum(sizes)] if total > sum(sizes) else [])
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word and c over all rows of ``docs``; equal words of a task are added up before they are shuffled."""
+
+def word_counts(docs: DataFrame, number: Column | None = None, kinds: int = 1) -> DataFrame:
+    """word, c, and c0, c1 .. by kind over all rows of ``docs``; equal words of a task are added up before they are shuffled."""
     bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        totals = [Counter() for _ in range(kinds)]
         for batch in batches:
-            for text in bytes_of(batch, "text"):
-                total.update(text.lower().split())
-                if len(total) > 300_000:
-                    yield _count_batch(total)
-                    total.clear()
-        if total:
-            yield _count_batch(total)
+            for text, k in zip(bytes_of(batch, "text"), batch.column(1).to_pylist()):
+                totals[k].update(text.lower().split())
+                if len(totals[k]) > 300_000 // kinds:
+                    yield _count_batch(totals[k], k)
+                    totals[k].clear()
+        for k, total in enumerate(totals):
+            if total:
+                yield _count_batch(total, k)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word binary, c long").groupBy(
-        "word").agg(F.sum("c").alias("c"))
+    return docs.select(F.col("text").cast("string").alias("text"), (F.lit(0) if number is None else number).cast("int").alias("kind")).mapInArrow(
+        count, "word binary, c long, kind int").groupBy("word").agg(
+        F.sum("c").alias("c"), *(F.sum(F.when(F.col("kind") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(kinds)))
 
 
-def _count_batch(total: Counter) -> pa.RecordBatch:
+def _count_batch(total: Counter, kind: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "c"])
+        [pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64()),
+         pa.array(np.full(len(total), kind, np.int32))], ["word", "c", "kind"])
 
 
-def piece_scores(counts: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS) -> np.ndarray:
-    """Scores of the pieces (see ``Lattice.arcs``) from a count of training words.
+def piece_scores(counts: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS, kinds: int = 1) -> np.ndarray:
+    """Scores of the pieces (see ``Lattice.arcs``) from a count of training words, a row for each kind.
 
-    Expected uses are summed on the cluster; the driver gets one number for each piece that is used.
+    Expected uses are summed on the cluster; the driver gets one number for each piece and kind that is used.
     """
-    prior = np.full(4 * len(lattice(vocabulary).texts), 0.001)
+    size = 4 * len(lattice(vocabulary).texts)
+    prior = np.full(size, 0.001)
     prior.reshape(4, -1)[:, :256] += 0.1
-    scores = lattice(vocabulary).normalised(np.ones(len(prior)))
+    scores = np.stack([lattice(vocabulary).normalised(np.ones(size))] * kinds)
     for _ in range(rounds):
         def expect(batches: Iterator[pa.RecordBatch], scores=scores) -> Iterator[pa.RecordBatch]:
-            found, uses = lattice(vocabulary), np.zeros(len(prior))
+            found, uses = lattice(vocabulary), np.zeros((kinds, size))
             for batch in gathered(batches):
-                # types count by the logarithm of their tokens: unseen words resemble rare ones
-                weights = 1 + np.log(batch.column(1).to_numpy())
-                for part, letters in by_length(batch.column(0).to_pylist()):
-                    add_expected_uses(found.arcs(letters), scores, weights[part], letters.shape[1], uses)
-            used = np.flatnonzero(uses)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(uses[used])], ["piece", "uses"])
-
-        uses = prior.copy()
-        sums = counts.select("word", "c").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-        for row in sums.toArrow().to_pylist():
-            uses[row["piece"]] += row["uses"]
-        scores = lattice(vocabulary).normalised(uses)
+                words = batch.column(0).to_pylist()
+                for k in range(kinds):
+                    c = batch.column(1 + k).to_numpy()
+                    has = np.flatnonzero(c)
+                    # types count by the logarithm of their tokens: unseen words resemble rare ones
+                    weights = 1 + np.log(c[has])
+                    for part, letters in by_length([words[i] for i in has]):
+                        add_expected_uses(found.arcs(letters), scores[k], weights[part], letters.shape[1], uses[k])
+            kind, used = np.nonzero(uses)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kind), pa.array(used), pa.array(uses[kind, used])], ["kind", "piece", "uses"])
+
+        uses = np.stack([prior] * kinds)
+        sums = counts.select("word", *(f"c{k}" for k in range(kinds))).mapInArrow(
+            expect, "kind long, piece long, uses double").groupBy("kind", "piece").agg(F.sum("uses").alias("uses")).toArrow()
+        uses[sums["kind"].to_numpy(), sums["piece"].to_numpy()] += sums["uses"].to_numpy()
+        scores = np.stack([lattice(vocabulary).normalised(u) for u in uses])
     return scores
 
 
-def _spelled(counts: DataFrame, scores: np.ndarray, vocabulary: str | None) -> DataFrame:
-    """``counts`` (word, c) with the log10 probability of the word's spelling."""
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Mixture:
+    """Counts, piece scores and shares of the kinds: all that a word's probabilities need besides its own counts."""
+
+    def __init__(self, tokens: np.ndarray, types: np.ndarray, texts: list[int], scores: np.ndarray, vocabulary: str | None):
+        """``tokens`` and ``types``: over all training texts, then of each kind, ends included."""
+        self.kinds, self.scores, self.vocabulary = len(texts), scores, vocabulary
+        self.tokens = np.maximum(tokens, 1)
+        self.rest = np.where(tokens > 0, DISCOUNT * types / self.tokens, 1.0)
+        self.total = tokens[0] + 0.1 * (types[0] + 1)
+        ends = np.maximum(np.array([sum(texts), *texts]) - DISCOUNT, 0) / self.tokens
+        self.end = np.log10(ends[1:] + self.rest[1:] * ends[0]) if sum(texts) else np.zeros(self.kinds)
+        self.shares = ((np.array(texts) + 1) / (sum(texts) + self.kinds)).tolist()
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.1) / self.total)
+
+    def words(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """log10 of each word's probability in each kind; ``counts``: its count in all texts, then in those of each kind."""
+        held = np.maximum(counts - DISCOUNT, 0) / self.tokens
+        spelled = spellings(words, self.scores, self.vocabulary)
+        with np.errstate(divide="ignore"):
+            seen = np.log10(held[:, 1:] + self.rest[1:] * held[:, :1])
+        return np.logaddexp2(seen / math.log10(2), (spelled + np.log10(self.rest[0] * self.rest[1:])) / math.log10(2)) * math.log10(2)
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    width = values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, width), pa.int32()), pa.array(values.ravel(), pa.float64()))
+
+
+def _priced(counts: DataFrame, model: Mixture) -> DataFrame:
+    """``counts`` (word, c, c0 ..) as word, c, and the log10 probabilities of the word by kind."""
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
+            c = np.stack([batch.column(i).to_numpy() for i in range(1, batch.num_columns)], axis=1).astype(float)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(spellings(batch.column(0).to_pylist(), scores, vocabulary))],
-                ["word", "c", "spelling"])
+                [batch.column(0), batch.column(1), _lists(model.words(batch.column(0).to_pylist(), c))], ["word", "c", "model"])
+
+    return counts.mapInArrow(price, "word binary, c long, model array<double>")
 
-    return counts.select("word", "c").mapInArrow(spell, "word binary, c long, spelling double")
 
+def score_texts(docs: DataFrame, learn: Column | None = None, vocabulary: str | None = None, kind: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-def score_texts(docs: DataFrame, learn: Column | None = None, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; ``learn`` marks training rows."""
+    ``learn`` marks training rows; ``kind`` names a column whose values tell kinds of training texts apart.
+    """
     spark = docs.sparkSession
-    learn = F.lit(True) if learn is None else learn
+    training = docs.where(F.lit(True) if learn is None else learn)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = cut_lineage(word_counts(rows.where(learn)))
-    texts = rows.where(learn).count()
-    found = seen.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = (found["n"] or 0) + texts, found["v"] + (texts > 0)
-    scores = piece_scores(seen, vocabulary)
-    spell = v / (n + v) if n else 1.0
-    total = n + 0.1 * (v + 1)
-    whole = (1 - spell) / max(n, 1)
-
-    def base_of(c):
-        return np.log10((c + 0.1) / total)
-
-    def model_of(c, spelling):
-        with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(whole * c), (math.log10(spell) + spelling) * math.log(10)) / math.log(10)
+    number, texts = kind_number(training, kind)
+    kinds = len(texts)
+    seen = cut_lineage(word_counts(training, number, kinds))
+    columns = ["c", *(f"c{k}" for k in range(kinds))]
+    found = seen.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in columns),
+                     *(F.count(F.when(F.col(c) > 0, 1)).alias(f"v_{c}") for c in columns)).first()
+    ends = np.array([sum(texts), *texts])
+    tokens = np.array([found[f"n_{c}"] for c in columns]) + ends
+    types = np.array([found[f"v_{c}"] for c in columns]) + (ends > 0)
+    model = Mixture(tokens, types, texts, piece_scores(seen, vocabulary, kinds=kinds), vocabulary)
+    n, width = int(tokens[0]), kinds
 
     # at most FREQUENT words of some 10 bytes each
-    top = _spelled(seen.orderBy(F.desc("c"), "word").limit(FREQUENT), scores, vocabulary).toArrow()
-    c, spelling = (top[x].to_numpy().astype(float) for x in ("c", "spelling"))
-    frequent = dict(zip(top["word"].to_pylist(), zip(base_of(c).tolist(), model_of(c, spelling).tolist())))
-    shared = spark.sparkContext.broadcast(frequent)
-    end = (int(texts > 0), float(base_of(texts)), math.log10(whole * texts) if texts else math.log10(spell))
+    top = _priced(seen.orderBy(F.desc("c"), "word").limit(FREQUENT), model).toArrow().combine_chunks()
+    values = np.array(top["model"].to_pylist(), float).reshape(-1, width)
+    frequent = {w: i for i, w in enumerate(top["word"].to_pylist())}
+    table = np.column_stack([model.base(top["c"].to_numpy().astype(float)), values])
+    shared = spark.sparkContext.broadcast((frequent, table))
+    end_known, end = int(sum(texts) > 0), np.concatenate([[model.base(np.float64(sum(texts)))], model.end])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words = shared.value
+        places, prices = shared.value
+        place = places.get
         for batch in batches:
-            rows = []
-            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch, "text")):
-                tokens, (known, base, model) = 1, end
-                for word, k in Counter(text.lower().split()).items():
-                    tokens += k
-                    found = known_words.get(word)
-                    if found is None:
-                        rows.append((row, word, k, None, 0, 0, 0.0, 0.0))
-                    else:
-                        known += k
-                        base += k * found[0]
-                        model += k * found[1]
-                # the row's own sums travel under a key that no text can hold
-                rows.append((row, b"\xff" + row.to_bytes(8, "big", signed=True), 0, doc, tokens, known, base, model))
-                if len(rows) > 100_000:
-                    yield _batch(rows, _PARTS)
-                    rows = []
-            if rows:
-                yield _batch(rows, _PARTS)
+            new_row, new_word, new_times, own, sums = [], [], [], [], []
+            for row, text in zip(batch.column(0).to_pylist(), bytes_of(batch, "text")):
+                words = Counter(text.lower().split())
+                times = np.fromiter(words.values(), np.int64, len(words))
+                at = np.fromiter([place(w, -1) for w in words], np.int64, len(words))
+                met = at >= 0
+                if not met.all():
+                    names = list(words)
+                    unmet = np.flatnonzero(~met).tolist()
+                    new_row.extend([row] * len(unmet))
+                    new_word.extend([names[i] for i in unmet])
+                    new_times.extend(times[unmet].tolist())
+                own.append((int(times.sum()) + 1, int(times[met].sum()) + end_known))
+                sums.append(times[met] @ prices[at[met]] + end)
+            count = batch.num_rows
+            if not count:
+                continue
+            # a row's own sums travel under a key that no text can hold
+            own, sums = np.array(own, np.int64), np.array(sums)
+            keys = [b"\xff" + row.to_bytes(8, "big", signed=True) for row in batch.column(0).to_pylist()]
+            yield _parts(batch.column(0), pa.array(keys, pa.binary()), np.zeros(count, np.int64), batch.column(1),
+                         own[:, 0], own[:, 1], sums[:, 0], _lists(sums[:, 1:]))
+            for lo in range(0, len(new_row), 100_000):
+                part = slice(lo, lo + 100_000)
+                times = np.array(new_times[part], np.int64)
+                zero = np.zeros(len(times), np.int64)
+                yield _parts(pa.array(new_row[part], pa.int64()), pa.array(new_word[part], pa.binary()), times,
+                             pa.nulls(len(times), pa.int64()), zero, zero, zero.astype(float),
+                             pa.nulls(len(times), pa.list_(pa.float64())))
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
             times = batch.column(2).to_numpy()
             c = batch.column(8).fill_null(0).to_numpy().astype(float)
-            spelled = np.array(batch.column(9).fill_null(0.0))
+            chance = np.zeros((batch.num_rows, width))
+            for column in (7, 9):  # a row's own sums, words met in training
+                has = np.flatnonzero(batch.column(column).is_valid().to_numpy(zero_copy_only=False))
+                chance[has] = batch.column(column).flatten().to_numpy().reshape(-1, width)
             new = np.flatnonzero((times > 0) & (c == 0))
             if new.size:
-                kinds, at = np.unique(np.array(batch.column(1).take(pa.array(new)).to_pylist(), object), return_inverse=True)
-                spelled[new] = spellings(kinds.tolist(), scores, vocabulary)[at]
+                names, at = np.unique(np.array(batch.column(1).take(pa.array(new)).to_pylist(), object), return_inverse=True)
+                chance[new] = model.words(names.tolist(), np.zeros((len(names), width + 1)))[at]
             words = times > 0
-            sums = [batch.column(4).to_numpy(),
-                    batch.column(5).to_numpy() + times * (c > 0),
-                    batch.column(6).to_numpy() + np.where(words, times * base_of(c), 0.0),
-                    batch.column(7).to_numpy() + np.where(words, times * model_of(c, spelled), 0.0)]
+            own = ~words
+            chance *= np.where(words, times, 1)[:, None]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(3), pa.array((times == 0).astype(np.int64)), pa.array(sums[0]),
-                 pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])],
-                ["row", "doc_id", "ends", "n_tokens", "n_known", "base", "model"])
-
+                [batch.column(0), batch.column(3), pa.array(own.astype(np.int64)),
+                 pa.array(np.where(words, times * 0, batch.column(4).to_numpy())),
+                 pa.array(batch.column(5).to_numpy() + times * (c > 0)),
+                 pa.array(np.where(words, times * model.base(c), batch.column(6).to_numpy())),
+                 *(pa.array(chance[:, k]) for k in range(width))],
+                ["row", "doc_id", "ends", "n_tokens", "n_known", "base", *kind_columns])
+
+    kind_columns = [f"m{k}" for k in range(width)]
     bounded_batches(spark)
     parts = rows.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").mapInArrow(split, _PARTS)
-    priced = parts.join(_spelled(seen, scores, vocabulary), "word", "left").select(
-        "row", "word", "times", "doc_id", "n_tokens", "n_known", "base", "model", "c", "spelling").mapInArrow(
-        price, "row long, doc_id long, ends long, n_tokens long, n_known long, base double, model double")
+    priced = parts.join(_priced(seen, model).withColumnRenamed("model", "chance"), "word", "left").select(
+        "row", "word", "times", "doc_id", "n_tokens", "n_known", "base", "model", "c", "chance").mapInArrow(
+        price, "row long, doc_id long, ends long, n_tokens long, n_known long, base double, "
+        + ", ".join(f"{m} double" for m in kind_columns))
     sums = priced.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("ends").alias("ends"), *(
-        F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "model")))
+        F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", *kind_columns)))
     # equal rows were added up: share the sums among them
+    each = [F.col(m) / F.col("ends") for m in kind_columns]
+    best = F.greatest(*each) if width > 1 else each[0]
+    mixed = best + F.log10(sum((F.lit(share) * F.pow(F.lit(10.0), m - best) for share, m in zip(model.shares, each)), F.lit(0.0)))
     return sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("ends")))).select(
         "doc_id", F.expr("n_tokens div ends").alias("n_tokens"), F.expr("n_known div ends").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") / F.col("ends")).alias("base_score"),
-        (F.col("model") / F.col("ends")).alias("score"))
+        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") / F.col("ends")).alias("base_score"), mixed.alias("score"))
 
 
-_PARTS = ("row long, word binary, times long, doc_id long, n_tokens long, n_known long, base double, model double")
-_KINDS = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+_PARTS = ("row long, word binary, times long, doc_id long, n_tokens long, n_known long, base double, model array<double>")
+_NAMES = [f.split()[0] for f in _PARTS.split(", ")]
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    names = [f.split() for f in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(x, _KINDS[kind]) for x, (_, kind) in zip(zip(*rows), names)], [x for x, _ in names])
+def _parts(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], _NAMES)
 
 
 def training_rows(modulus: int = 10) -> Column:

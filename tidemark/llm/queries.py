@@ -57,7 +57,7 @@ def op6_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_lattice_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Log probabilities of every document."""
-    scores = op7_lattice.score_texts(table(spark, folder, "documents"), ~held_out(10))
+    scores = op7_lattice.score_texts(table(spark, folder, "documents"), ~held_out(10), kind="lang")
     return scores.select("doc_id", held_out(10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
