@@ -287,6 +287,33 @@ def test_base_scores_and_counts(spark, rows):
             assert r.score < 0
 
 
+def test_mixture_of_kinds(spark):
+    rows = [(1, "the cat the", "en", 1), (2, "the dog.", "en", 1), (3, "der hund der", "de", 1), (4, None, None, 1), (5, "", "de", 1),
+            (6, "the der zug", "en", 0), (7, "der zug", None, 0), (8, "x" * 40 + " cat", "de", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, model int")
+    got = {r.doc_id: r.score for r in op7_lattice.score_texts(docs, F.col("model") == 1, kind="lang").collect()}
+    tokens = lambda t: (t or "").encode().split() + [None]
+    kinds = [collections.Counter(w for _, t, k, m in rows if m and k == kind for w in tokens(t)) for kind in ("de", "en", None)]
+    every = sum(kinds, collections.Counter())
+    texts = [2, 2, 1]  # by size, then value: de and en tie
+    number, sizes = op7_lattice.kind_number(docs.where("model = 1"), "lang")
+    assert sizes == texts
+    counts = op7_lattice.word_counts(docs.where("model = 1"), number, 3)
+    scores = op7_lattice.piece_scores(counts, kinds=3)
+
+    def share(count, word, total):
+        return max(count[word] - 0.75, 0) / total
+
+    for doc, text, _, _ in rows:
+        sums = []
+        for k, count in enumerate(kinds):
+            rest, base = 0.75 * len(count) / count.total(), 0.75 * len(every) / every.total()
+            spelled = lambda w: 0 if w is None else base * 10 ** op7_lattice.spellings([w], scores[k])[0]  # noqa: E731, B023
+            sums.append((texts[k] + 1) / 8 * math.prod(
+                share(count, w, count.total()) + rest * (share(every, w, every.total()) + spelled(w)) for w in tokens(text)))
+        assert got[doc] == pytest.approx(math.log10(sum(sums)))
+
+
 def brute_measures(text):
     words = text.encode().split()
     lines = [x for x in text.encode().split(b"\n") if x.split()]

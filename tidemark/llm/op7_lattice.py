@@ -49,13 +49,10 @@ SHORT = 24  # bytes of a word whose probability stays within the range of a doub
 _LATTICES: dict = {}
 
 
-def _hashes(letters: np.ndarray, start: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each length up to ``most``, a hash of the bytes from ``start`` on, for words that are rows of a matrix."""
-    value = np.zeros(len(letters), np.uint64)
-    for length in range(1, min(most, letters.shape[1] - start) + 1):
-        value = (value + letters[:, start + length - 1] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        value ^= value >> np.uint64(29)
-        yield length, value
+def _longer(value: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are one byte longer than those with the hashes ``value``."""
+    value = (value + byte + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return value ^ (value >> np.uint64(29))
 
 
 class Lattice:
@@ -65,32 +62,45 @@ class Lattice:
         texts = {bytes([b]) for b in range(256)}
         texts |= {p.replace(MARK, "").lower().encode() for p in Pieces(path).score}
         self.texts = sorted((t for t in texts if 0 < len(t) <= MOST_BYTES), key=lambda t: (len(t) > 1, t))
-        keys = np.empty(len(self.texts), np.uint64)
-        for part, letters in by_length(self.texts):
-            *_, (_, keys[part]) = _hashes(letters, 0, letters.shape[1])
-        self._order = np.argsort(keys)
-        self._keys = keys[self._order]
+        number = {t: i for i, t in enumerate(self.texts)}
+        starts = sorted({t[:k] for t in self.texts for k in range(1, len(t) + 1)})
+        keys = np.empty(len(starts), np.uint64)
+        for part, letters in by_length(starts):
+            value = np.zeros(len(part), np.uint64)
+            for column in letters.T:
+                value = _longer(value, column)
+            keys[part] = value
+        order = np.argsort(keys)
+        self._keys = keys[order]
+        self._piece = np.array([number.get(t, -1) for t in starts])[order]
         if (self._keys[1:] == self._keys[:-1]).any():
-            raise ValueError("two pieces share a hash")
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Numbers of the pieces with these hashes, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
-        return np.where(self._keys[at] == keys, self._order[at], -1)
+            raise ValueError("two beginnings of pieces share a hash")
+        # most strings begin no piece; a small table of leading bits tells so without a search
+        self._led = np.zeros(1 << 20, bool)
+        self._led[self._keys >> np.uint64(44)] = True
 
     def arcs(self, letters: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, end, words, scores) of the arcs of words of one length, which are the rows of ``letters``.
 
         A piece has four scores: as the first of a word or a later one, and ending the word or not.
         """
-        out = []
-        for start in range(letters.shape[1]):
-            for length, keys in _hashes(letters, start, MOST_BYTES):
-                piece = self.find(keys)
+        out, length = [], letters.shape[1]
+        columns = np.ascontiguousarray(letters.T)
+        for start in range(length):
+            word, value = np.arange(len(letters)), np.zeros(len(letters), np.uint64)
+            for end in range(start + 1, min(start + MOST_BYTES, length) + 1):
+                value = _longer(value, columns[end - 1][word])
+                some = np.flatnonzero(self._led[value >> np.uint64(44)])
+                at = np.minimum(np.searchsorted(self._keys, value[some]), len(self._keys) - 1)
+                begun = self._keys[at] == value[some]  # only words in which a piece goes on here are followed
+                some, at = some[begun], at[begun]
+                if not some.size:
+                    break
+                word, value, piece = word[some], value[some], self._piece[at]
                 has = np.flatnonzero(piece >= 0)
                 if has.size:
-                    kind = (start > 0) + 2 * (start + length == letters.shape[1])
-                    out.append((start, start + length, has, piece[has] + kind * len(self.texts)))
+                    kind = (start > 0) + 2 * (end == length)
+                    out.append((start, end, word[has], piece[has] + kind * len(self.texts)))
         return out
 
     def normalised(self, uses: np.ndarray) -> np.ndarray:
@@ -118,45 +128,38 @@ def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part, data.astype(np.uint64)
 
 
-def forward(arcs: list, scores: np.ndarray, count: int, length: int) -> np.ndarray:
-    """Log of the summed probability of all ways to each place: place x word x kind. Arcs come by start.
+def forward(arcs: list, scores: np.ndarray, count: int, length: int, logs: bool) -> np.ndarray:
+    """The summed probability of all ways to each place: place x word x kind. Arcs come by start.
 
-    ``scores`` has a row of logs for each piece, a column for each kind. Short words are summed as they are, which is the
-    same sum without the logs.
+    ``scores`` has a row for each piece, a column for each kind. With ``logs`` scores and sums are logs, else plain.
     """
-    short = length <= SHORT
-    alpha = np.full((length + 1, count, scores.shape[1]), 0.0 if short else -np.inf)
-    alpha[0] = 1.0 if short else 0.0
-    if short:
-        chance = np.exp(scores)
-        for start, end, word, piece in arcs:
-            alpha[end, word] += alpha[start, word] * chance[piece]
-        with np.errstate(divide="ignore"):
-            return np.log(alpha)
+    alpha = np.full((length + 1, count, scores.shape[1]), -np.inf if logs else 0.0)
+    alpha[0] = 0.0 if logs else 1.0
     for start, end, word, piece in arcs:
-        alpha[end, word] = np.logaddexp(alpha[end, word], alpha[start, word] + scores[piece])
+        if logs:
+            alpha[end, word] = np.logaddexp(alpha[end, word], alpha[start, word] + scores[piece])
+        else:
+            alpha[end, word] += alpha[start, word] * scores[piece]
     return alpha
 
 
-def add_expected_uses(arcs: list, scores: np.ndarray, weights: np.ndarray, length: int, uses: np.ndarray) -> None:
+def add_expected_uses(arcs: list, scores: np.ndarray, weights: np.ndarray, length: int, uses: np.ndarray, logs: bool) -> None:
     """Add to ``uses`` the expected number of uses of each piece, by forward and backward sums; ``scores`` of one kind."""
-    alpha = forward(arcs, scores[:, None], len(weights), length)[:, :, 0]
-    short = length <= SHORT
-    beta = np.full_like(alpha, 0.0 if short else -np.inf)
-    beta[length] = 1.0 if short else 0.0
-    if short:
-        alpha, scores = np.exp(alpha), np.exp(scores)
+    alpha = forward(arcs, scores[:, None], len(weights), length, logs)[:, :, 0]
+    beta = np.full_like(alpha, -np.inf if logs else 0.0)
+    beta[length] = 0.0 if logs else 1.0
+    share = weights if logs else weights / alpha[length]
     pieces, amounts = [], []
     for start, end, word, piece in reversed(arcs):
         pieces.append(piece)
-        if short:
-            step = scores[piece] * beta[end, word]
-            amounts.append(weights[word] * alpha[start, word] * step / alpha[length, word])
-            beta[start, word] += step
-        else:
+        if logs:
             step = scores[piece] + beta[end, word]
-            amounts.append(weights[word] * np.exp(alpha[start, word] + step - alpha[length, word]))
+            amounts.append(share[word] * np.exp(alpha[start, word] + step - alpha[length, word]))
             beta[start, word] = np.logaddexp(beta[start, word], step)
+        else:
+            step = scores[piece] * beta[end, word]
+            amounts.append(share[word] * alpha[start, word] * step)
+            beta[start, word] += step
     uses += np.bincount(np.concatenate(pieces), np.concatenate(amounts), minlength=len(uses))
 
 
@@ -166,9 +169,14 @@ def spellings(words: list[bytes], scores: np.ndarray, path: str | None = None) -
     ``scores`` holds the pieces' scores, or a row of them for each kind; then each word gets a row with a value for each.
     """
     found, columns = lattice(path), np.ascontiguousarray(np.atleast_2d(scores).T)
+    plain = np.exp(columns)
     out = np.empty((len(words), columns.shape[1]))
     for part, letters in by_length(words):
-        out[part] = forward(found.arcs(letters), columns, len(part), letters.shape[1])[-1]
+        length = letters.shape[1]
+        if length <= SHORT:
+            out[part] = np.log(forward(found.arcs(letters), plain, len(part), length, False)[-1])
+        else:
+            out[part] = forward(found.arcs(letters), columns, len(part), length, True)[-1]
     return (out if scores.ndim > 1 else out[:, 0]) / math.log(10)
 
 
@@ -223,7 +231,7 @@ def piece_scores(counts: DataFrame, vocabulary: str | None = None, rounds: int =
     scores = np.stack([lattice(vocabulary).normalised(np.ones(size))] * kinds)
     for _ in range(rounds):
         def expect(batches: Iterator[pa.RecordBatch], scores=scores) -> Iterator[pa.RecordBatch]:
-            found, uses = lattice(vocabulary), np.zeros((kinds, size))
+            found, uses, plain = lattice(vocabulary), np.zeros((kinds, size)), np.exp(scores)
             for batch in gathered(batches):
                 words = batch.column(0).to_pylist()
                 for k in range(kinds):
@@ -232,7 +240,9 @@ def piece_scores(counts: DataFrame, vocabulary: str | None = None, rounds: int =
                     # types count by the logarithm of their tokens: unseen words resemble rare ones
                     weights = 1 + np.log(c[has])
                     for part, letters in by_length([words[i] for i in has]):
-                        add_expected_uses(found.arcs(letters), scores[k], weights[part], letters.shape[1], uses[k])
+                        logs = letters.shape[1] > SHORT
+                        add_expected_uses(found.arcs(letters), (scores if logs else plain)[k], weights[part],
+                                          letters.shape[1], uses[k], logs)
             kind, used = np.nonzero(uses)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kind), pa.array(used), pa.array(uses[kind, used])], ["kind", "piece", "uses"])
@@ -358,8 +368,9 @@ def score_texts(docs: DataFrame, learn: Column | None = None, vocabulary: str |
                 chance[has] = batch.column(column).flatten().to_numpy().reshape(-1, width)
             new = np.flatnonzero((times > 0) & (c == 0))
             if new.size:
-                names, at = np.unique(np.array(batch.column(1).take(pa.array(new)).to_pylist(), object), return_inverse=True)
-                chance[new] = model.words(names.tolist(), np.zeros((len(names), width + 1)))[at]
+                places: dict[bytes, int] = {}
+                at = [places.setdefault(w, len(places)) for w in batch.column(1).take(pa.array(new)).to_pylist()]
+                chance[new] = model.words(list(places), np.zeros((len(places), width + 1)))[at]
             words = times > 0
             own = ~words
             chance *= np.where(words, times, 1)[:, None]
