@@ -238,6 +238,18 @@ def test_dated_lists(spark):
     assert nothing.where("blocked").count() == 0
 
 
+def test_lists_cover_hosts_and_paths_of_any_depth(spark):
+    deep, path = "a.b.c.d.e.f.g.example.com", "/1/2/3/4/5/6"
+    changes = [(key, 1, "add") for key in ("example.com", deep, "x.org" + path, "y.org/1/2/3/4/5", "localhost", "com")]
+    pages = [(1, f"http://{deep}/p"), (2, "http://x.org" + path), (3, "http://x.org/1/2/3/4/5/7"), (4, f"http://y.org{path}?q"),
+             (5, "http://localhost:8080"), (6, "http://localhost/p"), (7, "http://other.com")]
+    got = {r.page_id: (r.n_active, r.first_key) for r in op5_lists.judge(
+        spark.createDataFrame([(*p, 5) for p in pages], "page_id long, url string, day int"),
+        spark.createDataFrame(changes, "key string, day int, action string")).collect()}
+    assert got == {1: (2, deep), 2: (1, "x.org" + path), 3: (0, None), 4: (1, "y.org/1/2/3/4/5"), 5: (1, "localhost"),
+                   6: (1, "localhost"), 7: (0, None)}
+
+
 def test_quality_scores_on_held_out_labels(spark, small):
     docs, labels = (spark.read.parquet(f"{small.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     model, prior = op6_pu.fit(docs, labels, ~held_out(5))

@@ -2,8 +2,8 @@
 
 List changes (key, action ``add`` or ``remove``, day) become intervals of validity: for each key the state after a day's changes
 holds until the next day on which it changes, and equal neighbouring states merge. A removal on the day of an addition
-wins. A key is a host, a parent domain of one, or a host with a path prefix; a capture meets the keys its own address
-spells out, at most ``LABELS`` domains and ``STEPS`` path prefixes.
+wins. A key is a host, a parent domain of one, or a host with a path prefix; a capture meets all keys its own address
+spells out: the host, each of its parent domains of two labels or more, and the host with each prefix of its path.
 
 The as-of join is an equality join on key and period (``PERIOD`` days): intervals are cut at period borders, so a
 popular key is spread over the periods of its captures, and within a period a capture meets only the few intervals that touch it.
@@ -21,8 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LABELS = 6
-STEPS = 4
 PERIOD = 30
 FOREVER = 2**31 - 1
 
@@ -41,14 +39,14 @@ def path_of(url: Column) -> Column:
 
 def keys_of(host: Column, path: Column) -> Column:
     """All keys that can cover an address: its domains and its path prefixes."""
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(0), F.lit(LABELS - 1)), lambda i: F.when(
-        i < F.size(labels) - 1, F.array_join(F.slice(labels, i + 1, F.greatest(F.size(labels) - i, F.lit(0))), ".")))
-    steps = F.split(path, "/")
-    prefixes = F.transform(F.sequence(F.lit(2), F.lit(STEPS + 1)), lambda i: F.when(
-        i <= F.size(steps), F.concat(host, F.array_join(F.slice(steps, F.lit(1), i), "/"))))
-    return F.when(host != "", F.array_distinct(F.array_compact(F.concat(domains, F.when(path != "", prefixes).otherwise(
-        F.array().cast("array<string>"))))))
+    labels, steps = F.split(host, r"\."), F.split(path, "/")
+    # a host of one label is its own only domain
+    domains = F.transform(F.sequence(F.lit(0), F.greatest(F.size(labels) - 2, F.lit(0))), lambda i: F.array_join(
+        F.slice(labels, i + 1, F.size(labels) - i), "."))
+    prefixes = F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))), lambda i: F.concat(
+        host, F.array_join(F.slice(steps, F.lit(1), i), "/")))
+    return F.when(host != "", F.array_distinct(F.concat(domains, F.when(path != "", prefixes).otherwise(
+        F.array().cast("array<string>")))))
 
 
 def intervals(changes: DataFrame) -> DataFrame:
