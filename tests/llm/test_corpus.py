@@ -84,6 +84,24 @@ def test_spots_of_edited_and_next_texts(spark, rows):
     assert op1_spots.edit_report(frame(spark, [(5, "one two the three")])).first().near_next == 1
 
 
+def test_spots_of_texts_without_listed_common_words():
+    spots = lambda t: op1_spots.spots(t.encode())
+    words = [f"слово{chr(0x430 + i % 32)}{chr(0x430 + i // 32)}" for i in range(200)]
+    chinese = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(200))
+    georgian = "".join(chr(0x10D0 + i * i % 33) for i in range(400))  # a run without blanks in a script that has them
+    for whole, join, lo, hi in ((words, " ".join, 0.25, 0.45), (chinese, "".join, 0.25, 0.45), (georgian, "".join, 0.1, 0.9)):
+        text, half = join(whole), len(whole) // 2
+        assert 0.9 < op1_spots.likeness(spots(text), spots(join(["x1" + " " * (join == " ".join), *whole[1:]]))) < 1
+        assert lo < op1_spots.likeness(spots(text), spots(join([*whole[:half], *[f"z{i} " for i in range(half)]]))) < hi
+        assert len(spots(text)) > len(whole) // 4
+    assert op1_spots.likeness(spots(" ".join(words[:9])), spots(" ".join(words[:2] + words[50:57]))) < 0.5
+    for count in range(1, 30):  # no word is outside all spots
+        for i in range(count):
+            other = words[:count]
+            other[i] = "другое"
+            assert op1_spots.likeness(spots(" ".join(words[:count])), spots(" ".join(other))) < 1
+
+
 def test_pruned_likeness_and_length_partitions():
     rng = np.random.default_rng(0)
     for _ in range(200):

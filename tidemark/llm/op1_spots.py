@@ -1,13 +1,16 @@
 """Spot signatures: chains of content words that follow common words.
 
-An anchor (a common word of the languages listed, or the start of the text) and the next ``CHAIN`` content words that stand
-``DISTANCE`` words apart form a spot. A text's fingerprint is the multiset of its spots. Two fingerprints are compared by
-Jaccard similarity of multisets, pruned: their lengths bound it from above, and so does what is left while spots are merged
+An anchor and the next ``CHAIN`` content words that stand ``DISTANCE`` words apart form a spot. Anchors are the start of the
+text, the common words listed, and, for languages without such a list, the content word with the least hash of every
+``CHAIN`` + 1 content words that no common word parts (winnowing, Schleimer, Wilkerson and Aiken 2003). Every content word is
+thus in a spot (at a distance of 1), and which spots a stretch bears depends on the stretch alone. A text's fingerprint is the
+multiset of its spots. Two fingerprints are compared by Jaccard similarity of multisets, pruned: their lengths bound it from above, and so does what is left while spots are merged
 in order, so a comparison ends when a required likeness is out of reach. For a self join, fingerprints are partitioned by
 length, so that only fingerprints in the same or the next partition can be similar (Theobald, Siddharth and Paepcke 2008).
 
 Words are compared in lower case without leading and trailing ASCII punctuation; words that are all punctuation do not
-count. A chain cut short by the end of the text is kept if it has a word. Null and empty texts, and texts without words,
+count. In scripts written without blanks, and in runs of more than ``LONG`` characters without a blank, each character is a
+word. A chain cut short by the end of the text is kept if it has a word. Null and empty texts, and texts without words,
 have the empty fingerprint; two empty fingerprints have likeness 1, an empty one and another have 0. Repeated rows get equal
 fingerprints. An empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
 """
@@ -15,6 +18,7 @@ fingerprints. An empty table gives an empty result. Only ``doc_id`` and ``text``
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,7 @@ from tidemark.llm.text import bounded_batches, bytes_of, id_key, mix
 
 CHAIN = 2
 DISTANCE = 1
+LONG = 40
 MEMO_WORDS = 300_000
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Common words of English, French, German and Spanish.
@@ -37,9 +42,29 @@ als auf aus bei das dem den der des die ein eine im ist mit nicht sich und von z
 al con del el en es la las lo los no para por que se su una y
 """.encode().split())
 
+# Thai, Lao, Tibetan, Myanmar, Khmer, Tai and related scripts, kana, Chinese characters
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff"
+                       "\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+_UNSPACED_OR_RUN = re.compile(f"{_UNSPACED.pattern}|[^{_UNSPACED.pattern[1:-1]}]+")
+
 _memo: dict[bytes, int] = {}
 
 
+def cut_words(text: bytes) -> list[bytes]:
+    """Words of a text; what is written without blanks is cut into characters."""
+    words = text.split()
+    if (text.isascii() or not _UNSPACED.search(text.decode("utf-8", "replace"))) and max(map(len, words), default=0) <= LONG:
+        return words
+    out = []
+    for word in words:
+        if len(word) <= LONG and word.isascii():
+            out.append(word)
+            continue
+        chars = word.decode("utf-8", "replace")
+        out.extend(c.encode() for c in (chars if len(chars) > LONG else _UNSPACED_OR_RUN.findall(chars)))
+    return out
+
+
 def _word(word: bytes) -> int:
     """0: no word, 1: common word, otherwise a hash of at least 2."""
     core = word.decode("utf-8", "replace").lower().encode().strip(_EDGE)
@@ -66,7 +91,7 @@ def _anchor_hashes(words: list[bytes], common: np.ndarray) -> np.ndarray:
 
 def spots(text: bytes, chain: int = CHAIN, distance: int = DISTANCE) -> np.ndarray:
     """Sorted 32-bit hashes of the spots of a text, with repeats."""
-    words = text.split()
+    words = cut_words(text)
     numbers = _numbers(words)
     real = numbers > 0
     numbers = numbers[real]
@@ -75,13 +100,15 @@ def spots(text: bytes, chain: int = CHAIN, distance: int = DISTANCE) -> np.ndarr
     content = np.flatnonzero(numbers > 1)
     common = np.flatnonzero(numbers == 1)
     values = numbers[content]
+    least = _least_of_windows(content, values, chain + 1)
     # the first content word after each anchor; the start of the text is an anchor, too
-    after = np.concatenate([[0], np.searchsorted(content, common)])
+    after = np.concatenate([[0], np.searchsorted(content, common), least + 1])
     kept = [w for w, r in zip(words, real.tolist()) if r] if not real.all() else words
-    state = np.concatenate([[np.uint64(1)], _anchor_hashes(kept, common)]).astype(np.uint64)
+    state = np.concatenate([[np.uint64(1)], _anchor_hashes(kept, common), mix(values[least])]).astype(np.uint64)
     has = after < len(values)
     if not has.any():
         return np.sort((mix(state) >> np.uint64(32)).astype(np.uint32))
+    has[1 + len(common):] = True  # a content word is a spot by itself
     state, after = state[has], after[has]
     for k in range(chain):
         at = after + k * distance
@@ -90,6 +117,14 @@ def spots(text: bytes, chain: int = CHAIN, distance: int = DISTANCE) -> np.ndarr
     return np.sort((state >> np.uint64(32)).astype(np.uint32))
 
 
+def _least_of_windows(content: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """Positions in ``values`` of the first least one of each ``width`` content words that stand side by side."""
+    if len(values) < width:
+        return np.zeros(0, np.int64)
+    whole = np.flatnonzero(content[width - 1:] - content[:len(content) - width + 1] == width - 1)
+    return np.unique(whole + np.lib.stride_tricks.sliding_window_view(values, width)[whole].argmin(axis=1))
+
+
 def encode(fingerprint: np.ndarray) -> str:
     """Hexadecimal digits of the sorted spots, eight for each."""
     return fingerprint.astype(">u4").tobytes().hex()
