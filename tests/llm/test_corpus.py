@@ -484,3 +484,24 @@ def test_word_cached_ids_equal_the_tokenizers_ids(spark, rows):
         ids = codec().encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
         assert codec().decode(ids) == text
+
+
+def test_ids_equal_those_of_tokenizers_as_it_is(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> z", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext| >", "end  <|endoftext|>é", "plain", ""]
+    expected = {i: whole.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert len(expected[0]) == 4 and 50256 in expected[0]
+    for i, text in enumerate(texts):
+        ids = codec().encode_text(text)
+        assert np.frombuffer(ids, "<u4").tolist() == expected[i] and codec().decode(ids) == text
+    docs = frame(spark, list(enumerate(texts)))
+    for r in op10_packing.pack_documents(docs).collect():
+        ids = np.array([*expected[r.doc_id], 0], "<u4")
+        assert (r.start, r.length, r.ids_crc32) == (0, len(ids), zlib.crc32(ids.tobytes()))
+    for r in op4_bins.pack_matrices(docs).collect():
+        ids = np.frombuffer(r.ids, "<u2")
+        for k, doc in enumerate(r.doc_ids):
+            assert ids[r.cu_seqlens[k]:r.cu_seqlens[k + 1]].tolist() == [*expected[doc], 0]

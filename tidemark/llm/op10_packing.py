@@ -51,7 +51,7 @@ def token_pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = Non
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), bytes_of(batch, "text")):
-                ids = bpe.encode(text.decode("utf-8", "replace")) + END
+                ids = bpe.encode_text(text.decode("utf-8", "replace")) + END
                 out.extend((doc, k, s, n, zlib.crc32(ids[4 * s:4 * (s + n)]))
                            for k, (s, n) in enumerate(piece_bounds(len(ids) // 4, size)))
             if out:

@@ -124,7 +124,7 @@ def pack_matrices(docs: DataFrame, size: int = SIZE, pool: int = POOL_TOKENS, vo
         end = np.zeros(1, kind)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), bytes_of(batch, "text")):
-                x = np.concatenate([np.frombuffer(bpe.encode(text.decode("utf-8", "replace")), "<u4").astype(kind), end])
+                x = np.concatenate([np.frombuffer(bpe.encode_text(text.decode("utf-8", "replace")), "<u4").astype(kind), end])
                 held.append(doc)
                 ids.append(x)
                 tokens += len(x)

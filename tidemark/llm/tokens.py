@@ -1,12 +1,15 @@
 """Byte-level BPE ids.
 
 Texts are encoded whole: measured over new words, which a corpus never runs out of, that takes less than half the time of a
-memory of words. Special-token strings in a text are ordinary text.
+memory of words. The ids are those of the tokenizers file of the vocabulary, made by tiktoken: the added tokens of that file
+are cut out of a text first and keep their own ids, as ``tokenizers`` does with its default settings.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
 import sys
 from array import array
 
@@ -20,8 +23,20 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of the tokenizers file (.json) beside a rank file; none without one."""
+    described = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(described):
+        return {}
+    with open(described, encoding="utf-8") as file:
+        tokens = json.load(file).get("added_tokens", [])
+    if any(t.get(flag) for t in tokens for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"added tokens of {described} match by more than their text")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 class ByteBpe:
-    """``encode`` gives little-endian unsigned 32-bit ids as bytes."""
+    """Little-endian unsigned 32-bit ids as bytes: ``encode_text`` of a text with added tokens, ``encode`` of plain text."""
 
     def __init__(self, path: str | None = None, pattern: str | None = None):
         if pattern is None:
@@ -30,10 +45,20 @@ class ByteBpe:
             pattern = public_tokenizers.PATTERN
         with open(path or default_vocabulary(), "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-        self._codec = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._added = added_tokens(path or default_vocabulary())
+        self._codec = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self._added)
+
+    def encode_text(self, text: str) -> bytes:
+        if any(token in text for token in self._added):
+            return self._packed(self._codec.encode(text, allowed_special="all"))
+        return self.encode(text)
 
     def encode(self, text: str) -> bytes:
-        ids = array("I", self._codec.encode_ordinary(text))
+        return self._packed(self._codec.encode_ordinary(text))
+
+    @staticmethod
+    def _packed(found: list[int]) -> bytes:
+        ids = array("I", found)
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
