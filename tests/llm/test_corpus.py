@@ -299,6 +299,15 @@ def test_lattice_sums_over_all_segmentations():
     assert op7_lattice.spellings(words, scores) == pytest.approx([math.log10(total(w)) for w in words])
 
 
+def test_lattice_holds_every_piece():
+    found = op7_lattice.lattice()
+    pieces = {p.replace(op7_lattice.MARK, "").lower().encode() for p in op7_lattice.Pieces(None).score} - {b""}
+    assert pieces <= set(found.texts)
+    longest = max(pieces, key=len)
+    letters = np.frombuffer(longest, np.uint8)[None].astype(np.uint64)
+    assert len(longest) > 16 and (0, len(longest)) in {a[:2] for a in found.arcs(letters)}
+
+
 def test_base_scores_and_counts(spark, rows):
     rows = rows + rows[:3]
     got = collections.defaultdict(list)

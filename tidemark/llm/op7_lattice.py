@@ -15,7 +15,7 @@ product over its tokens, weighted by the kinds' shares of the training texts: a
 training texts. The ``KINDS`` most frequent values are kinds, all others one more; without a kind column there is one kind.
 The base score is the add-0.1 unigram score.
 
-Pieces of more than ``MOST_BYTES`` bytes are left out of the lattice. Counts, N, V and the pieces' scores come from all
+The lattice holds the pieces of the vocabulary whatever their length. Counts, N, V and the pieces' scores come from all
 training rows. Words are counted within a row first; the ``FREQUENT`` most frequent words travel as a table of bounded size,
 all others meet their rows in a shuffle of words, in which each row sends a word once. Only sums over a fixed number of
 pieces reach the driver.
@@ -42,7 +42,6 @@ from tidemark.session import cut_lineage
 
 FREQUENT = 50_000
 ROUNDS = 3
-MOST_BYTES = 16
 KINDS = 8
 DISCOUNT = 0.75
 SHORT = 24  # bytes of a word whose probability stays within the range of a double
@@ -61,7 +60,8 @@ class Lattice:
     def __init__(self, path: str | None = None):
         texts = {bytes([b]) for b in range(256)}
         texts |= {p.replace(MARK, "").lower().encode() for p in Pieces(path).score}
-        self.texts = sorted((t for t in texts if 0 < len(t) <= MOST_BYTES), key=lambda t: (len(t) > 1, t))
+        self.texts = sorted((t for t in texts if t), key=lambda t: (len(t) > 1, t))
+        self.longest = max(map(len, self.texts))
         number = {t: i for i, t in enumerate(self.texts)}
         starts = sorted({t[:k] for t in self.texts for k in range(1, len(t) + 1)})
         keys = np.empty(len(starts), np.uint64)
@@ -88,7 +88,7 @@ class Lattice:
         columns = np.ascontiguousarray(letters.T)
         for start in range(length):
             word, value = np.arange(len(letters)), np.zeros(len(letters), np.uint64)
-            for end in range(start + 1, min(start + MOST_BYTES, length) + 1):
+            for end in range(start + 1, min(start + self.longest, length) + 1):
                 value = _longer(value, columns[end - 1][word])
                 some = np.flatnonzero(self._led[value >> np.uint64(44)])
                 at = np.minimum(np.searchsorted(self._keys, value[some]), len(self._keys) - 1)
