@@ -27,7 +27,7 @@ def test_same_rows_as_sql(spark, small, name):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_read_whole_tables(spark, small, name):
     rows = QUERIES[name](spark, small)
-    table, key = ("pages", "page_id") if name.startswith("op5") else ("documents", "doc_id")
+    table, key = {"op5": ("pages", "page_id"), "op13": ("embeddings", "vec_id")}.get(name.split("_")[0], ("documents", "doc_id"))
     if name.startswith("op4"):
         rows = rows.selectExpr("explode(doc_ids) AS doc_id")
     ids = {r[0] for r in spark.read.parquet(f"{small}/{table}.parquet").select(key).collect()}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import op1_spots, op2_paths, op3_suffix, op4_bins, op5_lists, op6_pu, op7_lattice, op8_cascade, op9_viterbi, op10_packing
+from tidemark.llm import (op1_spots, op2_paths, op3_suffix, op4_bins, op5_lists, op6_pu, op7_lattice, op8_cascade, op9_viterbi,
+                          op10_packing, op11_toxic, op12_runs, op13_whitening)
 from tidemark.llm.text import held_out
 
 
@@ -80,6 +81,25 @@ def op10_packing_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return op10_packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op11_toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, folder, "documents")
+    model, _ = op11_toxic.fit(docs, table(spark, folder, "labels"), ~held_out(5))
+    return op11_toxic.score_rows(docs, model).select(
+        "doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_runs_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document, one in ten of them with a looped tail."""
+    report = op12_runs.run_report(table(spark, folder, "documents"), edit=op12_runs.looped_tail)
+    return report.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_whitening_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return op13_whitening.whiten_report(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spots_edits": op1_spots_edits,
     "op2_paths_links": op2_paths_links,
@@ -91,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cascade_rules": op8_cascade_rules,
     "op9_viterbi_ids": op9_viterbi_ids,
     "op10_packing_sequences": op10_packing_sequences,
+    "op11_toxic_scores": op11_toxic_scores,
+    "op12_runs_collapsed": op12_runs_collapsed,
+    "op13_whitening_components": op13_whitening_components,
 }
 
 SQL: dict[str, str] = {

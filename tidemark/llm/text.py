@@ -6,6 +6,7 @@ A word is a run of bytes other than blank, tab, line feed, vertical tab, form fe
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
 SLICE_BYTES = 2_000_000
+PIECE_BYTES = 1 << 20
 NO_ID = -(2**63)
+_BLANK = re.compile(rb"[ \t-\r]")
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -57,6 +60,16 @@ def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, i
         yield lo, len(texts)
 
 
+def pieces(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about ``PIECE_BYTES``, cut at blanks, so that a long text's words need not all be held."""
+    at = 0
+    while at < len(text):
+        end = _BLANK.search(text, at + PIECE_BYTES) if at + PIECE_BYTES < len(text) else None
+        stop = end.start() if end else len(text)
+        yield text[at:stop]
+        at = stop
+
+
 def word_ids(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """A number for each word (equal for equal words) and the row each word stands in."""
     flat = list(chain.from_iterable(words))
