@@ -19,7 +19,8 @@ from tidemark.plans.corrections import count_corrections  # noqa: E402
 from tidemark.plans.queries import QUERIES, SQL  # noqa: E402
 
 FITTED = {"fit_logistic3", "fit_gompertz3", "fit_logistic4", "fit_gompertz4", "fit_quality", "predict_grid", "residuals",
-          "season_snapshot", "growth_ratio", "indicator_pairs", "combined_predictions"}
+          "season_snapshot", "growth_ratio", "indicator_pairs", "combined_predictions", "fit_lattice3", "fit_lattice4",
+          "fit_gaps"}
 
 
 # on the smallest tables most groups have fewer points than a curve has parameters, so their parameters are not determined

@@ -23,6 +23,7 @@ from pyspark.sql.types import IntegralType, StructType
 
 from tidemark.functions import curves
 from tidemark.functions.curves import LOGISTIC
+from tidemark.operators.bounds import ROUNDING, best_on_lattice, prove
 from tidemark.session import wide_parallelism
 
 # the search travels inside the task, so executors need no copy of this package
@@ -30,6 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 ROUNDS, STEPS, VALLEYS, TIE_DIGITS = 5, 25, 3, 9
+MOST_CELLS = 200_000
 
 
 @dataclass(frozen=True)
@@ -74,8 +76,13 @@ def _valleys(rss: np.ndarray, steps: int, top: int) -> np.ndarray:
     return low[np.argsort(rss[low], kind="stable")][:top]
 
 
-def _search_group(box: Box, model: str, x, n, sy, syy, rounds: int, steps: int, tie_digits: int, top: int):
-    """``a, b, c, d``, the RSS of the last round and of the one before it, for one group's days."""
+def _search_group(box: Box, model: str, x, n, sy, syy, rounds: int, steps: int, tie_digits: int, top: int,
+                  tolerance: float | None = None, most: int = MOST_CELLS):
+    """``a, b, c, d``, the RSS of the last round and of the one before it, for one group's days.
+
+    With a ``tolerance`` also a sum of squares that is proven to be the least possible or less; a better fit that the proof
+    meets takes the place of the first one.
+    """
     last = steps - 1
     total_n, total_y, total_yy = n.sum(), sy.sum(), syy.sum()
 
@@ -91,9 +98,8 @@ def _search_group(box: Box, model: str, x, n, sy, syy, rounds: int, steps: int,
         rss = np.where(np.isnan(rss), np.inf, rss)
         return rss, a, d, np.lexsort((c, b, np.round(rss, tie_digits)))[0]
 
-    def refine(start):
+    def refine(start, half_b=(box.b[1] - box.b[0]) / last * 1.5, half_c=(box.c[1] - box.c[0]) / last * 1.5):
         best, before = start, None
-        half_b, half_c = ((hi - lo) / last * 1.5 for lo, hi in (box.b, box.c))
         for _ in range(rounds - 1):
             # one and a half cells to each side, cut at the box; the best cell so far stays a candidate
             b, c = grid(max(best[1] - half_b, box.b[0]), min(best[1] + half_b, box.b[1]),
@@ -110,12 +116,61 @@ def _search_group(box: Box, model: str, x, n, sy, syy, rounds: int, steps: int,
         return None
     starts = [first] + [i for i in _valleys(rss, steps, top) if i != first][:top - 1]
     found = [refine((a[i], b[i], c[i], d[i], rss[i])) for i in starts]
-    return min(found, key=lambda r: (round(r[4], tie_digits), r[1], r[2]))
+    best = min(found, key=lambda r: (round(r[4], tie_digits), r[1], r[2]))
+    if tolerance is None:
+        return *best, None
+    best, proven = prove(box, model, (x, n, sy, syy), best, tolerance, most, refine, _asymptotes)
+    return *best, proven
+
+
+def _group_days(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """One row per group with the sums of its days as an array, spread over the tasks."""
+    if not isinstance(df.schema[x].dataType, IntegralType):
+        raise TypeError(f"{x} must hold whole days, not {df.schema[x].dataType.simpleString()}")
+    daily = (
+        df.select(F.struct(*keys).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+        .groupBy("g", "x").agg(
+            F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+    )
+    return (
+        daily.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("x", "n", "sy", "syy"))).alias("pts"))
+        .repartition(wide_parallelism(df.sparkSession), "g")
+    )
+
+
+def fit_lattice(df: DataFrame, keys: list[str], x: str, y: str, box: Box, slopes: int, midpoints: int,
+                models: tuple[str, ...] = curves.MODELS, tie_digits: int = TIE_DIGITS) -> DataFrame:
+    """The best of ``slopes`` x ``midpoints`` evenly spread points of the box, for each group and model.
+
+    For published parameters of few digits: the result is exact, though bounds spare most points. ``visited`` counts
+    the points that were looked at.
+    """
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, days in zip(batch["g"], batch["pts"]):
+                sums = tuple(np.array([day[k] for day in days]) for k in ("x", "n", "sy", "syy"))
+                with np.errstate(all="ignore"):
+                    for m in models:
+                        found, seen = best_on_lattice(box, m, sums, (slopes, midpoints), tie_digits, _asymptotes)
+                        if found is not None:
+                            rows.append((key, m, *found, int(sums[1].sum()), seen))
+            yield pd.DataFrame(rows, columns=["g", "model", "a", "b", "c", "d", "rss", "n", "visited"])
+
+    groups = _group_days(df, keys, x, y)
+    schema = StructType([groups.schema["g"]])
+    for field in StructType.fromDDL("model string, a double, b double, c double, d double, rss double, n long, visited long"):
+        schema = schema.add(field)
+    base = F.lit(None).cast("double") if box.d is None else F.col("d")
+    return groups.mapInPandas(search, schema).select(
+        *[F.col("g")[k].alias(k) for k in keys], "model", "a", "b", "c", base.alias("d"), "rss", "n", "visited")
 
 
 def fit_curves(df: DataFrame, keys: list[str], x: str, y: str, box: Box, models: tuple[str, ...] = curves.MODELS,
                rounds: int = ROUNDS, steps: int = STEPS, tie_digits: int = TIE_DIGITS, tolerance: float = 1e-3,
-               perfect: float = 1e-12, top: int = VALLEYS) -> DataFrame:
+               perfect: float = 1e-12, top: int = VALLEYS, prove: bool = False, most: int = MOST_CELLS) -> DataFrame:
     """Fit each model to each group; one row per group and model.
 
     ``x`` counts days and is an integer. The observations are first summed to one row per group and day
@@ -123,43 +178,37 @@ def fit_curves(df: DataFrame, keys: list[str], x: str, y: str, box: Box, models:
     has. The arrays are then spread by a partition count given by number: they are tiny in bytes but
     large in work, and AQE would fold them into one task.
 
-    The first grid's lowest ``top`` valleys are refined, so that a narrow second one is not missed.
+    The first grid's lowest ``top`` valleys are refined. With ``prove`` a branch and bound over the whole box follows
+    (see ``bounds``): it replaces the fit where another part of the box holds a better one, and the column ``gap`` tells by how
+    much the least possible RSS may lie below the fit's: 0 where that is less than ``tolerance`` of it, which is proven; more
+    only where ``most`` cells did not suffice.
 
     ``converged``: the last round improved the RSS by less than ``tolerance`` of itself. ``aic`` is NULL
     for a perfect fit (RSS at most ``perfect`` of the sum of squares).
     """
-    if not isinstance(df.schema[x].dataType, IntegralType):
-        raise TypeError(f"{x} must hold whole days, not {df.schema[x].dataType.simpleString()}")
-    daily = (
-        df.select(F.struct(*keys).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-        .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy("g", "x").agg(
-            F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
-    )
-    groups = (
-        daily.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("x", "n", "sy", "syy"))).alias("pts"))
-        .repartition(wide_parallelism(df.sparkSession), "g")
-    )
+    groups = _group_days(df, keys, x, y)
+    asked = tolerance if prove else None
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key, days in zip(batch["g"], batch["pts"]):
                 x, n, sy, syy = (np.array([day[k] for day in days]) for k in ("x", "n", "sy", "syy"))
-                with np.errstate(over="ignore", invalid="ignore"):
+                with np.errstate(all="ignore"):
                     for m in models:
-                        found = _search_group(box, m, x, n, sy, syy, rounds, steps, tie_digits, top)
+                        found = _search_group(box, m, x, n, sy, syy, rounds, steps, tie_digits, top, asked, most)
                         if found is not None:
                             rows.append((key, list(days), m, *found))
-            yield pd.DataFrame(rows, columns=["g", "pts", "model", "a", "b", "c", "d", "after", "before"])
+            yield pd.DataFrame(rows, columns=["g", "pts", "model", "a", "b", "c", "d", "after", "before", "proven"])
 
-    kinds = ", ".join(f"{k} double" for k in ("a", "b", "c", "d", "after", "before"))
+    kinds = ", ".join(f"{k} double" for k in ("a", "b", "c", "d", "after", "before", "proven"))
     schema = StructType([groups.schema["g"], groups.schema["pts"]])
     for field in StructType.fromDDL(f"model string, {kinds}"):
         schema = schema.add(field)
-    return _summary(groups.mapInPandas(search, schema), keys, box, tolerance, perfect)
+    return _summary(groups.mapInPandas(search, schema), keys, box, tolerance, perfect, prove)
 
 
-def _summary(fits: DataFrame, keys: list[str], box: Box, tolerance: float, perfect: float) -> DataFrame:
+def _summary(fits: DataFrame, keys: list[str], box: Box, tolerance: float, perfect: float, prove: bool) -> DataFrame:
     """Direct residuals of the chosen curves (the summed form cancels near perfect fits), then AIC."""
 
     def squares(p: Column) -> Column:
@@ -175,10 +224,13 @@ def _summary(fits: DataFrame, keys: list[str], box: Box, tolerance: float, perfe
     rss = F.when(F.col("raw") > perfect * F.col("syy"), F.col("raw")).when(F.col("raw").isNotNull(), F.lit(0.0))
     settled = (F.col("rss") == 0) | ((F.col("before") - F.col("after")) <= tolerance * F.col("after"))
     base = F.lit(None).cast("double") if box.d is None else F.col("d")
+    missing = F.col("after") - F.col("proven")
+    surely = missing <= F.greatest(tolerance * F.col("after"), 4 * ROUNDING * F.col("syy"))
+    gap = [F.when(surely, 0.0).otherwise(missing).alias("gap")] if prove else []
     return (
         fits.withColumn("raw", direct).withColumn("rss", rss)
         .select(*[F.col("g")[k].alias(k) for k in keys], "model", "a", "b", "c", base.alias("d"),
                 F.col("n").cast("long").alias("n"), F.lit(box.parameters).alias("k"), "rss",
                 curves.least_squares_aic(F.col("n"), F.col("rss"), box.parameters).alias("aic"),
-                F.coalesce(settled, F.lit(False)).alias("converged"))
+                F.coalesce(settled, F.lit(False)).alias("converged"), *gap)
     )

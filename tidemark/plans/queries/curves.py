@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.curves import GOMPERTZ, LOGISTIC
 from tidemark.operators import models, predict
-from tidemark.operators.fit import Box, fit_curves
+from tidemark.operators.fit import Box, fit_curves, fit_lattice
 from tidemark.operators.joins import join_keys
 from tidemark.operators.rows import append
 from tidemark.plans.queries import base
-from tidemark.plans.queries.fit_sql import KEYS, curve_value, fits_sql
+from tidemark.plans.queries.fit_sql import KEYS, curve_value, fits_sql, lattice_sql
 from tidemark.plans.queries.registry import query
 from tidemark.session import cut_lineage
 from tidemark.sources import tables
@@ -22,8 +22,15 @@ MASS_BOX = Box(a=(0, 86), b=(0, 0.2), c=(0, 365), d=(0, 69))
 # shares are small, so their residual sums are told apart further down
 SHARE_TIES = 12
 
+#: Slopes and midpoints of the lattice fits.
+LATTICE = (51, 37)
+
 SHARE_FITS = base.CURVES + ", " + fits_sql("curves", "DOY", "share", SHARE_BOX, tie_digits=SHARE_TIES)
 MASS_FITS = base.CURVES + ", " + fits_sql("curves", "DOY", "mass", MASS_BOX)
+SHARE_LATTICE = base.CURVES + ", " + lattice_sql("curves", "DOY", "share", SHARE_BOX, *LATTICE, tie_digits=SHARE_TIES)
+MASS_LATTICE = base.CURVES + ", " + lattice_sql("curves", "DOY", "mass", MASS_BOX, *LATTICE)
+_ON_LATTICE = """class_age, site, campaign, model, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(d, 6) AS d,
+       round(rss, 6) AS rss"""
 _ROUNDED = """class_age, site, campaign, model, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(d, 6) AS d, n, k,
        round(rss, 6) AS rss, round(aic, 4) AS aic"""
 
@@ -67,12 +74,45 @@ def fit_gompertz4(spark, folder):
 @query(f"""
 WITH {SHARE_FITS}
 SELECT class_age, model, count(*) AS n, count(CASE WHEN NOT converged THEN 1 END) AS unsettled,
-       count(CASE WHEN aic IS NULL THEN 1 END) AS no_aic, round(max(rss), 6) AS worst_rss
+       count(CASE WHEN aic IS NULL THEN 1 END) AS no_aic, round(max(rss), 6) AS worst_rss, 0 AS with_gap
 FROM fits GROUP BY ALL""")
 def fit_quality(spark, folder):
-    return _share_fits(spark, folder).groupBy("class_age", "model").agg(
+    """SQL knows no bounds: it states that every fit is proven."""
+    fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "share", SHARE_BOX, tie_digits=SHARE_TIES, prove=True)
+    return fits.groupBy("class_age", "model").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~F.col("converged")).alias("unsettled"),
-        F.count_if(F.col("aic").isNull()).alias("no_aic"), F.round(F.max("rss"), 6).alias("worst_rss"))
+        F.count_if(F.col("aic").isNull()).alias("no_aic"), F.round(F.max("rss"), 6).alias("worst_rss"),
+        F.count_if(F.col("gap") > 0).alias("with_gap"))
+
+
+def _on_lattice(spark, folder, value, box, ties):
+    fits = fit_lattice(tables.order_curves(spark, folder), GROUP, "DOY", value, box, *LATTICE, tie_digits=ties)
+    return fits.select(*GROUP, "model", *[F.round(c, 6).alias(c) for c in ("a", "b", "c", "d", "rss")])
+
+
+@query(f"WITH {SHARE_LATTICE} SELECT {_ON_LATTICE} FROM lattice")
+def fit_lattice3(spark, folder):
+    """Branch and bound against all points."""
+    return _on_lattice(spark, folder, "share", SHARE_BOX, SHARE_TIES)
+
+
+@query(f"WITH {MASS_LATTICE} SELECT {_ON_LATTICE} FROM lattice")
+def fit_lattice4(spark, folder):
+    return _on_lattice(spark, folder, "mass", MASS_BOX, 9)
+
+
+@query(f"""
+WITH {MASS_LATTICE}
+SELECT class_age, model, count(*) AS n, 0 AS with_gap, 0 AS above_lattice FROM lattice GROUP BY ALL""")
+def fit_gaps(spark, folder):
+    """Proven fits of four parameters: none has a gap, and none lies above the best lattice point."""
+    observed = tables.order_curves(spark, folder)
+    fits = fit_curves(observed, GROUP, "DOY", "mass", MASS_BOX, prove=True).select(*GROUP, "model", "rss", "gap")
+    points = fit_lattice(observed, GROUP, "DOY", "mass", MASS_BOX, *LATTICE).select(*GROUP, "model", F.col("rss").alias("point"))
+    both = join_keys(fits, points, [*GROUP, "model"])
+    above = F.col("rss") > F.col("point") * (1 + 1e-3) + 1e-6  # the tolerance of the proof
+    return both.groupBy("class_age", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("gap") > 0).alias("with_gap"), F.count_if(above).alias("above_lattice"))
 
 
 @query(f"""

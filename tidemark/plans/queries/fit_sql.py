@@ -104,3 +104,24 @@ def fits_sql(source: str, x: str, y: str, box: Box, name: str = "fits", models=(
          r.n * ((ln(2 * pi()) + 1) - ln(r.n) + ln(nullif(r.rss, 0))) + {2 * (box.parameters + 1)} AS aic,
          coalesce(r.rss = 0 OR (b1.before - b1.rss) <= 1e-3 * b1.rss, false) AS converged
   FROM {p}_rss r JOIN {p}_chosen b1 USING ({KEYS}, model))"""
+
+
+def lattice_sql(source: str, x: str, y: str, box: Box, slopes: int, midpoints: int, models=("Logistic", "Gompertz"),
+                tie_digits: int = TIE_DIGITS, name: str = "lattice") -> str:
+    """The best of all points of an evenly spread lattice, every one of them computed."""
+    p = name
+    return f"""{p}_pts AS (
+  SELECT {KEYS}, {x}::DOUBLE AS x, count(*)::DOUBLE AS n, sum({y}) AS sy, sum({y} * {y}) AS syy
+  FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY ALL),
+{p}_models(model) AS (VALUES {', '.join(f"('{m}')" for m in models)}),
+{p}_grid AS (
+  SELECT i AS s, {box.b[0]}::DOUBLE + ({box.b[1]}::DOUBLE - {box.b[0]}) * (i // {midpoints})::DOUBLE / {slopes - 1} AS b,
+         {box.c[0]}::DOUBLE + ({box.c[1]}::DOUBLE - {box.c[0]}) * (i % {midpoints})::DOUBLE / {midpoints - 1} AS c
+  FROM range({slopes * midpoints}) r(i)),
+{p}_sums AS (
+  SELECT {KEYS}, model, s, b, c, sum(n) AS n, sum(n * f) AS sf, sum(n * f * f) AS sff, sum(sy) AS sy, sum(f * sy) AS sfy,
+         sum(syy) AS syy
+  FROM (SELECT *, {_value('b', 'c', 'x')} AS f FROM {p}_pts, {p}_models, {p}_grid) GROUP BY {KEYS}, model, s, b, c),
+{name} AS (
+  SELECT {KEYS}, model, a, b, c, {'NULL::DOUBLE' if box.d is None else 'd'} AS d, rss FROM ({_asymptotes(box, p + '_sums')})
+  QUALIFY row_number() OVER (PARTITION BY {KEYS}, model ORDER BY round(rss, {tie_digits}), b, c) = 1)"""
