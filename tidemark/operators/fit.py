@@ -31,7 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 ROUNDS, STEPS, VALLEYS, TIE_DIGITS = 5, 25, 3, 9
-MOST_CELLS = 200_000
+MOST_CELLS = 60_000
 
 
 @dataclass(frozen=True)
