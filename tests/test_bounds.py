@@ -104,7 +104,7 @@ def test_noise_without_growth_is_bounded_not_proven(spark):
     noise = [(x, random.Random(x).random()) for x in range(65, 338, 21)]
     rows = fit_curves(frame(spark, {"noise": noise}), ["g"], "x", "y", FOUR, prove=True, most=5_000).collect()
     spread = sum((y - sum(v for _, v in noise) / len(noise)) ** 2 for _, y in noise)
-    assert all(0 <= r.gap <= r.rss <= spread + 1e-9 for r in rows) and any(r.gap > 0 for r in rows)
+    assert all(0 <= r.gap <= r.rss + 1e-9 and r.rss <= spread + 1e-9 for r in rows) and any(r.gap > 0 for r in rows)
 
 
 def test_flat_perfect_and_short_series_are_proven(spark):
