@@ -125,12 +125,12 @@ def test_lattice_fits_equal_brute_force(box, model):
     for steps in ((101, 74), (17, 5), (2, 2), (40, 33)):
         for _ in range(4):
             days = series(rng, int(rng.integers(1, 14)))
-            found, seen = best_on_lattice(box, model, days, steps, 9, _asymptotes)
+            found, seen = best_on_lattice(box, model, days, steps, 6, _asymptotes)
             b, c = np.repeat(0.2 * np.arange(steps[0]) / (steps[0] - 1), steps[1]), np.tile(365 * np.arange(steps[1]) / (steps[1] - 1), steps[0])
             f = derivatives(model, b[:, None] * (days[0][None, :] - c[:, None]))[0]
             x, n, sy, syy = days
             rss, a, d = _asymptotes(box, n.sum(), f @ n, (f * f) @ n, sy.sum(), f @ sy, syy.sum())
-            i = np.lexsort((c, b, np.round(np.where(np.isnan(rss), np.inf, rss), 9)))[0]
+            i = np.lexsort((c, b, np.round(np.where(np.isnan(rss), np.inf, rss), 6)))[0]
             assert found == pytest.approx((a[i], b[i], c[i], d[i], rss[i]), rel=1e-9, abs=1e-9)
             if steps[0] > 100 and len(x) > 8:
                 seen_all.append(seen)

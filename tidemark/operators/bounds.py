@@ -145,7 +145,8 @@ def lower_bounds(box, model: str, days: tuple, cells: tuple, best: float, asympt
         length, data = np.sqrt(np.maximum((f * f) @ n - (f @ n) ** 2 / total, 0)) - w, np.sqrt(between)
     most = np.where(length > 0, (data + np.sqrt(best)) / np.where(length > 0, length, 1), np.inf)
     reach = np.clip(most, box.a[0], box.a[1])
-    plain = np.maximum(np.sqrt(np.maximum(rss - spread, 0)) - reach * w, 0)
+    # a central curve that is 0 on all days has no best asymptote and tells nothing
+    plain = np.maximum(np.sqrt(np.maximum(np.where(np.isfinite(rss), rss, spread) - spread, 0)) - reach * w, 0)
     step = np.maximum(np.abs(near), np.abs(far)) * hb + b1[:, None] * hc
     s = np.sqrt(np.square(0.5 * bend * step * step + steepest * hb * hc) @ n)
     vectors = {"p": slope * t * hb, "q": -slope * b[:, None] * hc, "f": f, "1": np.ones_like(f)}
@@ -178,7 +179,7 @@ def prove(box, model: str, days: tuple, best: tuple, tolerance: float, most: int
     size = float(days[3].sum())
     margin = lambda rss: max(tolerance * rss, 2 * ROUNDING * size)
     cells = _cells(np.linspace(*box.b, start + 1), np.linspace(*box.c, start + 1))
-    bounded, proven = 0, best[4]
+    bounded, proven, low = 0, best[4], np.zeros(1)
     while len(cells[0]):
         if bounded + len(cells[0]) > most:
             return best, min(proven, float(low.min()))
