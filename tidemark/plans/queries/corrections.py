@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import ledger, seeding
+from tidemark.operators import ledger, rule_tables, seeding
 from tidemark.operators.ledger import Rule, SeedFill, ZeroFill
 from tidemark.operators.seeding import Seed
 from tidemark.plans.queries import base
@@ -152,3 +152,55 @@ def ledger_conflicts(spark, folder):
              Rule("delete", campaign_before=1998, below=20.0)]
     found = ledger.rule_conflicts(tables.shipments(spark, folder), rules, AT)
     return found.withColumn("value", F.round("value", 4)).withColumn("rules", F.array_join(F.col("rules").cast("array<string>"), ",")).drop("campaign")
+
+
+def _rule_rows(spark, folder):
+    """Four kinds of rules for the suppliers, in three stages."""
+    s = F.col("s_suppkey")
+    none = lambda kind: F.lit(None).cast(kind)
+    years = lambda *values: F.array(*[F.lit(v).cast("string") if isinstance(v, int) else v.cast("string") for v in values])
+    bags = lambda *values: F.array(*[F.lit(str(v)) for v in values])
+    edit = lambda **values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair]).cast("map<string,string>")
+
+    def rule(stage, rest, action, **given):
+        kinds = {"batch": "array<string>", "param": "string", "bag_op": "string", "bags": "array<string>", "on": "array<date>",
+                 "after": "date", "campaign_before": "int", "sets": "array<map<string,string>>"}
+        return suppliers.filter(s % 4 == rest).select(
+            (s + 100_000 * stage).cast("int").alias("seq"), F.lit(stage).alias("stage"), F.lit(action).alias("action"),
+            F.array(s.cast("string")).alias("site"), *[given.get(k, none(t)).cast(t).alias(k) for k, t in kinds.items()])
+
+    suppliers = tables.load(spark, folder, "supplier")
+    parts = [
+        rule(1, 0, "delete", batch=years(1995 + s % 6), bag_op=F.lit(ledger.IN), bags=bags(1, 2)),
+        rule(1, 1, "delete", param=F.lit("mass"), after=F.lit("1999-06-01")),
+        rule(1, 2, "delete", batch=years(1996, 1997), bag_op=F.lit(ledger.NOT_IN_OR_UNNAMED), bags=bags(1, 2, 3)),
+        rule(2, 3, "copy", param=F.lit("dead"), on=F.array(F.lit("1996-03-01"), F.lit("1997-03-01")),
+             sets=F.array(edit(id_ind="8", value="0"), edit(id_ind=None, code_param="alive"))),
+        rule(2, 0, "replace", batch=years(1998), param=F.lit("alive"), bag_op=F.lit(ledger.IN), bags=bags(3),
+             sets=F.array(edit(id_ind="9"))),
+        rule(3, 1, "delete", param=F.lit("mass"), campaign_before=F.lit(1997)),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(f"""
+WITH {base.OBS},
+s1 AS (
+  SELECT * FROM obs
+  WHERE NOT coalesce(site % 4 = 0 AND batch = 1995 + site % 6 AND id_ind IN (1, 2), false)
+    AND NOT (site % 4 = 1 AND code_param = 'mass' AND date > DATE '1999-06-01')
+    AND NOT (site % 4 = 2 AND batch IN (1996, 1997) AND (id_ind IS NULL OR id_ind NOT IN (1, 2, 3)))),
+hit AS (SELECT * FROM s1 WHERE site % 4 = 3 AND code_param = 'dead' AND date IN (DATE '1996-03-01', DATE '1997-03-01')),
+s2 AS (
+  SELECT * REPLACE (CASE WHEN site % 4 = 0 AND batch = 1998 AND code_param = 'alive' AND id_ind = 3 THEN 9 ELSE id_ind END AS id_ind)
+  FROM s1
+  UNION ALL SELECT batch, site, campaign, date, 8, code_param, 0 FROM hit
+  UNION ALL SELECT batch, site, campaign, date, NULL, 'alive', value FROM hit)
+SELECT * REPLACE (round(value, 4) AS value) FROM s2 WHERE NOT (site % 4 = 1 AND code_param = 'mass' AND campaign < 1997)""")
+def ledger_from_table(spark, folder):
+    """As many rules as the suppliers give, matched by hash."""
+    out = rule_tables.apply_table(tables.shipments(spark, folder), _rule_rows(spark, folder), AT)
+    return out.withColumn("value", F.round("value", 4))
