@@ -115,9 +115,38 @@ def test_pivot_and_back(spark):
     wide = reshape.pivot_values(unique, ["g"], "p", "v", ["p", "q"])
     back = reshape.unpivot_measures(wide, ["g"], ["p", "q"], "p", "v").filter("v IS NOT NULL")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, unique.collect()))
-    nested = reshape.nest_days(df, ["g"], "p", "v")
-    assert sorted(map(tuple, reshape.unnest_days(nested, ["g"]).collect())) == [
-        ("a", "p", 1, 1.0), ("a", "q", 1, 2.0), ("b", "q", 2, 7.0)]
+    nested = reshape.nest_days(df, ["g"], "p", ["v"])
+    assert sorted(map(tuple, reshape.unnest_days(nested, ["g"]).collect())) == sorted(data)
+
+
+def test_other_parameters_are_counted(spark):
+    df = spark.createDataFrame([("a", "p"), ("a", "new"), ("a", None), ("b", "q"), ("b", "q")], "g string, p string")
+    assert reshape.frequent_values(df, "p", 2) == ["new", "q"]
+    got = {r.g: (r.q, r.other) for r in reshape.pivot_counts(df, ["g"], "p", ["q"], "other").collect()}
+    assert got == {"a": (None, 3), "b": (2, None)}
+
+
+def test_nested_series_are_bounded_and_lossless(spark):
+    hot = [("hot", 5, float(i % 7), "x") for i in range(500)] + [("hot", d, 1.0, None) for d in range(40)]
+    few = [(None, None, 2.0, "y")] * 3 + [("g", d, 0.5, "z") for d in (3, 1, 1, 2)]
+    df = spark.createDataFrame(hot + few, "g string, day int, v double, t string").repartition(6)
+    for most in (40, 7, 1, 10_000):
+        nested = reshape.nest_days(df, ["g"], "day", ["v", "t"], most).cache()
+        sizes = nested.select(F.size("series")).collect()
+        assert max(r[0] for r in sizes) <= max(most, 1)
+        assert Counter(map(tuple, reshape.unnest_days(nested, ["g"]).collect())) == Counter(hot + few)
+        days = [[p.day for p in r.series] for r in nested.filter("g = 'g'").orderBy("chunk").collect()]
+        assert [d for part in days for d in part] == [1, 1, 2, 3]
+    assert reshape.nest_days(df, ["g"], "day", ["v"], 10_000).filter("g = 'hot'").count() == 1
+    assert reshape.nest_days(df.limit(0), ["g"], "day", ["v"]).count() == 0
+
+
+def test_crowded_cells_come_with_the_pivot(spark):
+    df = spark.createDataFrame([("a", "p", 1.0), ("a", "p", 5.0), ("a", "q", 2.0), ("b", "q", None), ("b", "q", 3.0), ("c", "x", 1.0)],
+                               "g string, p string, v double")
+    wide = reshape.pivot_cells(df, ["g"], "p", "v", ["p", "q"])
+    assert {(r.g, r.p, r.q) for r in wide.collect()} == {("a", 5.0, 2.0), ("b", None, 3.0), ("c", None, None)}
+    assert sorted(map(tuple, reshape.set_aside(wide, ["g"]).collect())) == [("a", "p", 2, 1.0, 5.0), ("b", "q", 2, 3.0, 3.0)]
 
 
 def test_row_generation(spark):

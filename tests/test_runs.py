@@ -113,6 +113,44 @@ def test_clean_table(spark, inputs):
     assert [r.mean_mass for r in old] == [4, 7, 10, 13] and all(r.mean_CM is None for r in old)
 
 
+def test_crowded_cells_are_set_aside_by_the_run(spark, inputs, tmp_path):
+    raw, codes, sites = inputs
+    twice = raw.filter("code_param = 'INDVMORNB' AND date = '15/05/2016' AND site = 'Brest' AND id_ind = '1'")
+    assert twice.count() == 1 or twice.distinct().count() == 1
+    crowded = raw.unionByName(twice.limit(1).withColumn("value", F.lit("4").cast(raw.schema["value"].dataType)))
+    path = str(tmp_path / "quarantine")
+    table = cleaning.clean_table(crowded, codes, sites, quarantine_path=path)
+    assert table.exceptAll(cleaning.clean_table(raw, codes, sites)).count() == 0  # the larger value counts
+    (cell,) = spark.read.parquet(path).collect()
+    assert (cell.batch, cell.id_ind, str(cell.date), cell.param, cell.n, cell.least, cell.most) == (
+        "2016_N0_HATCH_2n_E4", "1", "2016-05-15", "INDVMORNB", 2, 4.0, 10.0)
+    cleaning.clean_table(raw, codes, sites, quarantine_path=path)
+    assert spark.read.parquet(path).count() == 0
+
+
+def test_published_order(spark, tmp_path):
+    df = spark.range(3000).selectExpr("id * 7919 % 3001 AS k", "if(id % 5 = 0, null, id) AS v").repartition(7)
+    sinks.write_csv(df, str(tmp_path / "sorted"), order=["k"])
+    back = sinks.in_published_order(df, str(tmp_path / "sorted"), ["k"])
+    assert back.columns == ["k", "v", "in_order"] and back.filter("in_order").count() == 3000
+    assert back.drop("in_order").exceptAll(df).count() == 0
+    sinks.write_csv(df, str(tmp_path / "unsorted"))
+    assert sinks.in_published_order(df, str(tmp_path / "unsorted"), ["k"]).filter("NOT in_order").count() > 100
+    sinks.write_csv(df.limit(0), str(tmp_path / "empty"), order=["k"])
+    assert sinks.in_published_order(df, str(tmp_path / "empty"), ["k"]).count() == 0
+
+
+def test_tables_are_sorted_within_their_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+    df = spark.range(500).selectExpr("int(id % 3) AS campaign", "id * 7919 % 503 AS k")
+    sinks.write_table(df, str(tmp_path / "t"), ["campaign"], ["k"])
+    files = list((tmp_path / "t").glob("campaign=*/*.parquet"))
+    assert files and spark.read.parquet(str(tmp_path / "t")).count() == 500
+    for file in files:
+        keys = pq.ParquetFile(file).read(["k"])["k"].to_pylist()
+        assert keys == sorted(keys)
+
+
 def test_csv_sink_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c', None), (2, None, 2.5)], "n int, t string, v double")
     sinks.write_csv(df, str(tmp_path / "out"), ["v", "n", "t"])

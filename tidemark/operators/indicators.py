@@ -43,6 +43,12 @@ def bag_mass(df: DataFrame, bag: list[str], visit: list[str], param: str, value:
     """
     keys = [*visit, *[b for b in bag if b not in visit]]
     wide = pivot_values(df.filter(F.col(param).isin(total, alive)), keys, param, value, [total, alive])
+    return mean_bag_mass(wide, visit, total, alive, name, strict)
+
+
+def mean_bag_mass(wide: DataFrame, visit: list[str], total: str, alive: str, name: str = "bag_mass",
+                  strict: bool = False) -> DataFrame:
+    """``bag_mass`` from one row per bag and day."""
     known = wide.filter(F.col(total).isNotNull() & F.col(alive).isNotNull())
     return known.groupBy(*visit).agg(mean(ratio(F.col(total), F.col(alive)), strict).alias(name))
 
@@ -61,20 +67,41 @@ def splice(individual: DataFrame, bags: DataFrame, visit: list[str], first: str,
     return both.select(*visit, F.coalesce(F.col(first), F.col(second)).alias(name))
 
 
-def rate_and_mass(visits: DataFrame, bag: list[str], visit: list[str], date: str, dead: str, alive: str, total: str,
-                  weighed: Column, rate: str = "mean_CM", mass: str = "bag_mass", count: str = "n_weighed") -> DataFrame:
-    """Mean cumulative rate and mean bag mass per visit, from one read of a table with one row per bag and day.
+def visit_masses(total: str, alive: str, weighed: Column, singles: str, n_singles: str, mass: str = "bag_mass",
+                 count: str = "n_weighed", single: str = "individual_mass") -> list[Column]:
+    """Aggregates over rows of one bag and day each: mean bag mass, its number of bags, mean of the single individuals.
 
-    ``alive`` is NULL where it was not counted; a missing count is 0 for the rate and leaves the bag out of the mass, as do
-    rows that are not ``weighed``. ``count`` says how many bags the mass rests on (those without a survivor included).
+    Bags without a survivor count but have no mass. ``singles`` and ``n_singles`` are a bag's sum and number of individuals.
     """
     known = weighed & F.col(total).isNotNull() & F.col(alive).isNotNull()
-    ready = visits.withColumns({
-        "__mass": F.when(known, ratio(F.col(total), F.col(alive))), "__known": is_true(known),
-        dead: F.coalesce(dead, F.lit(0.0)), alive: F.coalesce(alive, F.lit(0.0))})
-    rates = cumulative_rate(ready, bag, date, dead, alive, "__mi", "__mc")
-    return rates.groupBy(*visit).agg(
-        F.avg("__mc").alias(rate), F.avg("__mass").alias(mass), F.count_if("__known").alias(count))
+    return [F.avg(F.when(known, ratio(F.col(total), F.col(alive)))).alias(mass), F.count_if(is_true(known)).alias(count),
+            ratio(F.sum(singles), F.sum(n_singles)).alias(single)]
+
+
+def spliced_mass(visits: DataFrame, group: list[str], date: str, first_day_only: Column, mass: str = "bag_mass",
+                 count: str = "n_weighed", single: str = "individual_mass", name: str = "mean_mass") -> DataFrame:
+    """The mass of each visit: single individuals where they count, else the bags; NULL where there is neither.
+
+    ``visits`` has one row per visit, so the window holds a group's calendar at most. Where ``first_day_only`` holds, single
+    individuals count on the first day the group has any. ``has_mass`` tells which visits were weighed at all.
+    """
+    first = F.min(F.when(F.col(single).isNotNull(), F.col(date))).over(Window.partitionBy(*group))
+    late = is_true(first_day_only & (F.col(date) > first))
+    counts = F.col(single).isNotNull() & ~late
+    return visits.withColumns({
+        name: F.coalesce(F.when(counts, F.col(single)), F.col(mass)), "has_mass": counts | is_true(F.col(count) > 0)}).drop(
+        mass, count, single)
+
+
+def rate_and_mass(visits: DataFrame, bag: list[str], visit: list[str], date: str, dead: str, alive: str,
+                  masses: list[Column], rate: str = "mean_CM") -> DataFrame:
+    """Mean cumulative rate and the ``masses`` (see ``visit_masses``) of each visit, from one row per bag and day.
+
+    ``alive`` is NULL where it was not counted: 0 for the rate, and the bag is left out of the mass.
+    """
+    counted = visits.withColumns({"__dead": F.coalesce(dead, F.lit(0.0)), "__alive": F.coalesce(alive, F.lit(0.0))})
+    rates = cumulative_rate(counted, bag, date, "__dead", "__alive", "__mi", "__mc")
+    return rates.groupBy(*visit).agg(F.avg("__mc").alias(rate), *masses)
 
 
 def assemble(rates: DataFrame, masses: DataFrame, sites: DataFrame, visit: list[str], site: str, date: str,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.derive import day_offset
-from tidemark.functions.nulls import distinct_count_with_null, ratio
+from tidemark.functions.nulls import distinct_count_with_null, is_true, ratio
 from tidemark.operators.joins import join_keys
 from tidemark.operators.reshape import pivot_counts, pivot_values
 
@@ -70,14 +70,12 @@ def visit_screen(df: DataFrame, keys: list[str], date: str, above: int = 0, belo
     return seen
 
 
-def compare_measures(df: DataFrame, bag: list[str], keys: list[str], param: str, value: str, alive: str, total: str,
-                     single: str) -> DataFrame:
-    """Mean mass per visit from the bag totals and from single individuals, stacked."""
-    bags = pivot_values(df, [*keys, *bag], param, value, [alive, total]).filter(
-        F.col(alive).isNotNull() & F.col(total).isNotNull())
-    from_bags = bags.groupBy(*keys).agg(F.avg(ratio(F.col(total), F.col(alive))).alias("mean_mass"))
-    singles = df.filter(F.col(param) == single).groupBy(*keys).agg(F.avg(value).alias("mean_mass"))
-    return from_bags.withColumn("measure", F.lit("bag")).unionByName(singles.withColumn("measure", F.lit("individual")))
+def stack_measures(df: DataFrame, keys: list[str], measures: dict[str, tuple], value: str = "mean_mass",
+                   name: str = "measure") -> DataFrame:
+    """One row per key and measure, of the measures (a value and a test) whose test holds."""
+    rows = [F.when(is_true(test), F.struct(column.alias(value), F.lit(label).alias(name)))
+            for label, (column, test) in measures.items()]
+    return df.select(*keys, F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
 
 
 def unmatched_codes(df: DataFrame, lookup: DataFrame, column: str) -> DataFrame:

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.derive import span
+from tidemark.functions.nulls import delete_where
 from tidemark.operators import indicators as ind
 from tidemark.operators.ledger import apply_ledger
-from tidemark.operators.reshape import crowded_cells
+from tidemark.operators.reshape import pivot_cells, set_aside
 from tidemark.operators.seeding import Layout
 from tidemark.operators.selection import gate_days
 from tidemark.plans.corrections import SINGLE, count_corrections, empty_visits, mass_corrections
+from tidemark.session import cut_lineage
 from tidemark.sources.observations import in_scope, typed, with_keys
 from tidemark.sources.sinks import fixed_digits
 
@@ -37,25 +39,30 @@ def corrected_bags(bags: DataFrame, cut: bool = True) -> DataFrame:
     return apply_ledger(bags, count_corrections() + mass_corrections(), AT, cut=cut)
 
 
-def crowded_visits(bags: DataFrame) -> DataFrame:
+def visits(bags: DataFrame) -> DataFrame:
+    """One row per bag and day with its counts and mass, the largest value of each, and the cells that held several."""
+    return pivot_cells(bags, [*AT.bag_keys, AT.date], AT.param, AT.value, [AT.dead, AT.alive, AT.total])
+
+
+def quarantine(wide: DataFrame) -> DataFrame:
     """Cells of bag, day and parameter with several values, of which the run takes the largest."""
-    return crowded_cells(bags, [*AT.bag_keys, AT.date], AT.param)
+    return set_aside(wide, [*AT.bag_keys, AT.date])
 
 
-def mortality(bags: DataFrame, strict: bool = False) -> DataFrame:
+def mortality(wide: DataFrame, strict: bool = False) -> DataFrame:
     """Mean cumulative mortality per visit, of the groups followed long enough."""
-    counted = ind.count_visits(apply_ledger(bags, empty_visits(), AT), AT.bag_keys, AT.date, AT.param, AT.value,
-                               AT.dead, AT.alive)
-    rates = ind.cumulative_rate(counted, AT.bag_keys, AT.date, AT.dead, AT.alive)
+    kept = wide.filter(F.col(AT.dead).isNotNull() & F.col(AT.alive).isNotNull())
+    for rule in empty_visits():
+        kept = delete_where(kept, rule.matches(AT))
+    rates = ind.cumulative_rate(kept, AT.bag_keys, AT.date, AT.dead, AT.alive)
     means = ind.mean_per_visit(rates, VISIT, "mc", "mean_CM", strict)
     return gate_days(means, list(AT.group), MIN_VISITS, END_MONTH)
 
 
-def mass(bags: DataFrame, scoped: DataFrame, strict: bool = False) -> DataFrame:
+def mass(wide: DataFrame, scoped: DataFrame, strict: bool = False) -> DataFrame:
     """Mean mass per visit: single individuals first, bags where no individual was weighed."""
     recent = F.substring("batch", 1, 4).try_cast("int") > 2008
-    from_bags = ind.bag_mass(bags.filter(recent), AT.bag_keys, VISIT, AT.param, AT.value, AT.total, AT.alive,
-                             strict=strict)
+    from_bags = ind.mean_bag_mass(wide.filter(recent), VISIT, AT.total, AT.alive, strict=strict)
     singles = ind.individual_mass(
         scoped, VISIT, AT.date, AT.value,
         (F.col("code_param") == SINGLE) & (F.col("fraction") == WHOLE) & (F.col("method") == SIMPLE_WEIGHING), recent)
@@ -63,13 +70,20 @@ def mass(bags: DataFrame, scoped: DataFrame, strict: bool = False) -> DataFrame:
     return gate_days(joined, list(AT.group), MIN_VISITS, END_MONTH)
 
 
-def clean_table(raw: DataFrame, site_codes: DataFrame, sites: DataFrame, cut: bool = True,
-                strict: bool = False) -> DataFrame:
-    """The published table of both indicators; ``strict`` means as in ``nulls.mean``."""
+def clean_table(raw: DataFrame, site_codes: DataFrame, sites: DataFrame, cut: bool = True, strict: bool = False,
+                quarantine_path: str | None = None) -> DataFrame:
+    """The published table of both indicators; ``strict`` means as in ``nulls.mean``.
+
+    Crowded cells are written to ``quarantine_path`` as Parquet, from the aggregate the table is made of.
+    """
     scoped = observations(raw, site_codes)
-    bags = corrected_bags(bag_observations(scoped), cut=cut)
+    wide = visits(corrected_bags(bag_observations(scoped), cut=cut))
+    if cut:
+        wide = cut_lineage(wide)  # a few columns per bag and day, read by both indicators and the quarantine
+    if quarantine_path:
+        quarantine(wide).write.mode("overwrite").parquet(quarantine_path)
     campaign = F.substring("batch", 1, 4).try_cast("int")
     table = ind.assemble(
-        mortality(bags, strict), mass(bags, scoped, strict), sites.drop("zone_fr"), VISIT, "site", "date", campaign,
+        mortality(wide, strict), mass(wide, scoped, strict), sites.drop("zone_fr"), VISIT, "site", "date", campaign,
         {"class_age": span(F.col("batch"), 6, 7), "campaign": campaign})
     return fixed_digits(table, {"mean_CM": 3, "mean_mass": 2}).select(*CLEAN_COLUMNS)

@@ -60,6 +60,16 @@ def csv_roundtrip(spark, folder):
     return sinks.read_back(df, path)
 
 
+@query("""
+SELECT l_orderkey, l_linenumber, l_quantity, true AS in_order FROM lineitem""")
+def csv_sorted(spark, folder):
+    """Published in the order of its keys, as the files show."""
+    df = tables.load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    sinks.write_csv(df, path, order=["l_orderkey", "l_linenumber"])
+    return sinks.in_published_order(df, path, ["l_orderkey", "l_linenumber"])
+
+
 @query("""
 SELECT p_partkey,
   CASE WHEN p_size >= 45 THEN 'ME' WHEN p_type = 'PROMO' THEN 'E2' WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'E1'

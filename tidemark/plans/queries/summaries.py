@@ -124,10 +124,12 @@ def pivot_values(spark, folder):
 @query(f"""
 WITH {base.EVENTS}
 SELECT unit, date, """ + ", ".join(
-    f"nullif(count(CASE WHEN code_param = '{e}' THEN 1 END), 0) AS {e}" for e in tables.EVENT_TYPES) + """
+    f"nullif(count(CASE WHEN code_param = '{e}' THEN 1 END), 0) AS {e}" for e in tables.EVENT_TYPES) + f""",
+       nullif(count(CASE WHEN code_param IS NULL OR code_param NOT IN ({", ".join(f"'{e}'" for e in tables.EVENT_TYPES)}) THEN 1 END), 0)
+         AS other
 FROM ev GROUP BY ALL""")
 def pivot_counts(spark, folder):
-    return reshape.pivot_counts(tables.events(spark, folder), ["unit", "date"], "code_param", tables.EVENT_TYPES)
+    return reshape.pivot_counts(tables.events(spark, folder), ["unit", "date"], "code_param", tables.EVENT_TYPES, "other")
 
 
 @query(f"""
@@ -147,10 +149,22 @@ def unpivot_measures(spark, folder):
 
 @query(f"""
 WITH {base.EVENTS}
-SELECT unit, code_param, date, count(*) AS n, round(sum(value), 4) AS value FROM ev GROUP BY ALL""")
+SELECT unit, code_param, date, value FROM ev""")
 def nest_unnest(spark, folder):
-    nested = reshape.nest_days(tables.events(spark, folder), ["unit", "code_param"], "date", "value")
-    return reshape.unnest_days(nested, ["unit", "code_param"]).withColumn("value", F.round("value", 4))
+    """All rows come back, repeats too."""
+    nested = reshape.nest_days(tables.events(spark, folder), ["unit", "code_param"], "date", ["value"])
+    return reshape.unnest_days(nested, ["unit", "code_param"])
+
+
+@query(f"""
+WITH {base.LINES}
+SELECT batch, site, date, id_ind, 'quantity' AS param, count(*) AS n, min(quantity) AS least, max(quantity) AS most FROM lines
+GROUP BY ALL HAVING count(*) > 1""")
+def pivot_quarantine(spark, folder):
+    """Crowded cells, set aside by the aggregate that pivots."""
+    long = tables.shipment_lines(spark, folder).unpivot([*BAG, "date"], ["quantity"], "param", "value")
+    wide = reshape.pivot_cells(long, [*BAG, "date"], "param", "value", ["quantity"])
+    return reshape.set_aside(wide, [*BAG, "date"])
 
 
 @query(f"""

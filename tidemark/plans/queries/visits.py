@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.nulls import is_true
 from tidemark.operators import indicators as ind
 from tidemark.operators import quality
-from tidemark.operators.joins import join_keys
 from tidemark.operators.selection import gate_days, gate_measures
 from tidemark.plans.queries import base
 from tidemark.plans.queries.registry import query
@@ -36,6 +34,11 @@ def _individual_mass(spark, folder):
     return ind.individual_mass(lines, VISIT, "date", "value", F.col("flag") != "R", F.col("batch") > 1998)
 
 
+def _masses():
+    """Bags weigh from 1999 on."""
+    return ind.visit_masses("mass", "alive", F.col("batch") > 1998, "singles", "n_singles")
+
+
 BAG_MASS = base.VISITS + """, bag_masses AS (
   SELECT batch, site, date, avg(mass / nullif(alive, 0)) AS bag_mass FROM visits
   WHERE batch > 1998 AND mass IS NOT NULL AND alive IS NOT NULL GROUP BY ALL)"""
@@ -154,9 +157,9 @@ def individual_mass(spark, folder):
 @query(f"""
 WITH {SPLICED} SELECT batch, site, date, round(mean_mass, 6) AS mean_mass FROM spliced""")
 def protocol_splice(spark, folder):
-    spliced = ind.splice(_individual_mass(spark, folder), _bag_mass(spark, folder), VISIT, "individual_mass", "bag_mass",
-                         "mean_mass")
-    return spliced.withColumn("mean_mass", F.round("mean_mass", 6))
+    visits = tables.shipment_measures(spark, folder).groupBy(*VISIT).agg(*_masses())
+    spliced = ind.spliced_mass(visits, ["batch", "site"], "date", F.col("batch") > 1998)
+    return spliced.filter("has_mass").select(*VISIT, F.round("mean_mass", 6).alias("mean_mass"))
 
 
 @query(f"""
@@ -169,12 +172,9 @@ SELECT s_suppkey AS site, name, zone, batch AS campaign, date, date_diff('day',
        round(mean_cm, 6) AS mean_cm, round(mean_mass, 2) AS mean_mass
 FROM (SELECT * FROM m FULL JOIN w USING (batch, site, date)) f JOIN supplier ON s_suppkey = f.site JOIN sites n ON n.site = s_nationkey""")
 def final_assembly(spark, folder):
-    bags = ind.rate_and_mass(tables.shipment_visits(spark, folder), BAG, VISIT, "date", "dead", "alive", "mass",
-                             F.col("batch") > 1998, "mean_cm")
-    both = join_keys(bags, _individual_mass(spark, folder), VISIT, "full").withColumn(
-        "mean_mass", F.coalesce("individual_mass", "bag_mass"))
-    rated, weighed = F.col("n_weighed").isNotNull(), F.col("individual_mass").isNotNull() | is_true(F.col("n_weighed") > 0)
-    gated = gate_measures(both, ["batch", "site"], {"mean_cm": rated, "mean_mass": weighed}, 4, 10)
+    visits = ind.rate_and_mass(tables.shipment_measures(spark, folder), BAG, VISIT, "date", "dead", "alive", _masses(), "mean_cm")
+    both = ind.spliced_mass(visits, ["batch", "site"], "date", F.col("batch") > 1998)
+    gated = gate_measures(both, ["batch", "site"], {"mean_cm": F.lit(True), "mean_mass": F.col("has_mass")}, 4, 10)
     suppliers = tables.load(spark, folder, "supplier").join(
         tables.nations(spark, folder).withColumnRenamed("site", "s_nationkey"), "s_nationkey").select(
         F.col("s_suppkey").alias("site"), "name", "zone")
@@ -190,8 +190,8 @@ WHERE mass IS NOT NULL AND alive IS NOT NULL GROUP BY batch, site, date
 UNION ALL
 SELECT batch, site, date, round(avg(price), 6), 'individual' FROM lines GROUP BY batch, site, date""")
 def measure_compare(spark, folder):
-    singles = tables.shipment_lines(spark, folder).select(
-        *VISIT, "id_ind", F.lit("price").alias("code_param"), F.col("price").alias("value"))
-    both = tables.shipments(spark, folder).drop("campaign").unionByName(singles)
-    out = quality.compare_measures(both, ["id_ind"], VISIT, "code_param", "value", "alive", "mass", "price")
+    masses = ind.visit_masses("mass", "alive", F.lit(True), "mass", "lines")
+    visits = tables.shipment_measures(spark, folder).groupBy(*VISIT).agg(*masses)
+    out = quality.stack_measures(visits, VISIT, {
+        "bag": (F.col("bag_mass"), F.col("n_weighed") > 0), "individual": (F.col("individual_mass"), F.lit(True))})
     return out.withColumn("mean_mass", F.round("mean_mass", 6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,19 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, order: li
 def read_back(df_like: DataFrame, path: str) -> DataFrame:
     """Read a table written by ``write_csv`` under the schema of ``df_like``."""
     return df_like.sparkSession.read.schema(df_like.schema).option("header", True).option("nullValue", "NA").csv(path)
+
+
+def in_published_order(df_like: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """A table of ``write_csv`` read back with ``in_order``: no row sorts before the one above it, nor before an earlier file.
+
+    Rows are compared within their file, files by their first and last rows in the order of their names.
+    """
+    back = df_like.sparkSession.read.schema(df_like.schema).option("header", True).option("nullValue", "NA").csv(path)
+    placed = back.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+                         F.monotonically_increasing_id().alias("__row"), F.struct(*keys).alias("__key"))
+    above = F.lag("__key").over(Window.partitionBy("__file").orderBy("__block", "__row"))
+    files = placed.groupBy("__file").agg(F.min("__key").alias("__first"), F.max("__key").alias("__last"))
+    reach = F.max("__last").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))  # one row per file
+    files = files.select("__file", F.coalesce(reach <= F.col("__first"), F.lit(True)).alias("__follows"))
+    checked = placed.withColumn("__rising", F.coalesce(above <= F.col("__key"), F.lit(True)))
+    return checked.join(files, "__file").select(*df_like.columns, (F.col("__rising") & F.col("__follows")).alias("in_order"))

@@ -45,6 +45,20 @@ def shipment_visits(spark: SparkSession, folder: str) -> DataFrame:
         F.sum("price").alias("mass"))
 
 
+def shipment_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """``shipment_visits`` with what the single masses of a bag and month add up to: all quantities follow from this aggregate.
+
+    ``singles`` and ``n_singles``: sum and number of prices a piece of what was not returned; ``lines``: number of prices.
+    """
+    returned = F.col("flag") == "R"
+    each = F.when(~returned, F.col("price") / F.col("quantity"))
+    return shipment_lines(spark, folder).groupBy("batch", "site", "campaign", "date", "id_ind").agg(
+        F.sum(F.when(returned, F.col("quantity"))).alias("dead"),
+        F.sum(F.when(~returned, F.col("quantity"))).alias("alive"),
+        F.sum("price").alias("mass"), F.count("price").alias("lines"),
+        F.sum(each).alias("singles"), F.count(each).alias("n_singles"))
+
+
 def shipment_counts(spark: SparkSession, folder: str) -> DataFrame:
     """``shipment_visits`` with 0 for a missing count."""
     return shipment_visits(spark, folder).fillna(0.0, ["dead", "alive"])
