@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import predict
-from tidemark.operators.fit import Box, fit_curves
+from tidemark.operators.fit import Box, Spec, fit_curves, fit_series
 
 THREE = Box(a=(0, 70), b=(0, 0.2), c=(0, 365))
 FOUR = Box(a=(0, 86), b=(0, 0.2), c=(0, 365), d=(0, 69))
@@ -125,3 +125,25 @@ def test_predictions(spark):
     assert ratio.ratio == pytest.approx(logistic(30, .04, 190, 25)(337) / logistic(30, .04, 190, 25)(65), rel=1e-3)
     resid = predict.residuals(fits, observed, ["site", "campaign"], "DOY", "y").collect()
     assert len(resid) == len(DAYS) and max(abs(r.resid) for r in resid) < 0.05
+
+
+def test_several_series_are_fitted_in_one_pass(spark):
+    random.seed(8)
+    one, two = ({g: [(x, f(x) + random.gauss(0, .5)) for x in DAYS] for g in ("a", "b")}
+                for f in (logistic(40, .03, 200), gompertz(45, .03, 160, 10)))
+    long = frame(spark, one).withColumn("kind", F.lit("three")).unionByName(
+        frame(spark, two).withColumn("kind", F.lit("four"))).unionByName(frame(spark, one).withColumn("kind", F.lit("unknown")))
+    specs = {"three": Spec(THREE, ("Logistic",)), "four": Spec(FOUR)}
+    fits = fit_series(long, ["site", "campaign"], "kind", "DOY", "y", specs)
+    assert fits._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    got = {(r.site, r.kind, r.model): r for r in fits.collect()}
+    assert set(got) == {(g, k, m) for g in ("a", "b") for k, m in (("three", "Logistic"), ("four", "Logistic"), ("four", "Gompertz"))}
+    for kind, series, box in (("three", one, THREE), ("four", two, FOUR)):
+        for (site, model), r in fit(spark, series, box).items():
+            if (site, kind, model) in got:
+                same = got[site, kind, model]
+                assert (same.a, same.b, same.c, same.d, same.k, same.aic) == (r.a, r.b, r.c, r.d, r.k, r.aic)
+    pairs = predict.side_by_side(fits.filter("model = 'Logistic'"), ["site", "campaign"], "kind", ["three", "four", "none"])
+    for r in pairs.withColumn("v", predict.curve_at("three", F.lit(200))).withColumn("w", predict.curve_at("none", F.lit(1))).collect():
+        p = got[r.site, "three", "Logistic"]
+        assert r.v == pytest.approx(logistic(p.a, p.b, p.c)(200)) and r.w is None and r.none is None

@@ -20,7 +20,7 @@ from tidemark.plans.queries import QUERIES, SQL  # noqa: E402
 
 FITTED = {"fit_logistic3", "fit_gompertz3", "fit_logistic4", "fit_gompertz4", "fit_quality", "predict_grid", "residuals",
           "season_snapshot", "growth_ratio", "indicator_pairs", "combined_predictions", "fit_lattice3", "fit_lattice4",
-          "fit_gaps"}
+          "fit_gaps", "model_share", "aic_histogram", "param_density", "invalid_fit_points", "unsettled_predictions"}
 
 
 # on the smallest tables most groups have fewer points than a curve has parameters, so their parameters are not determined
@@ -74,6 +74,20 @@ def test_indicators_read_the_lines_once_each(spark, small):
         assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 4 + 2 * (name == "final_assembly")  # and the sites' joins
 
 
+def test_two_measures_are_fitted_in_one_pass(spark, small):
+    for name in ("combined_predictions", "indicator_pairs"):
+        plan = plan_of(spark, small, name)
+        assert plan.count("MapInPandas") == 1 and len(re.findall(r"FileScan[^\n]*o_orderdate", plan)) == 1
+
+
+def test_readers_of_fits_share_one_search(spark, small):
+    for name in ("model_share", "aic_histogram", "param_density", "invalid_fit_points", "unsettled_predictions"):
+        df = QUERIES[name](spark, small)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("MapInPandas") <= 1
+
+
 def test_keyed_rules_and_lookups_shuffle_nothing(spark, small):
     lines = spark.read.parquet(f"{small}/lineitem.parquet").selectExpr(
         "cast(l_suppkey AS string) AS batch", "l_linestatus AS site", "l_linestatus AS class_age", "1 AS campaign",

@@ -184,7 +184,7 @@ def test_models_and_predictions(spark, inputs):
                              round(dead, 3) if doy > 70 else None, round(mass, 2)))
     clean = spark.createDataFrame(rows, "num int, site string, name string, zone_en string, lat double, long double, campaign int, "
                                   "class_age string, batch string, date string, DOY int, mean_CM double, mean_mass double")
-    assert modelling.measured(clean, "N0", "mortality").count() == 2 * 13
+    assert modelling.measured(clean).filter("class_age = 'N0' AND measure = 'mortality'").count() == 2 * 13
     fits = cut_lineage(modelling.fit_all(clean, rounds=4))
     assert fits.count() == 2 * 2 * 2 * 2
     picked = {(r.class_age, r.measure): (r.model, r.n, r.percent) for r in modelling.selection_table(fits).collect()}

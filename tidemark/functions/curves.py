@@ -35,7 +35,7 @@ def curve(model: Column, a: Column, b: Column, c: Column, x: Column, d: Column |
     return y if d is None else F.coalesce(d, F.lit(0.0)) + y
 
 
-def least_squares_aic(n: Column, rss: Column, parameters: int) -> Column:
+def least_squares_aic(n: Column, rss: Column, parameters: int | Column) -> Column:
     """AIC under Gaussian errors, the error variance counted as a parameter; NULL when RSS is 0."""
     known = F.when(rss > 0, rss)
-    return n * (F.lit(math.log(2 * math.pi) + 1) - F.ln(n) + F.ln(known)) + F.lit(2.0 * (parameters + 1))
+    return n * (F.lit(math.log(2 * math.pi) + 1) - F.ln(n) + F.ln(known)) + F.lit(2.0) * (parameters + 1)

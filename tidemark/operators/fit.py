@@ -48,6 +48,15 @@ class Box:
         return 3 if self.d is None else 4
 
 
+@dataclass(frozen=True)
+class Spec:
+    """What to fit to one kind of series: the box, the models, and the digits that tell residual sums apart."""
+
+    box: Box
+    models: tuple[str, ...] = curves.MODELS
+    tie_digits: int = TIE_DIGITS
+
+
 def _asymptotes(box: Box, n, sf, sff, sy, sfy, syy):
     """Best ``rss, a, d`` for every cell, given the sums of its curve with the data; NaN when undetermined."""
     if box.d is None:
@@ -186,7 +195,24 @@ def fit_curves(df: DataFrame, keys: list[str], x: str, y: str, box: Box, models:
     ``converged``: the last round improved the RSS by less than ``tolerance`` of itself. ``aic`` is NULL
     for a perfect fit (RSS at most ``perfect`` of the sum of squares).
     """
-    groups = _group_days(df, keys, x, y)
+    specs = {None: Spec(box, models, tie_digits)}
+    return _fitted(_group_days(df, keys, x, y), keys, None, specs, rounds, steps, tolerance, perfect, top, prove, most)
+
+
+def fit_series(df: DataFrame, keys: list[str], series: str, x: str, y: str, specs: dict[str, Spec], rounds: int = ROUNDS,
+               steps: int = STEPS, tolerance: float = 1e-3, perfect: float = 1e-12, top: int = VALLEYS, prove: bool = False,
+               most: int = MOST_CELLS) -> DataFrame:
+    """``fit_curves`` for several kinds of series in one pass: the column ``series`` names the spec of a row.
+
+    The observations are read and shuffled once, and one stage searches all fits. Rows of a series without a spec are left out.
+    """
+    wanted = df.filter(F.col(series).isin(*specs))
+    groups = _group_days(wanted, [*keys, series], x, y)
+    return _fitted(groups, [*keys, series], series, specs, rounds, steps, tolerance, perfect, top, prove, most)
+
+
+def _fitted(groups: DataFrame, keys: list[str], series: str | None, specs: dict, rounds: int, steps: int, tolerance: float,
+            perfect: float, top: int, prove: bool, most: int) -> DataFrame:
     asked = tolerance if prove else None
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,9 +220,10 @@ def fit_curves(df: DataFrame, keys: list[str], x: str, y: str, box: Box, models:
             rows = []
             for key, days in zip(batch["g"], batch["pts"]):
                 x, n, sy, syy = (np.array([day[k] for day in days]) for k in ("x", "n", "sy", "syy"))
+                spec = specs[key[series] if series else None]
                 with np.errstate(all="ignore"):
-                    for m in models:
-                        found = _search_group(box, m, x, n, sy, syy, rounds, steps, tie_digits, top, asked, most)
+                    for m in spec.models:
+                        found = _search_group(spec.box, m, x, n, sy, syy, rounds, steps, spec.tie_digits, top, asked, most)
                         if found is not None:
                             rows.append((key, list(days), m, *found))
             yield pd.DataFrame(rows, columns=["g", "pts", "model", "a", "b", "c", "d", "after", "before", "proven"])
@@ -205,10 +232,11 @@ def fit_curves(df: DataFrame, keys: list[str], x: str, y: str, box: Box, models:
     schema = StructType([groups.schema["g"], groups.schema["pts"]])
     for field in StructType.fromDDL(f"model string, {kinds}"):
         schema = schema.add(field)
-    return _summary(groups.mapInPandas(search, schema), keys, box, tolerance, perfect, prove)
+    return _summary(groups.mapInPandas(search, schema), keys, series, specs, tolerance, perfect, prove)
 
 
-def _summary(fits: DataFrame, keys: list[str], box: Box, tolerance: float, perfect: float, prove: bool) -> DataFrame:
+def _summary(fits: DataFrame, keys: list[str], series: str | None, specs: dict, tolerance: float, perfect: float,
+             prove: bool) -> DataFrame:
     """Direct residuals of the chosen curves (the summed form cancels near perfect fits), then AIC."""
 
     def squares(p: Column) -> Column:
@@ -223,14 +251,17 @@ def _summary(fits: DataFrame, keys: list[str], box: Box, tolerance: float, perfe
     fits = fits.withColumn("syy", F.aggregate("pts", F.lit(0.0), lambda acc, p: acc + p["syy"]))
     rss = F.when(F.col("raw") > perfect * F.col("syy"), F.col("raw")).when(F.col("raw").isNotNull(), F.lit(0.0))
     settled = (F.col("rss") == 0) | ((F.col("before") - F.col("after")) <= tolerance * F.col("after"))
-    base = F.lit(None).cast("double") if box.d is None else F.col("d")
+    of = lambda value: F.element_at(F.create_map(*[F.lit(v) for name, spec in specs.items() for v in (
+        name, value(spec.box))]), F.col("g")[series]) if series else F.lit(value(next(iter(specs.values())).box))
+    parameters = of(lambda box: box.parameters)
+    base = F.when(of(lambda box: box.d is not None), F.col("d"))
     missing = F.col("after") - F.col("proven")
     surely = missing <= F.greatest(tolerance * F.col("after"), 4 * ROUNDING * F.col("syy"))
     gap = [F.when(surely, 0.0).otherwise(missing).alias("gap")] if prove else []
     return (
         fits.withColumn("raw", direct).withColumn("rss", rss)
         .select(*[F.col("g")[k].alias(k) for k in keys], "model", "a", "b", "c", base.alias("d"),
-                F.col("n").cast("long").alias("n"), F.lit(box.parameters).alias("k"), "rss",
-                curves.least_squares_aic(F.col("n"), F.col("rss"), box.parameters).alias("aic"),
+                F.col("n").cast("long").alias("n"), parameters.alias("k"), "rss",
+                curves.least_squares_aic(F.col("n"), F.col("rss"), parameters).alias("aic"),
                 F.coalesce(settled, F.lit(False)).alias("converged"), *gap)
     )

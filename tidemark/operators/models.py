@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.nulls import ratio
-from tidemark.operators.aggregates import exact_median, percent_share
+from tidemark.operators.aggregates import exact_median
 from tidemark.operators.joins import join_keys
 from tidemark.operators.reshape import unpivot_measures
 from tidemark.operators.selection import best_rows
 
 
 def model_share(fits: DataFrame, keys: list[str], score: str = "aic") -> DataFrame:
-    """How often each model has the lowest known AIC of its group, in whole percent."""
-    return percent_share(best_rows(fits, keys, score), ["model"])
+    """How often each model has the lowest known AIC of its group, in whole percent.
+
+    The models are few, so their counts meet in one row: the fits are read once.
+    """
+    tally = best_rows(fits, keys, score).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    whole = tally.agg(F.sum("n").alias("total"), F.collect_list(F.struct("model", "n")).alias("models"))
+    return whole.select("total", F.inline("models")).select(
+        "model", "n", F.bround(ratio(F.lit(100.0) * F.col("n"), F.col("total")), 0).alias("percent"))
 
 
 def median_scores(fits: DataFrame, by: list[str], score: str = "aic") -> DataFrame:

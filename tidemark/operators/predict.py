@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import curves
@@ -58,8 +58,22 @@ def curve_samples(curves_table: DataFrame, first: int = 1, last: int = 365, x: s
                                               F.col(x).cast("double")))
 
 
-def publish(rates: DataFrame, masses: DataFrame, sites: DataFrame, keys: list[str], site: str) -> DataFrame:
-    """Predictions of two measures side by side with the site's description, rounded for print."""
-    both = join_keys(rates, masses, keys, "full")
-    described = join_keys(both, sites, [site])
-    return described.withColumn("CM_pred", F.round("CM_pred", 3)).withColumn("mass_pred", F.round("mass_pred", 2))
+def side_by_side(fits: DataFrame, keys: list[str], series: str, names: list[str]) -> DataFrame:
+    """One row per group with the curve of each named series as a struct, NULL where it has none; one curve per series."""
+    curve = F.struct("model", "a", "b", "c", "d")
+    return fits.groupBy(*keys).agg(*[F.max(F.when(F.col(series) == n, curve)).alias(n) for n in names])
+
+
+def curve_at(name: str, x: Column) -> Column:
+    """The value of a curve of ``side_by_side`` on a day."""
+    p = F.col(name)
+    return curves.curve(p["model"], p["a"], p["b"], p["c"], x.cast("double"), p["d"])
+
+
+def publish_pairs(pairs: DataFrame, sites: DataFrame, keys: list[str], site: str, rate: str, mass: str, first: int = 65,
+                  last: int = 337, x: str = "DOY") -> DataFrame:
+    """Daily predictions of both curves of a group with the site's description, rounded for print. No join of predictions."""
+    daily = pairs.withColumn(x, F.explode(F.sequence(F.lit(first), F.lit(last))))
+    table = daily.select(*keys, x, F.round(curve_at(rate, F.col(x)), 3).alias("CM_pred"),
+                         F.round(curve_at(mass, F.col(x)), 2).alias("mass_pred"))
+    return join_keys(table, sites, [site])

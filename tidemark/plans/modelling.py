@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.curves import GOMPERTZ, LOGISTIC
 from tidemark.functions.nulls import ratio
-from tidemark.operators.fit import Box, fit_curves
+from tidemark.operators.fit import Box, Spec, fit_series
 from tidemark.operators.joins import join_keys
-from tidemark.operators.predict import predict_days, publish
+from tidemark.operators.predict import publish_pairs, side_by_side
 from tidemark.operators.selection import best_rows
 
 # Parameter boxes per age class and measure.
@@ -26,23 +26,20 @@ PREDICTED_COLUMNS = ["num", "site", "name", "zone_en", "lat", "long", "campaign"
                      "mass_pred"]
 
 
-def measured(clean: DataFrame, class_age: str, measure: str) -> DataFrame:
-    """Observations of one measure and class, rows with any missing column dropped."""
-    other = next(c for m, c in MEASURES.items() if m != measure)
-    kept = clean.drop("num", "name", "zone_en", "lat", "long", other).dropna("any")
-    return kept.filter(F.col("class_age") == class_age)
+def measured(clean: DataFrame) -> DataFrame:
+    """Observations of both measures, one row each (``measure``, ``y``), rows with any missing column dropped."""
+    kept = clean.drop("num", "name", "zone_en", "lat", "long")
+    others = [c for c in kept.columns if c not in MEASURES.values()]
+    rows = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(c).alias("y")) for m, c in MEASURES.items()])
+    return kept.dropna("any", subset=others).select(*others, F.inline(rows)).dropna("any", subset=["y"])
 
 
-def fit_all(clean: DataFrame, rounds: int = 5) -> DataFrame:
-    """All models of all groups, classes and measures in one table."""
-    parts = []
-    for (class_age, measure), box in BOXES.items():
-        fits = fit_curves(measured(clean, class_age, measure), GROUP, "DOY", MEASURES[measure], box, rounds=rounds)
-        parts.append(fits.withColumns({"class_age": F.lit(class_age), "measure": F.lit(measure)}))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def fit_all(clean: DataFrame, rounds: int = 5, prove: bool = False) -> DataFrame:
+    """All models of all groups, classes and measures in one table, from one read and one search."""
+    specs = {f"{class_age} {measure}": Spec(box) for (class_age, measure), box in BOXES.items()}
+    named = measured(clean).withColumn("series", F.concat_ws(" ", "class_age", "measure"))
+    fits = fit_series(named, [*GROUP, "class_age", "measure"], "series", "DOY", "y", specs, rounds=rounds, prove=prove)
+    return fits.drop("series")
 
 
 def selection_table(fits: DataFrame) -> DataFrame:
@@ -64,15 +61,12 @@ def predicted_table(fits: DataFrame, sites: DataFrame, winners: dict[str, str] |
 
     Without ``winners`` the fits are read twice; write or checkpoint them first.
     """
-    keys = ["site", "campaign", "class_age", "DOY"]
     if winners is None:
         best = join_keys(fits, winning_models(selection_table(fits)), ["class_age", "measure", "model"], "left_semi")
     else:
         best = fits.filter(F.element_at(F.create_map(*[F.lit(v) for kv in winners.items() for v in kv]),
                                         F.col("measure")) == F.col("model"))
 
-    def chosen(measure: str, name: str) -> DataFrame:
-        return predict_days(best.filter(F.col("measure") == measure), name=name).select(*keys, name)
-
-    table = publish(chosen("mortality", "CM_pred"), chosen("mass", "mass_pred"), sites.drop("zone_fr"), keys, "site")
+    pairs = side_by_side(best, ["site", "campaign", "class_age"], "measure", ["mortality", "mass"])
+    table = publish_pairs(pairs, sites.drop("zone_fr"), ["site", "campaign", "class_age"], "site", "mortality", "mass")
     return table.select(*PREDICTED_COLUMNS)

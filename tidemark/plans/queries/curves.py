@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.curves import GOMPERTZ, LOGISTIC
+from tidemark.functions.nulls import ratio
 from tidemark.operators import models, predict
-from tidemark.operators.fit import Box, fit_curves, fit_lattice
+from tidemark.operators.fit import Box, Spec, fit_curves, fit_lattice, fit_series
 from tidemark.operators.joins import join_keys
 from tidemark.operators.rows import append
 from tidemark.plans.queries import base
 from tidemark.plans.queries.fit_sql import KEYS, curve_value, fits_sql, lattice_sql
 from tidemark.plans.queries.registry import query
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, shared
 from tidemark.sources import tables
 
 GROUP = ["class_age", "site", "campaign"]
@@ -35,15 +36,31 @@ _ROUNDED = """class_age, site, campaign, model, round(a, 6) AS a, round(b, 6) AS
        round(rss, 6) AS rss, round(aic, 4) AS aic"""
 
 
-def _share_fits(spark, folder, chosen=(LOGISTIC, GOMPERTZ), cut=False):
+def _one_search(fits):
+    """All readers in the plan share the shuffle behind the search. Medians read their input in subqueries, too, which
+    do not share it, so they get a checkpoint.
+    """
+    return shared(fits, GROUP)
+
+
+def _share_fits(spark, folder, chosen=(LOGISTIC, GOMPERTZ), cut=None):
     """``cut`` where a query reads the fits more than once, so that the search runs once."""
     fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "share", SHARE_BOX, models=chosen, tie_digits=SHARE_TIES)
-    return cut_lineage(fits) if cut else fits
+    return cut(fits) if cut else fits
 
 
-def _mass_fits(spark, folder, chosen=(LOGISTIC, GOMPERTZ), cut=False):
+def _mass_fits(spark, folder, chosen=(LOGISTIC, GOMPERTZ), cut=None):
     fits = fit_curves(tables.order_curves(spark, folder), GROUP, "DOY", "mass", MASS_BOX, models=chosen)
-    return cut_lineage(fits) if cut else fits
+    return cut(fits) if cut else fits
+
+
+def _paired_fits(spark, folder):
+    """The chosen curve of both measures of each group: one read of the orders, one search."""
+    curves = tables.order_curves(spark, folder).select(*GROUP, "DOY", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).alias("y")) for m in ("share", "mass")])))
+    specs = {"share": Spec(SHARE_BOX, (GOMPERTZ,), SHARE_TIES), "mass": Spec(MASS_BOX, (LOGISTIC,))}
+    fits = fit_series(curves, GROUP, "measure", "DOY", "y", specs)
+    return predict.side_by_side(fits, GROUP, "measure", ["share", "mass"])
 
 
 def _rounded(fits):
@@ -121,14 +138,14 @@ WITH {SHARE_FITS}, best AS (
 t AS (SELECT model, count(*) AS n FROM best GROUP BY ALL)
 SELECT model, n, round_even(100.0::DOUBLE * n / (SELECT sum(n) FROM t), 0) AS percent FROM t""")
 def model_share(spark, folder):
-    return models.model_share(_share_fits(spark, folder, cut=True), GROUP)
+    return models.model_share(_share_fits(spark, folder, cut=_one_search), GROUP)
 
 
 @query(f"""
 WITH {SHARE_FITS} SELECT class_age, model, round(median(aic), 4) AS median_aic, count(aic) AS n FROM fits
 WHERE aic IS NOT NULL GROUP BY ALL""")
 def aic_median(spark, folder):
-    out = models.median_scores(_share_fits(spark, folder, cut=True), ["class_age", "model"])
+    out = models.median_scores(_share_fits(spark, folder, cut=cut_lineage), ["class_age", "model"])
     return out.withColumn("median_aic", F.round("median_aic", 4))
 
 
@@ -138,7 +155,7 @@ WITH {MASS_FITS}, long AS (
   UNPIVOT (estimate FOR term IN (a, b, c, d)))
 SELECT site, term, round(median(estimate), 6) AS median, count(*) AS n FROM long GROUP BY ALL""")
 def param_median(spark, folder):
-    fits = _mass_fits(spark, folder, (LOGISTIC,), cut=True).filter("aic IS NOT NULL")
+    fits = _mass_fits(spark, folder, (LOGISTIC,), cut=cut_lineage).filter("aic IS NOT NULL")
     long = models.parameters_long(fits, GROUP)
     return models.parameter_medians(long, ["site"]).withColumn("median", F.round("median", 6))
 
@@ -167,7 +184,7 @@ def residuals(spark, folder):
 WITH {SHARE_FITS}, bad AS (SELECT * FROM fits WHERE aic IS NULL OR NOT converged)
 SELECT DISTINCT {KEYS}, DOY, round(share, 6) AS share FROM curves SEMI JOIN bad USING ({KEYS})""")
 def invalid_fit_points(spark, folder):
-    fits = _share_fits(spark, folder, cut=True)
+    fits = _share_fits(spark, folder, cut=_one_search)
     bad = append(models.invalid_score(fits), models.unsettled(fits))
     points = predict.observed_of(bad, tables.order_curves(spark, folder), GROUP)
     return points.select(*GROUP, "DOY", F.round("share", 6).alias("share"))
@@ -178,7 +195,7 @@ WITH {SHARE_FITS}, bad AS (SELECT {KEYS}, model FROM fits WHERE NOT converged)
 SELECT {KEYS}, model, x::INT AS DOY, round({curve_value('x')}, 6) AS fitted
 FROM fits JOIN bad USING ({KEYS}, model), range(65, 338) r(x)""")
 def unsettled_predictions(spark, folder):
-    fits = _share_fits(spark, folder, cut=True)
+    fits = _share_fits(spark, folder, cut=_one_search)
     failed = models.unsettled(fits).select(*GROUP, "model")
     out = join_keys(predict.predict_days(fits), failed, [*GROUP, "model"])
     return out.select(*GROUP, "model", "DOY", F.round("fitted", 6).alias("fitted"))
@@ -210,11 +227,13 @@ SELECT site, class_age, campaign, fitted, variable, name, zone FROM (
   SELECT {KEYS}, round({curve_value('337')} / nullif({curve_value('65')}, 0), 6), 'Growth' FROM mfits WHERE model = 'Logistic')
 LEFT JOIN sites USING (site)""")
 def indicator_pairs(spark, folder):
-    deaths = predict.predict_on(_share_fits(spark, folder, (GOMPERTZ,)), [337]).select(
-        *GROUP, "fitted", F.lit("Death").alias("variable"))
-    growth = predict.growth_ratio(predict.predict_on(_mass_fits(spark, folder, (LOGISTIC,)), [65, 337]), GROUP).select(
-        *GROUP, F.col("ratio").alias("fitted"), F.lit("Growth").alias("variable"))
-    both = append(deaths, growth).withColumn("fitted", F.round("fitted", 6))
+    pairs = _paired_fits(spark, folder)
+    at = lambda name, day: predict.curve_at(name, F.lit(day))
+    rows = F.array(
+        F.when(F.col("share").isNotNull(), F.struct(at("share", 337).alias("fitted"), F.lit("Death").alias("variable"))),
+        F.when(F.col("mass").isNotNull(), F.struct(ratio(at("mass", 337), at("mass", 65)).alias("fitted"),
+                                                  F.lit("Growth").alias("variable"))))
+    both = pairs.select(*GROUP, F.inline(F.array_compact(rows))).withColumn("fitted", F.round("fitted", 6))
     return join_keys(both, tables.nations(spark, folder), ["site"], "left")
 
 
@@ -225,10 +244,7 @@ m AS (SELECT {KEYS}, x::INT AS DOY, {curve_value('x')} AS v FROM mfits, range(65
 SELECT site, campaign, class_age, DOY, round(r.v, 3) AS CM_pred, round(m.v, 2) AS mass_pred, name, zone
 FROM r FULL JOIN m USING (site, campaign, class_age, DOY) JOIN sites USING (site)""")
 def combined_predictions(spark, folder):
-    keys = ["site", "campaign", "class_age", "DOY"]
-    rates = predict.predict_days(_share_fits(spark, folder, (GOMPERTZ,)), name="CM_pred").select(*keys, "CM_pred")
-    masses = predict.predict_days(_mass_fits(spark, folder, (LOGISTIC,)), name="mass_pred").select(*keys, "mass_pred")
-    return predict.publish(rates, masses, tables.nations(spark, folder), keys, "site")
+    return predict.publish_pairs(_paired_fits(spark, folder), tables.nations(spark, folder), GROUP, "site", "share", "mass")
 
 
 @query(f"""
@@ -237,7 +253,7 @@ SELECT class_age, model, bin, count(*) AS n, round(lo + (hi - lo) * (bin - 1) /
   SELECT class_age, model, lo, hi, least(floor((aic - lo) / (hi - lo) * 60) + 1, 60)::INT AS bin
   FROM fits JOIN e USING (class_age, model) WHERE aic IS NOT NULL) GROUP BY ALL""")
 def aic_histogram(spark, folder):
-    out = models.histogram(_share_fits(spark, folder, cut=True), ["class_age", "model"], "aic", 60)
+    out = models.histogram(_share_fits(spark, folder, cut=_one_search), ["class_age", "model"], "aic", 60)
     return out.withColumn("bin_start", F.round("bin_start", 4))
 
 
@@ -257,7 +273,7 @@ k AS (
   FROM binned, range(128) t(p) GROUP BY ALL)
 SELECT site, term, point, round(x, 6) AS x, round(v / max(v) OVER (PARTITION BY site, term), 6) AS scaled FROM k""")
 def param_density(spark, folder):
-    fits = _share_fits(spark, folder, (GOMPERTZ,), cut=True).filter("aic IS NOT NULL")
+    fits = _share_fits(spark, folder, (GOMPERTZ,), cut=_one_search).filter("aic IS NOT NULL")
     long = models.parameters_long(fits, GROUP)
     out = models.scaled_density(long, ["site", "term"], "estimate")
     return out.withColumns({"x": F.round("x", 6), "scaled": F.round("scaled", 6)})

@@ -41,6 +41,11 @@ def wide_parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def shared(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` behind a shuffle on ``keys`` that all its readers in one plan reuse, so that costly work before it runs once."""
+    return df.repartition(wide_parallelism(df.sparkSession), *keys)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext
