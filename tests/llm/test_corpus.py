@@ -482,12 +482,12 @@ def test_reduction_keeps_the_optimum():
         assert op10_packing.make_plan(counts, size).sequences >= best_count(lengths.tolist(), size)
 
 
-def test_word_cached_ids_equal_the_tokenizers_ids(spark, rows):
+def test_ids_of_plain_text_equal_the_tokenizers_ids(spark, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
+    whole.encode_special_tokens = True  # ``encode`` takes text without added tokens; the test below has them
     texts = [t or "" for _, t in rows] + ["a\n\nb", "x  y", " lead", "trail ", "tab\tx\r\ny", "don't I'll", " x y", "<|endoftext|> z"]
     for text in texts:
         ids = codec().encode(text)
@@ -514,3 +514,44 @@ def test_ids_equal_those_of_tokenizers_as_it_is(spark):
         ids = np.frombuffer(r.ids, "<u2")
         for k, doc in enumerate(r.doc_ids):
             assert ids[r.cu_seqlens[k]:r.cu_seqlens[k + 1]].tolist() == [*expected[doc], 0]
+
+
+def test_ids_beyond_16_bits_are_kept(spark, monkeypatch, tmp_path):
+    """A vocabulary of the 256 bytes and one pair, whose rank does not fit 16 bits."""
+    import base64
+
+    path = tmp_path / "large.tiktoken"
+    ranks = [(bytes([b]), b) for b in range(256)] + [(b"qz", 70_000)]
+    path.write_bytes(b"".join(base64.b64encode(w) + b" %d\n" % r for w, r in ranks))
+    docs = frame(spark, [(1, "qz a"), (2, None)])
+    (row,) = op4_bins.pack_matrices(docs.coalesce(1), size=16, vocabulary=str(path)).collect()
+    ids, places = np.frombuffer(row.ids, "<u4"), np.frombuffer(row.positions, "<u2")
+    assert len(ids) == len(places) == 16 and 70_000 in ids.tolist() and 4464 not in ids.tolist()
+    (row,) = op4_bins.pack_matrices(docs.coalesce(1), size=70_000).collect()
+    assert np.frombuffer(row.positions, "<u4").max() > 1 << 16 and len(np.frombuffer(row.ids, "<u2")) == 70_000
+
+
+def test_lengths_that_windows_cannot_hold_are_refused(spark, rows):
+    docs = frame(spark, rows[:3])
+    for length in (20, 39, 287, 300):
+        with pytest.raises(ValueError, match="length must be"):
+            op3_suffix.remove_repeats(docs, length)
+
+
+@pytest.mark.parametrize("length", [40, 64, 286])
+def test_other_lengths_equal_brute_force(spark, length):
+    rng = random.Random(length)
+    shared = [bytes(rng.choices(b"abc ", k=length + 30)).decode() for _ in range(2)]
+    table = [(i, "".join(rng.choice([*shared, "xy" * rng.randint(0, 9)]) for _ in range(rng.randint(0, 4)))) for i in range(25)]
+    table.append((99, "z" * (2 * length + 7)))
+    seen, expected = set(), {}
+    for doc, text in table:
+        marks = bytearray(len(text))
+        for at in range(len(text) - length + 1):
+            part = text[at:at + length]
+            if part in seen:
+                marks[at:at + length] = b"\x01" * length
+            seen.add(part)
+        expected[doc] = "".join(c for c, m in zip(text, marks) if not m)
+    got = {r.doc_id: r.text for r in op3_suffix.remove_repeats(frame(spark, table), length).collect()}
+    assert got == expected

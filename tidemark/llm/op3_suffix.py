@@ -1,6 +1,6 @@
 """Removal of repeated byte strings with suffix arrays over shards of the corpus.
 
-A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a document with a smaller id, or in
+A byte is removed if a string of ``length`` bytes (40 to 286) that covers it also starts earlier: in a document with a smaller id, or in
 the same document further left. Matches never cross documents, and strings are judged on the input.
 
 1. *Shards.* The smallest hash among the ``GRAM``-byte strings of a window anchors it (winnowing). Equal windows have equal
@@ -79,6 +79,9 @@ def _pack(start: np.ndarray, ahead: np.ndarray, count: np.ndarray) -> np.ndarray
 
 
 def _find_runs(length: int):
+    if not GRAM + BLOCK <= length < GRAM + 255:  # windows are anchored by GRAM bytes and counted in 8 bits
+        raise ValueError(f"length must be {GRAM + BLOCK} to {GRAM + 254} bytes, not {length}")
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = bytes_of(batch, "text"), batch.column(0).to_numpy()

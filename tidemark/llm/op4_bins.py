@@ -4,8 +4,8 @@ Each task packs the documents it reads, in pools of about ``pool`` tokens, so no
 at a time. Within a pool pieces go longest first into the open sequence with the least sufficient room, which a segment
 tree over the possible rooms finds. Longer documents are cut without loss. A pool leaves at most one poorly filled sequence.
 
-One row per sequence: ``ids`` (little-endian, ``size`` ids, padded with the end id), ``positions`` (little-endian 16-bit,
-starting from 0 at each segment, also at the padding), ``cu_seqlens`` (0 and the ends of the segments), and for each segment
+One row per sequence: ``ids`` (little-endian, ``size`` ids, padded with the end id), ``positions`` (little-endian, 16 bits up to a
+``size`` of 65,536 and 32 beyond, starting from 0 at each segment, also at the padding), ``cu_seqlens`` (0 and the ends of the segments), and for each segment
 its document, the place of its first id in the document, and its length. Null and empty texts are one end id. Repeated rows are packed as
 often as they occur. An empty table gives an empty result. Other columns are not read.
 """
@@ -90,8 +90,8 @@ def _pool_rows(docs: list, ids: list[np.ndarray], size: int, first: int) -> tupl
     for piece, sequence in zip(pieces, where.tolist()):
         rows[sequence].append(piece)
     kind = ids[0].dtype if ids else np.dtype("<u2")
-    matrix, places = np.zeros((count, size), kind), np.zeros((count, size), "<u2")
-    ramp = np.arange(size, dtype="<u2")
+    ramp = np.arange(size, dtype="<u2" if size <= 1 << 16 else "<u4")
+    matrix, places = np.zeros((count, size), kind), np.zeros((count, size), ramp.dtype)
     ends = []
     for r, row in enumerate(rows):
         at, marks = 0, [0]
@@ -114,13 +114,13 @@ def _pool_rows(docs: list, ids: list[np.ndarray], size: int, first: int) -> tupl
 
 def pack_matrices(docs: DataFrame, size: int = SIZE, pool: int = POOL_TOKENS, vocabulary: str | None = None,
                   wide: bool = False) -> DataFrame:
-    """Packed sequences of all documents; ids are 16-bit unless ``wide`` (vocabularies over 65,536) asks for 32."""
+    """Packed sequences of all documents; ids have 16 bits, or 32 where the vocabulary has greater ids or ``wide`` asks so."""
     bounded_batches(docs.sparkSession)
-    kind = np.dtype("<u4" if wide else "<u2")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, number = codec(vocabulary), TaskContext.get().partitionId() << 33
         held, ids, tokens = [], [], 0
+        kind = np.dtype("<u4" if wide or bpe.most_id >= 1 << 16 else "<u2")
         end = np.zeros(1, kind)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), bytes_of(batch, "text")):

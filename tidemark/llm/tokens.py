@@ -46,6 +46,8 @@ class ByteBpe:
         with open(path or default_vocabulary(), "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self._added = added_tokens(path or default_vocabulary())
+        #: The greatest id of the vocabulary.
+        self.most_id = max([*ranks.values(), *self._added.values()])
         self._codec = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self._added)
 
     def encode_text(self, text: str) -> bytes:
