@@ -49,3 +49,16 @@ def test_stages_follow_one_another(spark, small):
 
 def test_entry_lists_the_corpus_queries():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
+
+
+def test_long_hosts_and_paths_equal_their_sql(spark, tmp_path):
+    """Nine labels, one label, six segments: the SQL takes every domain and path prefix, as the operator does."""
+    hosts = ["a.b.c.d.e.f.g.example.com", "localhost", "www.example.com", "x.co.uk", "b.c.d.e.f.g.example.com"]
+    paths = ["", "/", "/a/b/c/d/e/f", "/a/b/c/d/e/f/g?x=1", "/a"]
+    urls = [f"https://{h}{p}" for h in hosts for p in paths] + [None, "", "no url"]
+    rows = [(i, urls[i % len(urls)], "") for i in range(300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got, expected = QUERIES["op5_lists_blocked"](spark, str(tmp_path)).toPandas(), con.execute(SQL["op5_lists_blocked"]).df()
+    assert compare(got, expected) == "ok" and got.blocked.sum() > 20

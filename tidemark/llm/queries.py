@@ -135,9 +135,9 @@ SQL: dict[str, str] = {
           FROM changes),
         keys AS (
           SELECT page_id, day, unnest(list_distinct(list_concat(
-            [array_to_string(string_split(host, '.')[i + 1:], '.') FOR i IN range(0, 6) IF i < len(string_split(host, '.')) - 1],
+            [array_to_string(string_split(host, '.')[i + 1:], '.') FOR i IN range(0, greatest(len(string_split(host, '.')) - 1, 1))],
             CASE WHEN path = '' THEN [] ELSE
-            [host || array_to_string(string_split(path, '/')[1:i], '/') FOR i IN range(2, 6) IF i <= len(string_split(path, '/'))]
+            [host || array_to_string(string_split(path, '/')[1:i], '/') FOR i IN range(2, len(string_split(path, '/')) + 1)]
             END))) AS key
           FROM own WHERE host <> ''),
         met AS (
