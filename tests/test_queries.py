@@ -3,6 +3,7 @@
 import glob
 import os
 import re
+import subprocess
 import sys
 
 import duckdb
@@ -55,6 +56,13 @@ def test_entry(spark, small):
     assert entry.entry(spark).columns == ["batch", "site", "date", "mean_cm"]
 
 
+def test_entry_without_a_library_of_the_corpus_operators():
+    code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = os.path.join(os.path.dirname(os.path.abspath(__file__)), "..")
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert list(map(int, out[-2:])) == [len(QUERIES), len(SQL)]
+
+
 def plan_of(spark, small, name):
     return QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
 
