@@ -9,7 +9,6 @@ from tidemark.functions.nulls import ratio
 from tidemark.operators import models, predict
 from tidemark.operators.fit import Box, Spec, fit_curves, fit_lattice, fit_series
 from tidemark.operators.joins import join_keys
-from tidemark.operators.rows import append
 from tidemark.plans.queries import base
 from tidemark.plans.queries.fit_sql import KEYS, curve_value, fits_sql, lattice_sql
 from tidemark.plans.queries.registry import query
@@ -138,7 +137,7 @@ WITH {SHARE_FITS}, best AS (
 t AS (SELECT model, count(*) AS n FROM best GROUP BY ALL)
 SELECT model, n, round_even(100.0::DOUBLE * n / (SELECT sum(n) FROM t), 0) AS percent FROM t""")
 def model_share(spark, folder):
-    return models.model_share(_share_fits(spark, folder, cut=_one_search), GROUP)
+    return models.model_share(_share_fits(spark, folder), GROUP)
 
 
 @query(f"""
@@ -184,8 +183,8 @@ def residuals(spark, folder):
 WITH {SHARE_FITS}, bad AS (SELECT * FROM fits WHERE aic IS NULL OR NOT converged)
 SELECT DISTINCT {KEYS}, DOY, round(share, 6) AS share FROM curves SEMI JOIN bad USING ({KEYS})""")
 def invalid_fit_points(spark, folder):
-    fits = _share_fits(spark, folder, cut=_one_search)
-    bad = append(models.invalid_score(fits), models.unsettled(fits))
+    fits = _share_fits(spark, folder)
+    bad = fits.filter(F.col("aic").isNull() | ~F.col("converged"))
     points = predict.observed_of(bad, tables.order_curves(spark, folder), GROUP)
     return points.select(*GROUP, "DOY", F.round("share", 6).alias("share"))
 
@@ -195,9 +194,7 @@ WITH {SHARE_FITS}, bad AS (SELECT {KEYS}, model FROM fits WHERE NOT converged)
 SELECT {KEYS}, model, x::INT AS DOY, round({curve_value('x')}, 6) AS fitted
 FROM fits JOIN bad USING ({KEYS}, model), range(65, 338) r(x)""")
 def unsettled_predictions(spark, folder):
-    fits = _share_fits(spark, folder, cut=_one_search)
-    failed = models.unsettled(fits).select(*GROUP, "model")
-    out = join_keys(predict.predict_days(fits), failed, [*GROUP, "model"])
+    out = predict.predict_days(models.unsettled(_share_fits(spark, folder)))
     return out.select(*GROUP, "model", "DOY", F.round("fitted", 6).alias("fitted"))
 
 
