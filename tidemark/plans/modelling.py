@@ -20,6 +20,7 @@ BOXES = {
     ("J1", "mortality"): Box(a=(0, 1), b=(0, 0.2), c=(0, 365)),
 }
 WINNERS = {"mass": LOGISTIC, "mortality": GOMPERTZ}  # the published choice
+# The measures' columns and the published ones.
 MEASURES = {"mass": "mean_mass", "mortality": "mean_CM"}
 GROUP = ["site", "campaign"]
 PREDICTED_COLUMNS = ["num", "site", "name", "zone_en", "lat", "long", "campaign", "class_age", "DOY", "CM_pred",

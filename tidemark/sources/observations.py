@@ -17,6 +17,7 @@ RAW_POSITIONS = {
     "param": 23, "code_param": 22, "unit_measure": 28, "fraction": 25, "method": 26, "id_ind": 29, "value": 32,
     "mnemonic_sampling": 19, "long": 12, "lat": 14, "pop_init_batch": 16,
 }
+# The spelling of ploidy, and below the years and the batch of the followed stock.
 PLOIDY = {"diploïdes": "2n", "triploïdes": "3n"}
 
 
