@@ -106,6 +106,14 @@ class Rule:
         return [{k: v if isinstance(v, Column) else F.lit(v) for k, v in s.items()} for s in self.sets]
 
 
+def seed_where(conditions: Sequence[Rule], day: Column, at: Layout = Layout(), **flags: bool) -> Seed:
+    """A seed whose scope is given by conditions on keys (their action does not count), so that schedules know its reach."""
+    for c in conditions:
+        if c.param or c.not_param or c.on or c.after or c.values or c.not_values or c.below is not None:
+            raise ValueError("a seed's scope is over keys and carried columns")
+    return Seed(reduce(lambda p, q: p | q, [is_true(c.matches(at)) for c in conditions]), day, reach=tuple(conditions), **flags)
+
+
 @dataclass(frozen=True)
 class ZeroFill:
     """Add the missing zero counts on the group's first day."""

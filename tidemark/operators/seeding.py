@@ -65,6 +65,7 @@ class Seed:
 
     ``scope`` selects the rows and ``fill_scope`` narrows those that get rows (both over keys and the
     carried columns), ``day`` is the seed day, and ``later_only`` takes the totals from visits after it.
+    ``reach``: rules whose conditions make up the scope (see ``ledger.seed_where``); empty if unknown.
     """
 
     scope: Column
@@ -72,6 +73,7 @@ class Seed:
     fill_scope: Column | None = None
     later_only: bool = False
     with_dead: bool = True
+    reach: tuple = ()
 
 
 def seed_fill_rows(df: DataFrame, seeds: list[Seed], at: Layout) -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.derive import span
 from tidemark.functions.nulls import delete_where
 from tidemark.operators import indicators as ind
-from tidemark.operators.ledger import apply_ledger
 from tidemark.operators.reshape import pivot_cells, set_aside
+from tidemark.operators.schedule import apply_scheduled
 from tidemark.operators.seeding import Layout
 from tidemark.operators.selection import gate_days
-from tidemark.plans.corrections import SINGLE, count_corrections, empty_visits, mass_corrections
+from tidemark.plans.corrections import SINGLE, count_corrections, empty_visits, mass_corrections, told_by_batch
 from tidemark.session import cut_lineage
 from tidemark.sources.observations import in_scope, typed, with_keys
 from tidemark.sources.sinks import fixed_digits
@@ -36,7 +36,7 @@ def bag_observations(scoped: DataFrame) -> DataFrame:
 
 
 def corrected_bags(bags: DataFrame, cut: bool = True) -> DataFrame:
-    return apply_ledger(bags, count_corrections() + mass_corrections(), AT, cut=cut)
+    return apply_scheduled(bags, count_corrections() + mass_corrections(), AT, told_by_batch, cut)
 
 
 def visits(bags: DataFrame) -> DataFrame:

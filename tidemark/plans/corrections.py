@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators.ledger import (
-    IN, NAMED_NOT_IN, NOT_IN_OR_UNNAMED, UNNAMED, Rule, SeedFill, Step, ZeroFill,
+    IN, NAMED_NOT_IN, NOT_IN_OR_UNNAMED, UNNAMED, Rule, SeedFill, Step, ZeroFill, seed_where,
 )
-from tidemark.operators.seeding import Seed
 
 ALIVE, DEAD, TOTAL, SINGLE = "INDVVIVNB", "INDVMORNB", "TOTVIVPOI", "INDVPOID"
 
@@ -38,8 +37,7 @@ def count_corrections() -> list[Step]:
     """
     value = F.col("value")
     day = lambda text: F.lit(text).cast("date")
-    spat, half_grown = F.col("class_age") == "N0", F.col("class_age") == "J1"
-    year, site = F.col("campaign"), F.col("site")
+    keys = lambda year, cls=None, **sites: Rule("seed", campaign=year, class_age=cls, **sites)
     return [
         _delete(_n0(1995), "GEFOS"),
         ZeroFill(),
@@ -90,9 +88,8 @@ def count_corrections() -> list[Step]:
         _delete(_j1(2009), "MARSE", param=ALIVE, on=("2009-03-09",)),
         Rule("copy", batch=_j1(2009), site=("MARSE",), param=ALIVE, on=("2009-03-20",), sets=({"date": "2009-03-09"},)),
         SeedFill((
-            Seed(half_grown & (year == 2011) & site.isin("PENRF", "BLAIN"), day("2011-03-17"),
-                 later_only=True, with_dead=False),
-            Seed(half_grown & (year == 2012) & (site != "MARSE"), day("2012-02-21"), later_only=True, with_dead=False),
+            seed_where([keys(2011, "J1", site=("PENRF", "BLAIN"))], day("2011-03-17"), later_only=True, with_dead=False),
+            seed_where([keys(2012, "J1", not_site=("MARSE",))], day("2012-02-21"), later_only=True, with_dead=False),
         )),
         Rule("delete", batch=_j1(2014), site=("MORLX",), on=("2014-05-26",), below=10.0),
         _delete(_j1(2014), "MORLX", param=TOTAL, on=("2014-05-26",)),
@@ -118,15 +115,19 @@ def count_corrections() -> list[Step]:
              sets=({"value": 0.0, "date": "2005-04-01"},)),
         Rule("copy", class_age="N0", site=("COUPE",), not_param=TOTAL, on=("2005-06-24",), sets=({"date": "2005-03-24"},)),
         SeedFill((
-            Seed(spat & (year == 2009) & (site != "QUIBE"), day("2009-03-09")),
-            Seed(year == 2010, F.when(spat, day("2010-03-29")).otherwise(day("2010-03-14"))),
-            Seed(year == 2011, day("2011-03-17"),
-                 fill_scope=~(spat & (site == "PENRF")) & ~(half_grown & site.isin("BLAIN", "PENRF"))),
+            seed_where([keys(2009, "N0", not_site=("QUIBE",))], day("2009-03-09")),
+            seed_where([keys(2010)], F.when(F.col("class_age") == "N0", day("2010-03-29")).otherwise(day("2010-03-14"))),
+            seed_where([keys(2011, "N0", not_site=("PENRF",)), keys(2011, "J1", not_site=("BLAIN", "PENRF"))], day("2011-03-17")),
         )),
         Rule("update", bag=_BAG_NULL, sets=({"id_ind": "unidentified"},)),
     ]
 
 
+def told_by_batch(batch: str) -> dict:
+    """Campaign and class, which every batch code begins with."""
+    return {"campaign": int(batch[:4]), "class_age": batch[5:7]}
+
+
 def mass_corrections() -> list[Step]:
     """Steps on the bag masses. Fixed values as above."""
     hatched = "{}_{}_HATCH_2n_E4".format

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger, rule_tables, seeding
-from tidemark.operators.ledger import Rule, SeedFill, ZeroFill
+from tidemark.operators.ledger import Rule, SeedFill, ZeroFill, seed_where
+from tidemark.operators.schedule import apply_scheduled
 from tidemark.operators.seeding import Seed
 from tidemark.plans.queries import base
-from tidemark.plans.queries.registry import query
+from tidemark.plans.queries.registry import SQL, query
 from tidemark.sources import tables
 
 AT = tables.AT
@@ -131,6 +132,18 @@ def ledger_apply(spark, folder):
     return ledger.apply_ledger(tables.shipments(spark, folder), _rules(), AT).withColumn("value", F.round("value", 4))
 
 
+@query(SQL["ledger_apply"])
+def ledger_scheduled(spark, folder):
+    """The same corrections written as three fills with rules between them, of which two run as one."""
+    *rules, _, masses, named = _rules()
+    first = lambda text: F.lit(text).cast("date")
+    early = SeedFill((seed_where([Rule("seed", campaign=1999)], first("1999-01-01"), AT),))
+    late = SeedFill((seed_where([Rule("seed", campaign=2000, not_site=(6,))], first("2000-02-01"), AT, later_only=True, with_dead=False),))
+    steps = [*rules[:2], rules[4], early, *rules[2:4], *rules[5:], late, masses, named]
+    return apply_scheduled(tables.shipments(spark, folder), steps, AT, lambda batch: {"campaign": batch}).withColumn(
+        "value", F.round("value", 4))
+
+
 @query(f"""
 WITH {base.OBS}
 SELECT 0 AS rule, count(*) AS n FROM obs WHERE code_param = 'dead' AND id_ind <> 1
