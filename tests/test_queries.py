@@ -18,10 +18,12 @@ from tidemark.operators.ledger import Rule, apply_ledger  # noqa: E402
 from tidemark.operators.selection import best_rows  # noqa: E402
 from tidemark.plans.corrections import count_corrections  # noqa: E402
 from tidemark.plans.queries import QUERIES, SQL  # noqa: E402
+from tidemark.sources import tables  # noqa: E402
 
 FITTED = {"fit_logistic3", "fit_gompertz3", "fit_logistic4", "fit_gompertz4", "fit_quality", "predict_grid", "residuals",
           "season_snapshot", "growth_ratio", "indicator_pairs", "combined_predictions", "fit_lattice3", "fit_lattice4",
-          "fit_gaps", "model_share", "aic_histogram", "param_density", "invalid_fit_points", "unsettled_predictions"}
+          "fit_gaps", "model_share", "aic_histogram", "param_density", "invalid_fit_points", "unsettled_predictions",
+          "odd_predict_grid", "odd_best_models", "odd_invalid_points", "odd_unsettled_predictions"}
 
 
 # on the smallest tables most groups have fewer points than a curve has parameters, so their parameters are not determined
@@ -112,6 +114,18 @@ def test_the_gate_bites(spark, small):
     assert 0 < same < 0.95 * every.count()
 
 
+def test_odd_series_bite(spark, small):
+    for folder in (small, small.replace("0.001", "0.01")):
+        count = lambda name, condition="true": QUERIES[name](spark, folder).filter(condition).count()  # noqa: E731, B023
+        every = count("odd_predict_grid")
+        assert 0.05 * every < count("odd_predict_grid", "aic_compiled = 'no'") < 0.95 * every
+        assert 0.05 * every < count("odd_unsettled_predictions") < 0.95 * every
+        points = tables.order_curves(spark, folder).count()
+        assert 0.05 * points < count("odd_invalid_points") < 0.95 * points
+        groups = tables.order_curves(spark, folder).select("class_age", "site", "campaign").distinct().count()
+        assert 0.05 * groups < count("odd_best_models") < 0.95 * groups
+
+
 def test_one_shuffle_pivot(spark, small):
     assert plan_of(spark, small, "pivot_counts").count("Exchange hashpartitioning") == 1
 

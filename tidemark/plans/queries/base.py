@@ -38,6 +38,10 @@ curves AS (
            / sum(orders) OVER (PARTITION BY class_age, site, campaign))::DOUBLE AS mass
   FROM monthly)"""
 
+ODD_CURVES = CURVES + """, odd AS (
+  SELECT * REPLACE (CASE site % 5 WHEN 1 THEN 0 WHEN 2 THEN 0.9::DOUBLE / (1 + exp(-0.05::DOUBLE * (DOY - middle))) ELSE share END AS share)
+  FROM (SELECT *, min(CASE WHEN share >= 0.5 THEN DOY END) OVER (PARTITION BY class_age, site, campaign) AS middle FROM curves))"""
+
 NATIONS = """sites AS (
   SELECT n_nationkey AS site, n_name AS name, r_name AS zone FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 

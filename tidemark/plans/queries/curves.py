@@ -9,6 +9,7 @@ from tidemark.functions.nulls import ratio
 from tidemark.operators import models, predict
 from tidemark.operators.fit import Box, Spec, fit_curves, fit_lattice, fit_series
 from tidemark.operators.joins import join_keys
+from tidemark.operators.selection import best_rows
 from tidemark.plans.queries import base
 from tidemark.plans.queries.fit_sql import KEYS, curve_value, fits_sql, lattice_sql
 from tidemark.plans.queries.registry import query
@@ -27,6 +28,7 @@ LATTICE = (51, 37)
 
 SHARE_FITS = base.CURVES + ", " + fits_sql("curves", "DOY", "share", SHARE_BOX, tie_digits=SHARE_TIES)
 MASS_FITS = base.CURVES + ", " + fits_sql("curves", "DOY", "mass", MASS_BOX)
+ODD_FITS = base.ODD_CURVES + ", " + fits_sql("odd", "DOY", "share", SHARE_BOX, tie_digits=SHARE_TIES)
 SHARE_LATTICE = base.CURVES + ", " + lattice_sql("curves", "DOY", "share", SHARE_BOX, *LATTICE, tie_digits=SHARE_TIES)
 MASS_LATTICE = base.CURVES + ", " + lattice_sql("curves", "DOY", "mass", MASS_BOX, *LATTICE)
 _ON_LATTICE = """class_age, site, campaign, model, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(d, 6) AS d,
@@ -198,6 +200,52 @@ def unsettled_predictions(spark, folder):
     return out.select(*GROUP, "model", "DOY", F.round("fitted", 6).alias("fitted"))
 
 
+def _odd_fits(spark, folder):
+    return fit_curves(tables.odd_curves(spark, folder), GROUP, "DOY", "share", SHARE_BOX, tie_digits=SHARE_TIES)
+
+
+@query(f"""
+WITH {ODD_FITS}
+SELECT {KEYS}, model, x::INT AS DOY, round({curve_value('x')}, 6) AS fitted,
+       CASE WHEN aic IS NULL THEN 'no' ELSE 'yes' END AS aic_compiled
+FROM fits, range(65, 338) r(x)""")
+def odd_predict_grid(spark, folder):
+    """Predictions of all fits, of which a fifth have no score."""
+    out = predict.predict_days(_odd_fits(spark, folder))
+    return out.select(*GROUP, "model", "DOY", F.round("fitted", 6).alias("fitted"),
+                      models.has_score(F.col("aic")).alias("aic_compiled"))
+
+
+@query(f"""
+WITH {ODD_FITS}, best AS (
+  SELECT * FROM (SELECT *, rank() OVER (PARTITION BY {KEYS} ORDER BY aic) AS r FROM fits WHERE aic IS NOT NULL) WHERE r = 1)
+SELECT {KEYS}, model, round(aic, 4) AS aic FROM best""")
+def odd_best_models(spark, folder):
+    """The chosen model of each group that has one: groups without a score take part in no selection."""
+    best = best_rows(_odd_fits(spark, folder), GROUP, "aic")
+    return best.select(*GROUP, "model", F.round("aic", 4).alias("aic"))
+
+
+@query(f"""
+WITH {ODD_FITS}, bad AS (SELECT * FROM fits WHERE aic IS NULL OR NOT converged)
+SELECT DISTINCT {KEYS}, DOY, round(share, 6) AS share FROM odd SEMI JOIN bad USING ({KEYS})""")
+def odd_invalid_points(spark, folder):
+    """The observations behind fits that have no score or did not settle."""
+    bad = _odd_fits(spark, folder).filter(F.col("aic").isNull() | ~F.col("converged"))
+    points = predict.observed_of(bad, tables.odd_curves(spark, folder), GROUP)
+    return points.select(*GROUP, "DOY", F.round("share", 6).alias("share"))
+
+
+@query(f"""
+WITH {ODD_FITS}
+SELECT {KEYS}, model, x::INT AS DOY, round({curve_value('x')}, 6) AS fitted
+FROM fits, range(65, 338) r(x) WHERE NOT converged""")
+def odd_unsettled_predictions(spark, folder):
+    """Predictions of the fits that did not settle."""
+    out = predict.predict_days(models.unsettled(_odd_fits(spark, folder)))
+    return out.select(*GROUP, "model", "DOY", F.round("fitted", 6).alias("fitted"))
+
+
 @query(f"""
 WITH {SHARE_FITS}
 SELECT {KEYS}, round({curve_value('337')}, 6) AS fitted, 'Death' AS variable FROM fits WHERE model = 'Gompertz'""")

@@ -97,6 +97,17 @@ def order_curves(spark: SparkSession, folder: str) -> DataFrame:
         (F.lit(10.0) + F.lit(50.0) * share("orders")).alias("mass"))
 
 
+def odd_curves(spark: SparkSession, folder: str) -> DataFrame:
+    """``order_curves`` with two kinds of series that fits report: one nation in five never grows, so that a curve meets it
+    without any residual; another follows a logistic curve around its own middle day, to which each round comes closer.
+    """
+    curves = order_curves(spark, folder)
+    middle = F.min(F.when(F.col("share") >= 0.5, F.col("DOY"))).over(Window.partitionBy("class_age", "site", "campaign"))
+    exact = F.lit(0.9) / (1 + F.exp(F.lit(-0.05) * (F.col("DOY") - middle)))
+    kind = F.col("site") % 5
+    return curves.withColumn("share", F.when(kind == 1, 0.0).when(kind == 2, exact).otherwise(F.col("share")))
+
+
 def nations(spark: SparkSession, folder: str) -> DataFrame:
     """Site table: number, name, zone."""
     nation, region = load(spark, folder, "nation"), load(spark, folder, "region")
