@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import (op1_spots, op2_paths, op3_suffix, op4_bins, op5_lists, op6_pu, op7_lattice, op8_cascade,
@@ -115,6 +116,76 @@ def test_pruned_likeness_and_length_partitions():
                 assert op1_spots.length_partition(m, least) - op1_spots.length_partition(n, least) <= 1
 
 
+def plain_spots(text):
+    """The spots of a text of short words in blanks, one anchor at a time."""
+    whole, big = 2**64 - 1, xxhash.xxh3_64_intdigest
+
+    def mixed(x):
+        x = (x ^ x >> 31) * 0x9E3779B97F4A7C15 & whole
+        x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & whole
+        return x ^ x >> 32
+
+    words = [w for w in (w.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in text.split()) if w]
+    content = [i for i, w in enumerate(words) if w.encode() not in op1_spots.COMMON]
+    chain = [max(2, big(words[i])) for i in content]
+    anchors = [(1, 0, False)] if words else []
+    anchors += [(big(w), sum(c < i for c in content), False) for i, w in enumerate(words) if i not in content]
+    for at in sorted({min(range(j, j + 3), key=lambda k: (chain[k], k)) for j in range(len(content) - 2)
+                      if content[j + 2] - content[j] == 2}):
+        anchors.append((mixed(chain[at]), at + 1, True))
+    kept = [a for a in anchors if a[1] < len(chain) or a[2]]
+    if not any(a[1] < len(chain) for a in anchors):
+        return sorted(mixed(state) >> 32 for state, _, _ in anchors)
+    out = []
+    for state, after, _ in kept:
+        for k, value in enumerate(chain[after:after + 2]):
+            state = mixed((state + value * (2 * k + 3)) & whole)
+        out.append(state >> 32)
+    return sorted(out)
+
+
+def test_spots_one_anchor_at_a_time():
+    rng = random.Random(6)
+    pool = ["the", "of", "und", "la", "River", "stone,", "(light)", "42", "--", "éclair", "ab", "cd", "ef", "gh", "--x"]
+    for size in [*range(12), *[60] * 40]:
+        text = " ".join(rng.choice(pool) for _ in range(size))
+        assert op1_spots.spots(text.encode()).tolist() == plain_spots(text)
+
+
+def test_matches_of_stated_rows_equal_a_comparison_with_all(spark):
+    rng = random.Random(9)
+    pool = [f"w{i}" for i in range(400)] + ["the", "of", "and"] * 20
+    rows = []
+    for group in range(12):
+        base = [rng.choice(pool) for _ in range(rng.choice([3, 8, 40, 200]))]
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(words) // 40))):
+                words[rng.randrange(len(words))] = rng.choice(pool)
+            rows.append((len(rows), " ".join(words * rng.choice([1, 1, 1, 2]))))
+    rows += [(500, None), (501, ""), (502, "the of"), (None, rows[0][1]), (0, rows[0][1]), (503, "same words " * 400),
+             (504, "same words " * 390)]
+    docs = frame(spark, rows).withColumn("print", F.lit(1)).withColumn("n", F.lit(2)).withColumn("token", F.lit(3))
+    names = {r.doc_id: (r.print, r.fingerprint) for r in op1_spots.fingerprints(docs).select(
+        "doc_id", "fingerprint", op1_spots.print_id().alias("print")).collect()}
+    bags = {name: collections.Counter(op1_spots.decode(print_).tolist()) for name, print_ in names.values()}
+    for condition, test, least in ((F.col("doc_id") % 7 == 0, lambda d: d is not None and d % 7 == 0, 0.8),
+                                   (F.lit(True), lambda d: True, 0.8), (F.lit(True), lambda d: True, 0.45)):
+        expected = {}
+        for a in {names[d][0] for d in names if test(d)}:
+            for b in bags:
+                if a != b and bags[a] and bags[b]:
+                    value = (bags[a] & bags[b]).total() / (bags[a] | bags[b]).total()
+                    if value >= least:
+                        expected[a, b] = value
+        got = op1_spots.near_matches(docs, condition, least).collect()
+        assert {(r.print, r.other): pytest.approx(r.likeness) for r in got} == expected
+        assert len(got) == len(expected) > 10
+    with pytest.raises(ValueError):
+        op1_spots.near_matches(docs, F.lit(True), 1.0)
+    assert op1_spots.near_matches(frame(spark, []), F.lit(True)).count() == 0
+
+
 def brute_classes(rows, similarity=(4, 5)):
     sets = {}
     for doc, text in rows:

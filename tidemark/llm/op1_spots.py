@@ -5,14 +5,16 @@ text, the common words listed, and, for languages without such a list, the conte
 ``CHAIN`` + 1 content words that no common word parts (winnowing, Schleimer, Wilkerson and Aiken 2003). Every content word is
 thus in a spot (at a distance of 1), and which spots a stretch bears depends on the stretch alone. A text's fingerprint is the
 multiset of its spots. Two fingerprints are compared by Jaccard similarity of multisets, pruned: their lengths bound it from above, and so does what is left while spots are merged
-in order, so a comparison ends when a required likeness is out of reach. For a self join, fingerprints are partitioned by
-length, so that only fingerprints in the same or the next partition can be similar (Theobald, Siddharth and Paepcke 2008).
+in order, so a comparison ends when a required likeness is out of reach. ``near_matches`` searches a table for the fingerprints
+like those of stated rows: fingerprints are partitioned by length, so that only those in the same or a neighbouring partition can
+be similar, and within a partition a candidate must share one of the rarest spots of the row searched for (Theobald, Siddharth
+and Paepcke 2008). It loses nothing: what it finds equals a comparison with all rows.
 
 Words are compared in lower case without leading and trailing ASCII punctuation; words that are all punctuation do not
 count. In scripts written without blanks, and in runs of more than ``LONG`` characters without a blank, each character is a
 word. A chain cut short by the end of the text is kept if it has a word. Null and empty texts, and texts without words,
 have the empty fingerprint; two empty fingerprints have likeness 1, an empty one and another have 0. Repeated rows get equal
-fingerprints. An empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
+fingerprints. Rows with a null id are searched, but a condition on their id does not select them. An empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -24,15 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import bounded_batches, bytes_of, id_key, mix
+from tidemark.session import cut_lineage
 
 CHAIN = 2
 DISTANCE = 1
 LONG = 40
 MEMO_WORDS = 300_000
+SALTS = 16
+TOKEN_ROWS = 200_000
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Common words of English, French, German and Spanish.
 COMMON = frozenset("""
@@ -176,6 +181,77 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         take, "doc_id long, fingerprint string, n_spots long")
 
 
+def print_id() -> Column:
+    """The name of a fingerprint."""
+    return F.md5("fingerprint")
+
+
+def _occurrences(rows: DataFrame) -> DataFrame:
+    """One row per spot; the k-th occurrence of a spot in a text is a token of its own, so multisets become sets."""
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, size, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found = decode(text)
+                place = np.arange(len(found))
+                first = np.maximum.accumulate(np.where(np.concatenate([[True], found[1:] != found[:-1]]), place, 0)) if size else place
+                token = (found.astype(np.uint64) << np.uint64(32) | (place - first).astype(np.uint64)).view(np.int64)
+                for lo in range(0, len(token), TOKEN_ROWS):
+                    part = token[lo:lo + TOKEN_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key)), pa.array(np.full(len(part), size)),
+                                                      pa.array(part)], ["key", "n", "token"])
+
+    return rows.select("key", "n", "fingerprint").mapInArrow(take, "key long, n long, token long")
+
+
+def _partition(n: Column, least: float) -> Column:
+    return (1 + F.floor(F.log(n) / -float(np.log(least)) + 1e-9)).cast("long")
+
+
+def near_matches(docs: DataFrame, wanted: Column, least: float = 0.8) -> DataFrame:
+    """Fingerprints like those of the rows where ``wanted`` (a condition on ``doc_id``) holds: print, other, likeness.
+
+    Both are names of fingerprints (``print_id``); equal fingerprints share one name, so copies are not compared, and
+    ``fingerprints(docs)`` tells which rows bear it. Of the ``n`` spots of a row searched for, any match of likeness
+    ``least`` has at least ``least * n``, so it has one of the ``n - ceil(least * n) + 1`` rarest. Only these are looked up:
+    by spot, length partition and a salt that cuts a spot of very many texts into ``SALTS`` parts. Each candidate is
+    then compared exactly. The name is an MD5; lookups use 64 bits, and texts that share these are compared apart.
+    """
+    if not 0 < least < 1:
+        raise ValueError("least must lie between 0 and 1")
+    bounded_batches(docs.sparkSession)
+    kinds = fingerprints(docs).withColumn("asked", F.coalesce(wanted, F.lit(False))).where("n_spots > 0").groupBy(
+        print_id().alias("print")).agg(F.first("fingerprint").alias("fingerprint"), F.first("n_spots").alias("n"),
+                                       F.max("asked").alias("asked"))
+    kinds = cut_lineage(kinds.withColumn("key", F.xxhash64("print")))
+    tokens = _occurrences(kinds)
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    # the spots of one text are ranked in one group, which its length bounds
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("often", "token"))
+    rarest = _occurrences(kinds.where("asked")).join(often, "token").withColumn("rank", rank).where(
+        F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    near = F.explode(F.array(*[_partition(F.col("n"), least) + i for i in (-1, 0, 1)]))
+    sought = rarest.select(F.col("key").alias("a"), F.col("n").alias("n_a"), "token", near.alias("part")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = tokens.select(F.col("key").alias("b"), F.col("n").alias("n_b"), "token", _partition(F.col("n"), least).alias("part"),
+                         F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
+    fits = (F.col("n_b") >= F.col("n_a") * least - 1e-9) & (F.col("n_a") >= F.col("n_b") * least - 1e-9)
+    pairs = held.join(sought, ["token", "part", "salt"]).where(fits).select("a", "b").distinct()
+    side = lambda key, name: kinds.select(F.col("key").alias(key), F.col("print").alias(name),
+                                          F.col("fingerprint").alias(f"of_{name}"))
+    both = pairs.join(side("b", "other"), "b").join(side("a", "print"), "a").where("print <> other")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(a, b, likeness(decode(x), decode(y), least)) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns))]
+            rows = [r for r in rows if r[2] >= least]
+            if rows:
+                a, b, value = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(value, pa.float64())],
+                                                 ["print", "other", "likeness"])
+
+    return both.select("print", "other", "of_print", "of_other").mapInArrow(compare, "print string, other string, likeness double")
+
+
 _EDITS = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double, n_spots long, edited_n_spots long")
 
