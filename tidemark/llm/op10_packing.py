@@ -30,7 +30,8 @@ from tidemark.llm.tokens import codec
 from tidemark.session import cut_lineage
 
 SIZE = 2048
-SALTS = 16
+PART_PIECES = 20_000
+MOST_BASES = 1_000_000
 END = b"\x00\x00\x00\x00"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -182,16 +183,22 @@ def make_plan(counts: np.ndarray, size: int = SIZE) -> Plan:
     return plan
 
 
-def _ranked(pieces: DataFrame) -> DataFrame:
-    """Pieces with ``rank`` from 0 within their length; a length that many pieces share is ranked in salted parts."""
-    keyed = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = keyed.groupBy("length", "salt").count().select(
-        "length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "salt").orderBy(id_key(), "piece", "ids_crc32")
-    # base has at most SIZE * SALTS rows
-    return keyed.withColumn("place", F.row_number().over(inside) - 1).join(F.broadcast(base), ["length", "salt"]).withColumn(
-        "rank", F.col("place") + F.col("base")).drop("salt", "place", "base")
+def _ranked(pieces: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Pieces with ``rank`` from 0 within their length; a length is ranked in parts of about ``PART_PIECES`` pieces.
+
+    ``counts``: pieces of each length.
+    """
+    parts = F.split(F.lit(",".join(str(c // PART_PIECES + 1) for c in counts.tolist())), ",").cast("array<int>")
+    keyed = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(parts, F.col("length").cast("int"))))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = keyed.groupBy("length", "part").count().select(
+        "length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("length", "part").orderBy(id_key(), "piece", "ids_crc32")
+    # base has at most one row for each length and each PART_PIECES pieces
+    placed = keyed.withColumn("place", F.row_number().over(inside) - 1)
+    small = counts.sum() // PART_PIECES + len(counts) <= MOST_BASES
+    return placed.join(F.broadcast(base) if small else base, ["length", "part"]).withColumn(
+        "rank", F.col("place") + F.col("base")).drop("part", "place", "base")
 
 
 def pack_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
@@ -212,7 +219,7 @@ def pack_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
                 [*columns, pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return _ranked(pieces).mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return _ranked(pieces, counts).mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None) -> DataFrame:
