@@ -221,6 +221,20 @@ def test_chosen_paths_find_every_link(spark, rows, monkeypatch, bucket, block):
     assert got == brute_classes(rows)
 
 
+def test_classes_named_by_a_row_without_an_id(spark):
+    text = " ".join(WORDS[:40])
+    rows = [(None, text), (3, text), (4, text + " more"), (5, None), (None, None), (6, "other words " * 9)]
+    got = {(r.doc_id, r.copy_of, r.class_id, r.n_links) for r in op2_paths.class_report(frame(spark, rows)).collect()}
+    assert got == {(None, None, None, 2), (3, None, None, 2), (4, 4, None, 2), (5, 5, 5, 0), (None, None, None, 0), (6, 6, 6, 0)}
+
+
+def test_hot_paths_are_counted_in_parts(spark):
+    rows = spark.range(5000).select((F.col("id") % 5000).alias("key"), F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("path"))
+    rows = rows.unionByName(spark.createDataFrame([(9000, 4500), (None, 7), (1, None)], "key long, path long"))
+    got = {(r.path, r.many): r["count"] for r in op2_paths._counted(rows).groupBy("path", "many").count().collect()}
+    assert got == {(7, 4000): 4000, (4500, 2): 2}
+
+
 def test_one_row_of_each_class_stays(spark, rows):
     rows = [r for r in rows if r[0] is not None]
     kept = op2_paths.first_of_class(frame(spark, rows + rows[:7]))
@@ -229,6 +243,19 @@ def test_one_row_of_each_class_stays(spark, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, (c, _) in expected.items() if c == d)
 
 
+def test_a_common_length_is_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(op10_packing, "PART_PIECES", 50)
+    pieces = spark.range(1000).select(
+        F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+        F.when(F.col("id") < 700, 64).otherwise(F.col("id") % 5 + 1).cast("long").alias("length"), F.col("id").alias("ids_crc32"))
+    counts = np.bincount([64] * 700 + [i % 5 + 1 for i in range(700, 1000)], minlength=65)
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(op10_packing, "MOST_BASES", most)
+        ranked = op10_packing._ranked(pieces, counts).collect()
+        for length in (1, 2, 3, 4, 5, 64):
+            assert sorted(r["rank"] for r in ranked if r.length == length) == list(range(counts[length]))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

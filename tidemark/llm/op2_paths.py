@@ -15,7 +15,7 @@ Texts are sets of ``SHINGLE`` consecutive words (a text of fewer words is one sh
 
 A class is a connected component of exact links. Null and empty texts and texts without a word have no shingle and no link.
 Rows equal in id and text are one document and get the same class; ``first_of_class`` keeps one of them. A null id sorts
-first. Tables without rows give no rows. Other columns, whatever their names, are kept by ``first_of_class``.
+first, so its copies have a null ``copy_of`` and its class a null ``class_id``. Tables without rows give no rows. Other columns, whatever their names, are kept by ``first_of_class``.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.text import bounded_batches, bytes_of, id_key, mix, slices, text_bytes
+from tidemark.llm.text import NO_ID, bounded_batches, bytes_of, id_key, mix, slices, text_bytes
 from tidemark.session import cut_lineage
 
 SHINGLE = 5
@@ -37,6 +37,7 @@ SIMILARITY = 0.8
 REACH = 0.55
 RECALL = 0.9999
 BUCKET = 4096
+SALTS = 64
 BLOCK_SETS = 1024
 BLOCK_WORDS = 2_000_000
 SKETCH = 64
@@ -202,10 +203,15 @@ def _pairs(found: set) -> pa.RecordBatch:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``many``, the sets of their bucket; buckets of one are left out."""
-    rows = rows.where("path is not null and key is not null").repartition("path")
-    many = rows.groupBy("path").agg(F.count("key").alias("many")).where("many > 1")
-    return rows.join(many, "path")
+    """``rows`` with ``many``, the sets of their bucket; buckets of one are left out.
+
+    A path that very many sets share is counted and joined in ``SALTS`` parts, of which the sum is taken by path.
+    """
+    rows = rows.where("path is not null and key is not null").withColumn(
+        "part", F.pmod("key", F.lit(SALTS)).cast("int")).repartition("path", "part")
+    parts = rows.groupBy("path", "part").agg(F.count("key").alias("some"))
+    many = parts.withColumn("many", F.sum("some").over(Window.partitionBy("path"))).where("many > 1")  # of at most SALTS rows
+    return rows.join(many.drop("some"), ["path", "part"]).drop("part")
 
 
 def _blocks(many: Column, key: Column, block: int) -> tuple[Column, Column]:
@@ -365,8 +371,10 @@ def class_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(
         F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("__key"))
     classes = near_classes(docs, similarity).drop("__id")
+    # a class whose first document has no id is named by none
+    named = lambda c: F.when(F.col(c).isNull(), F.col("doc_id")).otherwise(F.nullif(F.col(c), F.lit(NO_ID)))
     return rows.join(classes, "__key", "left").select(
-        "doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"),
+        "doc_id", named("copy_of").alias("copy_of"), named("class_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
