@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -85,6 +86,38 @@ def test_spots_of_edited_and_next_texts(spark, rows):
     assert op1_spots.edit_report(frame(spark, [(5, "one two the three")])).first().near_next == 1
 
 
+def test_long_texts_travel_in_batches_of_few_bytes(spark):
+    texts = [f"w{i} the " * 12_000 + f"end{i}" for i in range(96)]
+    docs = frame(spark, list(enumerate(texts)))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    for found in (op1_spots.edit_report(docs), op1_spots.fingerprints(docs)):
+        got = found.select("fingerprint").coalesce(1).mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == len(texts) and sum(r.bytes for r in got) > 9_000_000
+        assert max(r.bytes for r in got) < 5_000_000
+
+
+def test_ends_of_ranges_meet_one_at_a_time():
+    pairs = op1_spots._rim_pairs
+    assert list(pairs(iter([]))) == []
+    assert list(pairs(iter([(0, 5, b"x"), (1, 5, b"x")]))) == [(5, b"x", 5, b"x")]
+    taken = []
+
+    def ends():
+        for i in range(50):
+            for kind in (0, 1):
+                taken.append(i)
+                yield kind, 2 * i + kind * (i % 2), b"t%d%d" % (i, kind)
+
+    expected = [(2 * i + i % 2, b"t%d1" % i, 2 * ((i + 1) % 50), b"t%d0" % ((i + 1) % 50)) for i in range(50)]
+    for k, pair in enumerate(pairs(ends())):
+        assert pair == expected[k] and len(taken) == min(2 * k + 3, 100)
+    assert k == 49
+
+
 def test_spots_of_texts_without_listed_common_words():
     spots = lambda t: op1_spots.spots(t.encode())
     words = [f"слово{chr(0x430 + i % 32)}{chr(0x430 + i // 32)}" for i in range(200)]

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import bounded_batches, bytes_of, id_key, mix
@@ -35,6 +35,7 @@ from tidemark.session import cut_lineage
 CHAIN = 2
 DISTANCE = 1
 LONG = 40
+BATCH_BYTES = 4 << 20
 MEMO_WORDS = 300_000
 SALTS = 16
 TOKEN_ROWS = 200_000
@@ -166,9 +167,15 @@ def length_partition(length: int, least: float) -> int:
     return 0 if length <= 0 else 1 + int(np.floor(np.log(length) / -np.log(least) + 1e-9))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few bytes, too: a fingerprint takes about as much room as its text, and Spark's limit is 64 MB."""
+    bounded_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and n_spots of every row."""
-    bounded_batches(docs.sparkSession)
+    _small_batches(docs.sparkSession)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +225,7 @@ def near_matches(docs: DataFrame, wanted: Column, least: float = 0.8) -> DataFra
     """
     if not 0 < least < 1:
         raise ValueError("least must lie between 0 and 1")
-    bounded_batches(docs.sparkSession)
+    _small_batches(docs.sparkSession)
     kinds = fingerprints(docs).withColumn("asked", F.coalesce(wanted, F.lit(False))).where("n_spots > 0").groupBy(
         print_id().alias("print")).agg(F.first("fingerprint").alias("fingerprint"), F.first("n_spots").alias("n"),
                                        F.max("asked").alias("asked"))
@@ -271,6 +278,23 @@ def _edit_batch(rows: list[tuple]) -> pa.RecordBatch:
                                       [c.split()[0] for c in _EDITS.split(", ")])
 
 
+def _rim_pairs(ends: Iterator[tuple]) -> Iterator[tuple]:
+    """The last document of each range with the first of the next one; after the last range comes the first.
+
+    ``ends`` has kind (0: first, 1: last), doc_id and text, in order of ranges; only three of them are held at a time.
+    """
+    first = tail = None
+    for kind, *end in ends:
+        if kind == 1:
+            tail = end
+        elif first is None:
+            first = end
+        else:
+            yield (*tail, *end)
+    if first is not None:
+        yield (*tail, *first)
+
+
 def edit_report(docs: DataFrame) -> DataFrame:
     """Every document against its own second half replaced, and against the next document.
 
@@ -278,7 +302,7 @@ def edit_report(docs: DataFrame) -> DataFrame:
     document of each range meet those of other ranges, which takes two rows for each partition.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    _small_batches(spark)
     ranged = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
               .withColumn("__id", id_key())
               .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "__id", F.xxhash64("text")))
@@ -304,17 +328,12 @@ def edit_report(docs: DataFrame) -> DataFrame:
     ends = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(order).alias("head"), F.max(order).alias("tail"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, tails = [], []
-        for batch in batches:
-            for kind, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch, "text")):
-                (heads if kind == 0 else tails).append((doc, text))
-        rows = []
-        for (doc, text), (_, following) in zip(tails, heads[1:] + heads[:1]):
-            rows.append(_compared(doc, text, spots(text), following, spots(following)))
-        if rows:
-            yield _edit_batch(rows)
+        ends = (end for batch in batches
+                for end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch, "text")))
+        for doc, text, _, following in _rim_pairs(ends):
+            yield _edit_batch([_compared(doc, text, spots(text), following, spots(following))])
 
     rim = (ends.select(F.explode(F.array(F.struct(F.lit(0).alias("kind"), "head.*"), F.struct(F.lit(1).alias("kind"), "tail.*")))
                        .alias("e")).select("e.kind", "e.doc_id", "e.text", "e.__id", "e.h")
-           .coalesce(1).sortWithinPartitions("__id", "h").drop("__id", "h"))
+           .coalesce(1).sortWithinPartitions("__id", "h", "kind").drop("__id", "h"))
     return ordered.select("doc_id", "text").mapInArrow(walk, _EDITS).unionByName(rim.mapInArrow(close, _EDITS))
